@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, held_out, table
 
-#: log2 of the hashed features; labelled rows that a fit reads at most; FTRL's rates and penalties; passes.
-BITS, MAX_ROWS = 20, 8000
-ALPHA, BETA, L1, L2, EPOCHS = 0.3, 1.0, 1.0, 0.5, 3
+#: log2 of the hashed features; labelled rows that a fit reads at most; rows that must have a feature for it to be learnt.
+BITS, MAX_ROWS, MIN_ROWS = 22, 12_000, 5
+#: FTRL's rates and penalties; passes.
+ALPHA, BETA, L1, L2, EPOCHS = 2.0, 1.0, 3.0, 0.0, 4
 
 _word = re.compile(r"[^\W_]+")
 
@@ -56,6 +57,15 @@ def score(text: str | None, dense: np.ndarray, bias: float) -> float:
     return float(1 / (1 + np.exp(-np.clip(bias + dense[hit].sum(dtype=np.float64), -30, 30))))
 
 
+def frequent(rows: list[tuple[np.ndarray, int]], min_rows: int = MIN_ROWS) -> list[tuple[np.ndarray, int]]:
+    """The rows without features that fewer than min_rows of them have (fewer yet, down to one, below 2,000 rows)."""
+    seen = np.zeros(1 << BITS, np.int32)
+    for x, _ in rows:
+        seen[x] += 1
+    ok = seen >= min(min_rows, 1 + len(rows) // 400)
+    return [(x[ok[x]], y) for x, y in rows]
+
+
 def ftrl(rows: list[tuple[np.ndarray, int]], epochs: int = EPOCHS, alpha: float = ALPHA, beta: float = BETA, l1: float = L1, l2: float = L2) -> Weights:
     """FTRL-proximal: each coordinate has its own rate from its squared gradients, and is zero while |z| <= l1. The bias
     is a coordinate without penalty. rows: distinct feature hashes and a label of 0 or 1, in the order of learning."""
@@ -94,7 +104,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     got = arrow_map(drawn.select(order.alias("ord"), "y", "text"), hashes, "ord long, y int, x binary").collect()
     got.sort(key=lambda r: (r["ord"], r["y"], r["x"]))
-    return ftrl([(np.frombuffer(r["x"], np.uint32), r["y"]) for r in got[:max_rows]])
+    return ftrl(frequent([(np.frombuffer(r["x"], np.uint32), r["y"]) for r in got[:max_rows]]))
 
 
 def predict(docs: DataFrame, model: Weights, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
