@@ -1,20 +1,49 @@
-"""Documents in, packed training sequences out."""
+"""Documents in, packed training sequences out.
+
+STAGES lists (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame, which run() writes as
+Parquet in the shared scratch folder and reads again for the next. All but the last keep the columns of documents."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from quiverspan.llm.common import Scratch, table
 from quiverspan.llm.exact_dedup import drop_exact_duplicates
+from quiverspan.llm.near_dedup import drop_near_duplicates
+from quiverspan.llm.packing import pack
+from quiverspan.llm.secrets import redact_secrets
+from quiverspan.llm.toxicity import drop_toxic
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score 0.5 or more go; the classifier learns from the labels of documents that aren't held out."""
+    return drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
-def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts (A-Z lower-cased) the document with the largest id stays."""
     return drop_exact_duplicates(docs)
 
 
-STAGES = [("exact_dedup", exact)]
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked at a similarity of 0.8 or more over shingles of five words, the smallest id stays."""
+    return drop_near_duplicates(docs)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document stays; secrets and linked identifiers are blanked in the text."""
+    return redact_secrets(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of at most 1024 tokens."""
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [("toxicity", toxicity), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("secrets", secrets), ("packing", packing)]
 
-#: The stages learn models and pack, which SQL can't express.
+#: The stages learn a model and pack, which SQL can't express; tests hold each against a brute-force version.
 ORACLE_SQL = None
 
 
