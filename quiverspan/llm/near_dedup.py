@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, arrow_map, table
@@ -119,6 +120,38 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return arrow_map(whole.select("a", "b", "text_a", "text_b"), rows, f"a {kind}, b {kind}")
 
 
+def across_components(texts: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """All pairs (a, b) of different components that can reach the threshold by prefix and position filters.
+
+    texts: id, text, component. With shingles in one order for all texts, rarest first, two sets that reach the
+    threshold share one among the first few: of the smaller, n - ceil(2pn / (100 + p)) + 1; of the larger,
+    n - ceil(pn / 100) + 1. A common shingle too far back in either leaves too few behind it. What a copy has alone
+    comes first in its order, so copies that differ too much have no common prefix, however many they are. Frequencies
+    are counted exactly, and shingles of one text alone only count as places."""
+    kind = texts.schema["id"].dataType.simpleString()
+
+    def rows(batches: Iterator[dict]) -> Iterator[dict]:
+        for b in batches:
+            sets = [shingles(t) for t in b["text"]]
+            sizes = [len(x) for x in sets]
+            values = np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)
+            yield {"id": b["id"], "component": b["component"], "n": sizes, "hs": pa.ListArray.from_arrays(np.cumsum([0, *sizes], dtype=np.int32), values)}
+
+    sets = scratch.write(arrow_map(texts.select("id", "component", "text"), rows, f"id {kind}, component {kind}, n int, hs array<long>"), "sets")
+    each = sets.select("id", "component", "n", F.explode("hs").alias("h"))
+    common = scratch.write(each.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "frequencies")
+    order = Window.partitionBy("id").orderBy("df", "h")
+    placed = each.join(common, "h").withColumn("at", F.row_number().over(order)).withColumn("shared", F.count(F.lit(1)).over(Window.partitionBy("id")))
+    placed = placed.select("id", "component", "n", "h", (F.col("n") - F.col("shared") + F.col("at")).alias("at"))
+    probes = scratch.write(placed.where(f"at <= n - ceil({percent} * n / 100.0D) + 1"), "prefixes")
+    scratch.drop(sets)
+    small = probes.where(f"at <= n - ceil({2 * percent} * n / {100 + percent}.0D) + 1").select("h", *(F.col(c).alias(f"{c}_a") for c in ("id", "component", "n", "at")))
+    large = probes.select("h", *(F.col(c).alias(f"{c}_b") for c in ("id", "component", "n", "at")))
+    fits = f"""component_a <> component_b AND (n_a < n_b OR n_a = n_b AND id_a < id_b) AND 100L * n_a >= {percent}L * n_b
+               AND (100 + {percent}) * (1L + least(n_a - at_a, n_b - at_b)) >= {percent}L * (n_a + n_b)"""
+    return small.join(large, "h").where(fits).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
     """Every row's class: doc_id, n_shingles, component_id (the smallest id reachable over links), kept.
 
@@ -131,9 +164,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     2. Bands of equal minima are buckets; those of one representative go. In each, the member that shares most buckets
        with others is the pivot: the common original of a group of copies, if there is one. Each representative is
        paired with the pivot it meets most often, one pair each, verified by signature, then on full sets.
-    3. Components of those links. A bucket whose members are in one component is settled. In any other, members outside
-       the bucket's largest component are paired with the members of other components, verified likewise: no pair that
-       could join two components goes unseen, and groups of copies are never paired out.
+    3. Components of those links. A bucket whose members are in one component is settled. The members of all others are
+       searched for links between components by prefix filtering, exact for the threshold; what it finds is verified
+       likewise. So groups of copies are never paired out, linked or not.
     4. Components of all links, by alternating large-star and small-star.
     """
     spark = docs.sparkSession
@@ -165,11 +198,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = live.select("id", "key").join(part.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     placed = scratch.write(placed, "placed")
     largest = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size")).groupBy("key").agg(F.max(F.struct("size", "component"))["component"].alias("largest"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    open_rows = scratch.write(placed.join(scratch.write(largest, "largest"), "key").select("key", "id", "component", (F.col("component") == F.col("largest")).alias("in_largest")), "open")
-    few = open_rows.where("NOT in_largest").select("key", F.col("id").alias("a"), F.col("component").alias("component_a"))
-    others = open_rows.select("key", F.col("id").alias("b"), F.col("component").alias("component_b"), "in_largest")
-    met = few.join(others, "key").where("component_a <> component_b AND (in_largest OR a < b)").select("a", "b").distinct()
-    two = links(met, "rest")
+    open_rows = placed.join(scratch.write(largest, "largest"), "key").select("id", "component").distinct()
+    rest = across_components(texts.join(scratch.write(open_rows, "open"), "id"), percent, scratch)
+    two = links(rest, "rest")
 
     final = scratch.write(connected_components(one.union(two), scratch), "components").select(F.col("node").alias("rep"), "component")
     classes = scratch.write(some.groupBy("digest").agg(F.min("id").alias("rep")).join(final, "rep", "left").select("digest", F.coalesce("component", "rep").cast(kind).alias("component")), "classes")
