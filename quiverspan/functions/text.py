@@ -32,6 +32,11 @@ def parse_timestamp(s: Column) -> Column:
     return F.coalesce(iso, F.when(n > 10**12, F.timestamp_millis(n)).otherwise(F.timestamp_seconds(n)))
 
 
+def micros(ts: Column) -> Column:
+    """Microseconds since 1970 of a time with or without zone, as the session's wall clock shows it."""
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts.cast("timestamp_ntz"))
+
+
 def matches_star(c: Column, pattern: str) -> Column:
     """One * stands for anything: prefix and suffix match; without it, equality."""
     if pattern == "*":

@@ -158,8 +158,8 @@ def endpoint_stats(log: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def gateway_stats(log: DataFrame) -> DataFrame:
-    """log: ts, failed. Requests, their rate over the span of the log, and the share that failed."""
-    span = F.max("ts").cast("double") - F.min("ts").cast("double")
+    """log: us (microseconds), failed. Requests, their rate over the span of the log, and the share that failed."""
+    span = (F.max("us") - F.min("us")) / 1e6
     n = F.count(F.lit(1))
     return log.agg(n.alias("requests"), F.when(span > 0, n / span).otherwise(0.0).alias("rps"), (F.sum(F.col("failed").cast("double")) / n).alias("error_rate"))
 
