@@ -4,13 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-POINT = T.StructType.fromDDL("id string NOT NULL, vector array<float>, payload map<string,string>")
-COLLECTION = T.StructType.fromDDL("name string, dimension int, distance string, shards int")
-SHARD = T.StructType.fromDDL("collection string, shard int, range_start decimal(20,0), range_end decimal(20,0), replicas array<string>, leader string, epoch bigint, qps double, latency_ms double")
-SEGMENT = T.StructType.fromDDL("segment_id bigint, state string, vectors bigint, bytes bigint, created_at timestamp, sealed_at timestamp, min_id string, max_id string")
-TOMBSTONE = T.StructType.fromDDL("id string, ts bigint")
-CHANGE = T.StructType.fromDDL("id string, vector array<float>, payload map<string,string>, is_delete boolean, ts bigint, seq bigint")
-FEEDBACK_SESSION = T.StructType.fromDDL("id string, collection string, query string, user_id string, session_id string, created_at timestamp, additional_context string")
-FEEDBACK_ITEM = T.StructType.fromDDL("session_id string, result_id string, relevance_score int, clicked boolean, position int, comment string")
-WORKER = T.StructType.fromDDL("worker string, cpu double, memory double, disk double, qps double, shards int, capacity bigint, zone string, rack string, state string, role string, heartbeat timestamp")
-KEY_VALUE = T.StructType.fromDDL("key binary, value binary")
+_STRING, _LONG, _INT, _DOUBLE, _BOOL, _TIME, _BINARY = T.StringType(), T.LongType(), T.IntegerType(), T.DoubleType(), T.BooleanType(), T.TimestampType(), T.BinaryType()
+_VECTOR, _PAYLOAD, _RANGE = T.ArrayType(T.FloatType()), T.MapType(T.StringType(), T.StringType()), T.DecimalType(20, 0)
+
+
+def _struct(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
+
+
+POINT = _struct(id=_STRING, vector=_VECTOR, payload=_PAYLOAD)
+COLLECTION = _struct(name=_STRING, dimension=_INT, distance=_STRING, shards=_INT)
+SHARD = _struct(collection=_STRING, shard=_INT, range_start=_RANGE, range_end=_RANGE, replicas=T.ArrayType(_STRING), leader=_STRING, epoch=_LONG, qps=_DOUBLE, latency_ms=_DOUBLE)
+SEGMENT = _struct(segment_id=_LONG, state=_STRING, vectors=_LONG, bytes=_LONG, created_at=_TIME, sealed_at=_TIME, min_id=_STRING, max_id=_STRING)
+TOMBSTONE = _struct(id=_STRING, ts=_LONG)
+CHANGE = _struct(id=_STRING, vector=_VECTOR, payload=_PAYLOAD, is_delete=_BOOL, ts=_LONG, seq=_LONG)
+FEEDBACK_SESSION = _struct(id=_STRING, collection=_STRING, query=_STRING, user_id=_STRING, session_id=_STRING, created_at=_TIME, additional_context=_STRING)
+FEEDBACK_ITEM = _struct(session_id=_STRING, result_id=_STRING, relevance_score=_INT, clicked=_BOOL, position=_INT, comment=_STRING)
+WORKER = _struct(worker=_STRING, cpu=_DOUBLE, memory=_DOUBLE, disk=_DOUBLE, qps=_DOUBLE, shards=_INT, capacity=_LONG, zone=_STRING, rack=_STRING, state=_STRING, role=_STRING, heartbeat=_TIME)
+KEY_VALUE = _struct(key=_BINARY, value=_BINARY)
