@@ -1,7 +1,7 @@
 """Every registered query of the engine against its SQL."""
 
 import pytest
-from conftest import same_rows
+from oracle import same_rows
 
 from quiverspan.plans import catalogue
 
