@@ -59,6 +59,12 @@ def live_points(segments: DataFrame, tombstones: DataFrame) -> DataFrame:
     return newest.join(dead, (F.col("id") == F.col("dead_id")) & (F.col("ts") <= F.col("dead_ts")), "left_anti")
 
 
+def newest_segments(segments: DataFrame, n: int) -> DataFrame:
+    """Rows of the n newest segments: a search that stops early over a manifest, which is small."""
+    newest = segments.select("segment").distinct().orderBy(F.desc("segment")).limit(n)
+    return segments.join(F.broadcast(newest), "segment", "left_semi")
+
+
 def is_deleted(vector: Column) -> Column:
     return F.coalesce(F.size(vector), F.lit(0)) <= 0
 

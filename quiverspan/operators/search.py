@@ -24,11 +24,13 @@ def top(hits: DataFrame, k: int | Column, by: str | None = "qid") -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= (F.lit(k) if isinstance(k, int) else k))
 
 
-def search(points: DataFrame, query: list[float], k: int = DEFAULT_K, metric: str = "cosine", compat: bool = False) -> DataFrame:
-    """One query: rank, id, score; k of 0 or less is 10. A distributed top-k (TakeOrderedAndProject), no window."""
+def search(points: DataFrame, query: list[float], k: int = DEFAULT_K, metric: str = "cosine", compat: bool = False, shards: list[int] | None = None) -> DataFrame:
+    """One query: rank, id, score; k of 0 or less is 10. A distributed top-k (TakeOrderedAndProject). shards: only those
+    (a filter on the partition column); by default all."""
     if not query:
         raise ValueError("a query needs a vector")
     vector = F.array(*(F.lit(float(x)) for x in query))
+    points = points if shards is None else points.where(F.col("shard").isin(shards))
     hits = points.select("id", V.distance(metric, F.col("vector"), vector, compat).alias("score")).orderBy("score", "id").limit(k if k > 0 else DEFAULT_K)
     return hits.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("score", "id")))  # k rows
 

@@ -531,3 +531,61 @@ def validation(spark, d):
     c, name = read(spark, d, "customer"), F.col("c_name")
     email = F.concat(F.lower(name), F.lit("@"), F.col("c_mktsegment"), F.lit(".org"))
     return c.select("c_custkey", text.valid_email(email).alias("email_ok"), text.valid_key_name(name).alias("key_ok"), text.valid_password(name).alias("password_ok"))
+
+
+@query(f"WITH {WORKERS_SQL} SELECT worker, CASE WHEN state = 'joining' AND worker % 3 = 0 THEN 'ready' ELSE state END AS state FROM w")
+def heartbeat_states(spark, d):
+    w = T.workers(spark, d)
+    beats = w.where("worker % 3 = 0").select("worker", F.col("heartbeat").alias("ts"))
+    return C.heartbeat_states(w, beats).select("worker", "state")
+
+
+@query(f"WITH {WORKERS_SQL} SELECT worker, zone FROM w WHERE role = 'search_only'")
+def worker_roles(spark, d):
+    return T.workers(spark, d).where("role = 'search_only'").select("worker", "zone")
+
+
+@query(f"WITH {SEGMENTS_SQL}, c AS (SELECT segment, count(*) AS vectors, sum(4 * len(vector)) AS bytes FROM seg GROUP BY 1) SELECT segment, vectors, vectors >= 100000 OR bytes >= 536870912 OR segment * 200 >= 600 AS seal FROM c")
+def seal_policy(spark, d):
+    size = F.sum(4 * F.size("vector")).alias("bytes")
+    c = T.segments(spark, d).groupBy("segment").agg(F.count(F.lit(1)).alias("vectors"), size)
+    created = F.lit(AS_OF).cast("timestamp") - F.make_dt_interval(secs=(F.col("segment") * 200).cast("decimal(18,6)"))
+    return c.select("segment", "vectors", dml.should_seal(F.col("vectors"), F.col("bytes"), created, AS_OF).alias("seal"))
+
+
+@query(f"WITH {LOG_SQL}, c AS (SELECT id % 10 AS shard, count(*) AS changes, sum(is_delete::INT)::BIGINT AS deleted FROM log GROUP BY 1) SELECT shard, deleted, deleted >= 5000 AND deleted / changes >= 0.3 AS rebuild FROM c")
+def rebuild_policy(spark, d):
+    c = T.change_log(spark, d).groupBy((F.col("id") % 10).alias("shard")).agg(F.count(F.lit(1)).alias("changes"), F.count_if("is_delete").alias("deleted"))
+    return c.select("shard", "deleted", dml.should_rebuild(F.col("deleted"), F.col("changes")).alias("rebuild"))
+
+
+@query("SELECT doc_id, strlen(doc_id::VARCHAR) + 4 * 64 + 4 + strlen(coalesce(lang, '')) + 16 AS bytes FROM documents")
+def point_size(spark, d):
+    payload = F.create_map(F.lit("lang"), F.coalesce("lang", F.lit("")))
+    return read(spark, d, "documents").select("doc_id", dml.payload_size(F.col("doc_id").cast("string"), F.lit(64), payload).alias("bytes"))
+
+
+@query(f"WITH {FNV}, q AS (SELECT {E} AS v FROM embeddings WHERE vec_id = 0), h AS (SELECT vec_id AS id, {COSINE} AS score FROM embeddings JOIN f ON f.id = vec_id, q WHERE least(15, h // 1152921504606846976::HUGEINT) = 6) SELECT row_number() OVER (ORDER BY score, id) AS rank, id, round(score, 6) AS score FROM h ORDER BY score, id LIMIT 5")
+def shard_pruned_search(spark, d):
+    placed = T.points(spark, d).withColumn("shard", hashing.shard_of(hashing.fnv1a_64(F.col("id").cast("string")), 16))
+    return rounded(S.search(placed, T.first_vector(spark, d), 5, shards=[6]), "score")
+
+
+@query(_one(COSINE, 5))
+def progressive_search(spark, d):
+    p = T.points(spark, d)
+    shards = [p.where(F.col("id") % 4 == k) for k in range(4)]
+    last = list(S.progressive_search(shards, T.first_vector(spark, d), 5, stable_rounds=4))[-1]
+    return rounded(spark.createDataFrame([(n + 1, i, s) for n, (i, s) in enumerate(last)], "rank int, id long, score double"), "score")
+
+
+@query(f"WITH {FNV}, s AS (SELECT least(15, h // 1152921504606846976::HUGEINT)::INT AS shard, count(*) AS points FROM f GROUP BY 1) SELECT i::INT AS shard, coalesce(points, 0) AS points, points IS NOT NULL AS ready FROM range(0, 16) t(i) LEFT JOIN s ON shard = i")
+def collection_status(spark, d):
+    counts = _hashed(spark, d).groupBy("shard").agg(F.count(F.lit(1)).alias("points"))
+    return hashing.shard_ranges(spark, 16).join(counts, "shard", "left").select("shard", F.coalesce("points", F.lit(0)).alias("points"), F.col("points").isNotNull().alias("ready"))
+
+
+@query(f"WITH {SEGMENTS_SQL}, m AS (SELECT id, list_cosine_distance(vector, q.v) AS score FROM seg, (SELECT {E} AS v FROM embeddings WHERE vec_id = 0) q WHERE segment IN (6, 7)), b AS (SELECT id, min(score) AS score FROM m GROUP BY 1) SELECT row_number() OVER (ORDER BY score, id) AS rank, id, round(score, 6) AS score FROM b ORDER BY score, id LIMIT 10")
+def newest_segments_search(spark, d):
+    recent = dml.newest_segments(T.segments(spark, d), 2)
+    return rounded(S.search(recent, T.first_vector(spark, d), 10), "score")
