@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, held_out, table
+from .common import Scratch, arrow_map, held_out, table
 
 #: log2 of the hashed features; labelled rows that a fit reads at most; rows that must have a feature for it to be learnt.
 BITS, MAX_ROWS, MIN_ROWS = 22, 12_000, 5
@@ -57,25 +57,17 @@ def score(text: str | None, dense: np.ndarray, bias: float) -> float:
     return float(1 / (1 + np.exp(-np.clip(bias + dense[hit].sum(dtype=np.float64), -30, 30))))
 
 
-def frequent(rows: list[tuple[np.ndarray, int]], min_rows: int = MIN_ROWS) -> list[tuple[np.ndarray, int]]:
-    """The rows without features that fewer than min_rows of them have (fewer yet, down to one, below 2,000 rows)."""
-    seen = np.zeros(1 << BITS, np.int32)
-    for x, _ in rows:
-        seen[x] += 1
-    ok = seen >= min(min_rows, 1 + len(rows) // 400)
-    return [(x[ok[x]], y) for x, y in rows]
-
-
-def ftrl(rows: list[tuple[np.ndarray, int]], epochs: int = EPOCHS, alpha: float = ALPHA, beta: float = BETA, l1: float = L1, l2: float = L2) -> Weights:
+def ftrl(passes: Iterable[Iterable[tuple[np.ndarray, int]]], alpha: float = ALPHA, beta: float = BETA, l1: float = L1, l2: float = L2) -> Weights:
     """FTRL-proximal: each coordinate has its own rate from its squared gradients, and is zero while |z| <= l1. The bias
-    is a coordinate without penalty. rows: distinct feature hashes and a label of 0 or 1, in the order of learning."""
-    z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    is a coordinate without penalty. passes: the rows of each pass over the data, as distinct feature hashes and a label
+    of 0 or 1; they are learnt one at a time and may be streamed."""
+    z, n = np.zeros(1 << BITS, np.float32), np.zeros(1 << BITS, np.float32)
     zb = nb = 0.0
 
     def weight(z: np.ndarray, n: np.ndarray) -> np.ndarray:
         return np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((beta + np.sqrt(n)) / alpha + l2))
 
-    for _ in range(epochs):
+    for rows in passes:
         for x, y in rows:
             zx, nx = z[x], n[x]
             w, bias = weight(zx, nx), -zb / ((beta + nb**0.5) / alpha)
@@ -89,22 +81,41 @@ def ftrl(rows: list[tuple[np.ndarray, int]], epochs: int = EPOCHS, alpha: float
     return Weights(at.astype(np.uint32), w[at].astype(np.float32), -zb / ((beta + nb**0.5) / alpha))
 
 
+def frequent(rows: Iterable[tuple[np.ndarray, int]], min_rows: int = MIN_ROWS) -> np.ndarray:
+    """For each hash, whether min_rows of the rows have it (fewer, down to one, below 2,000 rows)."""
+    seen, n = np.zeros(1 << BITS, np.int32), 0
+    for x, _ in rows:
+        seen[x] += 1
+        n += 1
+    return seen >= min(min_rows, 1 + n // 400)
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_ROWS) -> Weights:
-    """Learns from labelled rows that aren't held out, all or a random max_rows of them by hash of id. Rows with a null
-    id, label or other label than 0 and 1 teach nothing; no rows: every score is 0.5."""
+    """Learns from labelled rows that aren't held out, all or a random share, about max_rows, of them by hash of id. Rows
+    with a null id, label or other label than 0 and 1 teach nothing; no rows: every score is 0.5. The driver streams the
+    hashed rows, a sixteenth at a time; it holds two numbers a hash."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where(F.col("id").isNotNull() & F.col("y").isin(0, 1) & ~held_out("id"))
     total = known.count()
     order = F.xxhash64(F.col("id"), F.lit(11))
-    known = known.where(F.pmod(order, F.lit(1 << 30)) / float(1 << 30) < min(1.0, 1.1 * max_rows / max(1, total) + 20 / max(1, total))).dropDuplicates(["id"])
-    drawn = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known), "id")  # about 1.1 max_rows rows
+    share = min(1.0, max_rows / max(1, total))
+    known = known.where(F.pmod(order, F.lit(1 << 30)) / float(1 << 30) < share).groupBy("id").agg(F.max("y").alias("y"))
+    drawn = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known), "id")  # about max_rows ids
 
     def hashes(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
             yield {"ord": b["ord"], "y": b["y"], "x": [np.unique(grams(t)).tobytes() for t in b["text"]]}
 
-    got = arrow_map(drawn.select(order.alias("ord"), "y", "text"), hashes, "ord long, y int, x binary").collect()
-    got.sort(key=lambda r: (r["ord"], r["y"], r["x"]))
-    return ftrl(frequent([(np.frombuffer(r["x"], np.uint32), r["y"]) for r in got[:max_rows]]))
+    scratch = Scratch(docs.sparkSession)
+    hashed = scratch.write(arrow_map(drawn.select(order.alias("ord"), "y", "text"), hashes, "ord long, y int, x binary").repartitionByRange(16, "ord").sortWithinPartitions("ord", "y", "x"), "hashed")
+
+    def one_pass() -> Iterator[tuple[np.ndarray, int]]:
+        for r in hashed.toLocalIterator(prefetchPartitions=True):  # a part at a time
+            yield np.frombuffer(r["x"], np.uint32), r["y"]
+
+    ok = frequent(one_pass())
+    model = ftrl(((x[ok[x]], y) for x, y in one_pass()) for _ in range(EPOCHS))
+    scratch.close()
+    return model
 
 
 def predict(docs: DataFrame, model: Weights, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -51,9 +51,9 @@ def test_toxicity_held_out(spark, truth):
 def test_ftrl_is_sparse_and_learns():
     rng = np.random.default_rng(0)
     rows = [(np.unique(np.append(rng.integers(100, 5000, 80), 7 if k % 4 == 0 else 8)).astype(np.uint32), int(k % 4 == 0)) for k in range(1200)]
-    w = toxicity.ftrl(toxicity.frequent(rows))
+    w = toxicity.ftrl([rows] * 4)
     dense = w.dense()
-    assert dense[7] > 1 and len(w.at) < 1500 and w.bias + dense[8] < 0
+    assert dense[7] > 1 and len(w.at) < 2500 and w.bias + dense[8] < 0
 
 
 def test_language_held_out(spark, truth):
