@@ -81,7 +81,8 @@ def signals(candidates: DataFrame, config: RuleConfig = RuleConfig(), as_of: dat
     q = T.tokenize(F.col("query"), stops, config.case_sensitive)
     text = T.payload_text(F.col("payload"))
     base = pinned(candidates, q_tokens=q, tokens=T.tokenize(text, stops, config.case_sensitive), low_text=F.lower(text), low_title=F.lower(F.coalesce(F.col("payload")["title"], F.lit(""))))
-    base = pinned(base, hits=F.transform("q_tokens", lambda t: F.array_contains("tokens", t).cast("int")))
+    base = pinned(base, found=F.array_intersect("q_tokens", "tokens"))  # by hash, and no longer than the query
+    base = pinned(base, hits=F.transform("q_tokens", lambda t: F.array_contains("found", t).cast("int")))
     each = base.select("qid", F.size("tokens").alias("len"), F.posexplode_outer("hits").alias("i", "hit")).groupBy("qid", "i").agg(F.sum("hit").alias("df"), F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean_len"))
     idf = F.log(F.col("n") / F.when(F.col("df") > 0, F.col("df")).otherwise(1).cast("double") + 1)
     stats = each.groupBy("qid").agg(F.max("n").alias("candidates"), F.max("mean_len").alias("mean_len"), F.sort_array(F.collect_list(F.struct("i", F.when(F.col("i").isNotNull(), idf).alias("idf")))).alias("idfs"))
