@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Patterns of e-mail addresses and key names.
+EMAIL = r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$"
+KEY_NAME = r"^[a-zA-Z0-9\s_-]+$"
+
 # The reranker's stop words.
 STOP_WORDS = "the a an and or but in on at to for of with is was are were be been being".split()
 
@@ -49,7 +53,7 @@ def matches_star(c: Column, pattern: str) -> Column:
 
 def valid_email(c: Column) -> Column:
     """local@domain.tld, trimmed, of 254 bytes at most."""
-    return F.coalesce(F.trim(c).rlike(r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$") & (F.octet_length(c) <= 254), F.lit(False))
+    return F.coalesce(F.trim(c).rlike(EMAIL) & (F.octet_length(c) <= 254), F.lit(False))
 
 
 def valid_password(c: Column) -> Column:
@@ -60,7 +64,7 @@ def valid_password(c: Column) -> Column:
 
 def valid_key_name(c: Column) -> Column:
     """1 to 50 letters, digits, spaces, hyphens and underscores, not all blank."""
-    return F.coalesce((F.trim(c) != "") & (F.octet_length(c) <= 50) & c.rlike(r"^[a-zA-Z0-9\s_-]+$"), F.lit(False))
+    return F.coalesce((F.trim(c) != "") & (F.octet_length(c) <= 50) & c.rlike(KEY_NAME), F.lit(False))
 
 
 def rerank_cache_key(query: Column, ids: Column, mode: str | None = None) -> Column:

@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Seconds of a live heartbeat, replicas, thresholds of hot shards, weights of moving averages.
 HEARTBEAT_S, MAX_REPLICAS, REPLICATION = 30, 5, 3
 HOT_QPS, HOT_LATENCY_MS = 1000, 100
 EWMA_OLD, EWMA_NEW = 0.7, 0.3

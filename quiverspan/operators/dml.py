@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# When a segment is sealed, how many are compacted, when deletions call for a rebuild.
 SEAL_VECTORS, SEAL_BYTES, SEAL_SECONDS = 100_000, 512 << 20, 600
 COMPACT_FAN_IN = 4
 REBUILD_DELETED, REBUILD_RATIO = 5000, 0.30
