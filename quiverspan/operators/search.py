@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -14,8 +15,8 @@ from pyspark.sql import functions as F
 from ..functions import vector as V
 
 DEFAULT_K = 10
-#: Queries times dimensions of one broadcast block of queries (32 MB of doubles).
-BLOCK_NUMBERS = 4 << 20
+#: Queries of one broadcast block, and points that a task multiplies with them at a time (32 MB of scores).
+BLOCK_QUERIES, CHUNK_POINTS = 2048, 2048
 
 
 def top(hits: DataFrame, k: int | Column, by: str | None = "qid") -> DataFrame:
@@ -48,10 +49,9 @@ def search_batch(points: DataFrame, queries: DataFrame, k: int = DEFAULT_K, metr
     if not size[0]:
         return top(points.sparkSession.createDataFrame([], schema), k)
     dim = size[1]
-    step = max(1, BLOCK_NUMBERS // dim)
     rows = queries.select("qid", "qvector").toLocalIterator()
     parts = []
-    while block := [r for _, r in zip(range(step), rows)]:
+    while block := list(islice(rows, BLOCK_QUERIES)):
         parts.append(_block(points, block, dim, k, metric, exclude_self, schema))
     return top(reduce(DataFrame.unionAll, parts), k).select("qid", "rank", "id", "score")
 
@@ -63,15 +63,27 @@ def _block(points: DataFrame, block: list, dim: int, k: int, metric: str, exclud
     shared = points.sparkSession.sparkContext.broadcast(([r["qid"] for r in block], np.array([r["qvector"] for r in block], np.float64)))
     fields = to_arrow_schema(StructType.fromDDL(schema))
 
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray]]:
+        """Ids and vectors, CHUNK_POINTS together or a few more, however the batches are cut."""
+        ids, parts = [], []
+        for b in batches:
+            for at in range(0, b.num_rows, CHUNK_POINTS):
+                part = b.slice(at, CHUNK_POINTS)
+                ids += part.column(0).to_pylist()
+                parts.append(part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim))
+                if len(ids) >= CHUNK_POINTS:
+                    yield ids, np.concatenate(parts)
+                    ids, parts = [], []
+        if ids:
+            yield ids, np.concatenate(parts)
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qids, q = shared.value
         qn = np.linalg.norm(q, axis=1)
         kept_ids: list = []
         best = np.full((len(qids), 0), np.inf)
         which = np.zeros((len(qids), 0), np.int64)
-        for b in batches:
-            ids, vectors = b.column(0).to_pylist(), b.column(1)
-            x = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+        for ids, x in chunks(batches):
             if metric == "cosine":
                 scale = np.outer(qn, np.linalg.norm(x, axis=1))
                 score = np.where(scale == 0, V.ZERO_COSINE, 1 - (q @ x.T) / np.where(scale == 0, 1, scale))

@@ -45,7 +45,8 @@ def test_empty_queries_and_points(spark):
 
 
 def test_blocks_of_queries(spark, monkeypatch):
-    monkeypatch.setattr(S, "BLOCK_NUMBERS", 4)
+    monkeypatch.setattr(S, "BLOCK_QUERIES", 2)
+    monkeypatch.setattr(S, "CHUNK_POINTS", 2)
     p = frame(spark, [(f"{i}", [float(i), 1.0]) for i in range(9)])
     q = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(5)], "qid int, qvector array<float>")
     assert {(r["qid"], r["id"]) for r in S.search_batch(p, q, 1, "euclidean").collect()} == {(i, str(i)) for i in range(5)}
