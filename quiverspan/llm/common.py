@@ -56,14 +56,15 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root = spark, f"{scratch_root(spark)}/tables/{uuid.uuid4().hex}"
-        self.paths: dict[int, str] = {}
+        self.paths: set[str] = set()
         atexit.register(self.close)
 
     def write(self, df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
         path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
         df.write.option("compression", compression).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
+        out._scratch_path = path
+        self.paths.add(path)
         return out
 
     def _delete(self, path: str) -> None:
@@ -71,8 +72,15 @@ class Scratch:
         at = jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
 
-    def drop(self, df: DataFrame | None) -> None:
-        if df is not None and (path := self.paths.pop(id(df), None)):
+    def drop(self, *tables: DataFrame) -> None:
+        for path in {t._scratch_path for t in tables} & self.paths:
+            self.paths.remove(path)
+            self._delete(path)
+
+    def keep(self, *tables: DataFrame) -> None:
+        """Drops all other tables."""
+        for path in self.paths - {t._scratch_path for t in tables}:
+            self.paths.remove(path)
             self._delete(path)
 
     def close(self) -> None:

@@ -152,7 +152,7 @@ def across_components(texts: DataFrame, percent: int, scratch: Scratch) -> DataF
     return small.join(large, "h").where(fits).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, scratch: Scratch | None = None) -> DataFrame:
     """Every row's class: doc_id, n_shingles, component_id (the smallest id reachable over links), kept.
 
     Documents link when 100 * intersection >= percent * union of their shingle sets. A document without a word has an
@@ -169,8 +169,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
        likewise. So groups of copies are never paired out, linked or not.
     4. Components of all links, by alternating large-star and small-star.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
+    scratch = scratch or Scratch(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = scratch.write(signatures(docs, id_col, text_col), "signatures")
     some = rows.where("n_shingles > 0 AND id IS NOT NULL")
@@ -204,6 +203,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     final = scratch.write(connected_components(one.union(two), scratch), "components").select(F.col("node").alias("rep"), "component")
     classes = scratch.write(some.groupBy("digest").agg(F.min("id").alias("rep")).join(final, "rep", "left").select("digest", F.coalesce("component", "rep").cast(kind).alias("component")), "classes")
+    scratch.keep(rows, classes)
     has = rows.select("id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("digest")).alias("digest"))
     found = has.join(classes, "digest", "left").select(F.col("id").alias("doc_id"), "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
     return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
@@ -211,8 +211,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
     """docs with one document of each component, columns as they were."""
-    gone = near_duplicates(docs, id_col, text_col, percent).where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(Scratch(docs.sparkSession).write(gone, "gone"), F.col(id_col) == F.col("__gone"), "left_anti")
+    scratch = Scratch(docs.sparkSession)
+    gone = near_duplicates(docs, id_col, text_col, percent, scratch).where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
+    gone = scratch.write(gone, "gone")
+    scratch.keep(gone)
+    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
 
 
 def op1_near_dedup(spark, sf_dir: str) -> DataFrame:
