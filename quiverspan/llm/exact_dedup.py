@@ -25,14 +25,17 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     scratch = Scratch(docs.sparkSession)
     own = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     narrow = scratch.write(own.select("id", F.octet_length("text").alias("n"), F.xxhash64(ascii_lower(F.substring("text", 1, prefix_chars))).alias("head")), "narrow")
-    lengths = narrow.groupBy("n").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("n")
+    lengths = scratch.write(narrow.groupBy("n").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("n"), "lengths")
     heads = narrow.join(lengths, "n", "left_semi").groupBy("n", "head").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("n", "head")
+    heads = scratch.write(heads, "heads")  # a table again, so that AQE can split the join at a hot length or prefix
     alive = narrow.join(heads, ["n", "head"], "left_semi").select(F.col("id").alias("alive_id")).distinct()
     full = scratch.write(
         own.join(alive, F.col("id").eqNullSafe(F.col("alive_id")), "left_semi").select("id", F.octet_length("text").alias("n"), F.sha2(ascii_lower(F.col("text")), 256).alias("text_sha256")),
         "full",
     )
     groups = full.groupBy("n", "text_sha256").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
+    groups = scratch.write(groups, "groups")
+    scratch.keep(full, groups)
     return full.distinct().join(groups, ["n", "text_sha256"]).select("id", "text_sha256", "keep_id", "group_size")
 
 
