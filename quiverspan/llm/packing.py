@@ -10,6 +10,7 @@ from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,9 +18,10 @@ from pyspark.sql import functions as F
 from .common import Scratch, arrow_map, table
 from .token_counts import byte_alphabet
 
-#: Tokens of a window; documents of an index shard; how many of them stay for the next shard, so that its last seeds have a
-#: choice; neighbours that are tried whole before one is cut.
-WINDOW, SHARD, LEAVE, TRIED = 1024, 256, 32, 16
+#: Tokens of a window; documents of an index shard; neighbours that are tried whole before one is cut.
+WINDOW, SHARD, TRIED = 1024, 1024, 16
+#: Seeds of a search over all shards, and how many neighbours each gets; commonest terms whose scores are a matrix product.
+SEEDS, FOUND, COMMON = 8192, 32, 1024
 #: BM25's saturation and length normalisation.
 K1, B = 1.2, 0.75
 END_ID = 0
@@ -58,21 +60,15 @@ def crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
-def _uniform(size: int, seed: int) -> np.ndarray:
-    return -np.log(np.random.default_rng(seed).random(size))
-
-
 def tokenized(docs: DataFrame, path: str, id_col: str, text_col: str) -> DataFrame:
-    """For every row: doc_id, doc_tokens (with the end id), crcs of its full windows, the tail's ids, the distinct ids of
-    the whole document with their counts, and place: two ids drawn by weighted min-wise hashing of those counts, so
-    that documents of like words lie close by place."""
+    """For every row: doc_id, doc_tokens (with the end id), crcs of its full windows, the tail's ids, and the distinct ids of
+    the whole document with their counts."""
 
     def rows(batches: Iterator[dict]) -> Iterator[dict]:
         t = tokenizer(path)
-        one, two = _uniform(t.size, 1), _uniform(t.size, 2)
         end = np.array([END_ID], "<u2")
         for b in batches:
-            out: dict[str, list] = {"doc_id": b["id"]} | {k: [] for k in ("doc_tokens", "crcs", "tail", "terms", "counts", "place")}
+            out: dict[str, list] = {"doc_id": b["id"]} | {k: [] for k in ("doc_tokens", "crcs", "tail", "terms", "counts")}
             for text in b["text"]:
                 ids = np.concatenate([t.encode(text), end])
                 full = len(ids) // WINDOW
@@ -82,11 +78,10 @@ def tokenized(docs: DataFrame, path: str, id_col: str, text_col: str) -> DataFra
                 out["tail"].append(ids[full * WINDOW :].tobytes())
                 out["terms"].append(terms.tobytes())
                 out["counts"].append(np.minimum(counts, 255).astype(np.uint8).tobytes())  # BM25 is flat there
-                out["place"].append((int(terms[(one[terms] / counts).argmin()]) << 16) + int(terms[(two[terms] / counts).argmin()]))
             yield out
 
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return arrow_map(own, rows, f"doc_id {docs.schema[id_col].dataType.simpleString()}, doc_tokens long, crcs array<long>, tail binary, terms binary, counts binary, place long")
+    return arrow_map(own, rows, f"doc_id {docs.schema[id_col].dataType.simpleString()}, doc_tokens long, crcs array<long>, tail binary, terms binary, counts binary")
 
 
 def document_frequencies(tokens: DataFrame, size: int) -> np.ndarray:
@@ -105,14 +100,19 @@ def document_frequencies(tokens: DataFrame, size: int) -> np.ndarray:
     return out
 
 
+def postings(terms: list[np.ndarray], counts: list[np.ndarray], lengths: np.ndarray, idf: np.ndarray, mean_length: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Term, document and BM25 weight of each posting, document by document."""
+    every = np.concatenate(terms)
+    doc = np.repeat(np.arange(len(terms)), [len(t) for t in terms])
+    tf = np.concatenate(counts).astype(np.float32)
+    return every, doc, idf[every] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[doc] / mean_length))
+
+
 class Shard:
     """An inverted index over the documents of one shard: postings by term, weighted by BM25 with corpus-wide statistics."""
 
     def __init__(self, terms: list[np.ndarray], counts: list[np.ndarray], lengths: np.ndarray, idf: np.ndarray, mean_length: float):
-        every = np.concatenate(terms)
-        doc = np.repeat(np.arange(len(terms)), [len(t) for t in terms])
-        tf = np.concatenate(counts).astype(np.float32)
-        weight = idf[every] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[doc] / mean_length))
+        every, doc, weight = postings(terms, counts, lengths, idf, mean_length)
         by = np.argsort(every, kind="stable")
         self.doc, self.weight, self.size = doc[by], weight[by], len(terms)
         self.at = np.searchsorted(every[by], np.arange(len(idf) + 1))
@@ -123,8 +123,97 @@ class Shard:
         return np.bincount(self.doc[at], self.weight[at], self.size)
 
 
+class Search:
+    """The best documents for a block of seeds, over shards that come one after the other: exact BM25, for the commonest
+    terms as a product of dense matrices, for the others by postings.
+
+    A key orders a seed's documents: the bits of the score, then how far the document is behind the seed, so that the
+    seeds of many equal documents don't all ask for the same ones."""
+
+    def __init__(self, seeds: np.ndarray, terms: list[np.ndarray], found: int, total: int, idf: np.ndarray, mean_length: float, column: np.ndarray):
+        self.seeds, self.found, self.total = seeds.astype(np.int64), found, total
+        self.idf, self.mean_length, self.column = idf, mean_length, column
+        every, seed = np.concatenate(terms), np.repeat(np.arange(len(terms)), [len(t) for t in terms])
+        common = column[every] >= 0
+        self.dense = np.zeros((len(seeds), COMMON), np.float32)
+        self.dense[seed[common], column[every[common]]] = 1
+        by = np.argsort(every[~common], kind="stable")
+        self.seed, self.at = seed[~common][by], np.searchsorted(every[~common][by], np.arange(len(idf) + 1))
+        self.best = np.full((len(seeds), found), -1, np.int64)
+
+    def keys(self, scores: np.ndarray, seed: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        return (scores.view(np.int32).astype(np.int64) << 31) + (self.total - 1 - (doc - self.seeds[seed]) % self.total)
+
+    def add(self, ids: np.ndarray, terms: list[np.ndarray], counts: list[np.ndarray], lengths: np.ndarray) -> None:
+        every, doc, weight = postings(terms, counts, lengths, self.idf, self.mean_length)
+        column, weight = self.column[every], weight.astype(np.float32)
+        common = column >= 0
+        dense = np.zeros((len(ids), COMMON), np.float32)
+        dense[doc[common], column[common]] = weight[common]
+        scores = self.dense @ dense.T
+        every, doc, weight = every[~common].astype(np.int64), doc[~common], weight[~common]
+        start, n = self.at[every], self.at[every + 1] - self.at[every]
+        seed = self.seed[np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        np.add.at(scores.reshape(-1), seed * len(ids) + np.repeat(doc, n), np.repeat(weight, n))
+        _, seed, own = np.intersect1d(self.seeds, ids, assume_unique=True, return_indices=True)
+        scores[seed, own] = -1
+        self._merge(scores, ids.astype(np.int64))
+
+    def _merge(self, scores: np.ndarray, ids: np.ndarray) -> None:
+        worst = self.best.min(axis=1)
+        least = np.where(worst < 0, 0, worst >> 31).astype(np.int32).view(np.float32)
+        step = max(1, (1 << 21) // len(ids))
+        for at in range(0, len(scores), step):  # bounded memory, even where all documents pass
+            block, rows = scores[at : at + step], np.arange(at, min(at + step, len(scores)))
+            seed, doc = np.nonzero(block >= least[rows, None])
+            if len(seed) > 4 * self.found * len(rows):
+                keys = self.keys(block, rows[:, None], ids[None, :])
+                every = np.concatenate([self.best[rows], keys], axis=1)
+                self.best[rows] = np.partition(every, -self.found, axis=1)[:, -self.found :]
+            elif len(seed):
+                row = np.concatenate([np.repeat(np.arange(len(rows)), self.found), seed])
+                every = np.concatenate([self.best[rows].ravel(), self.keys(block[seed, doc], rows[seed], ids[doc])])
+                by = np.lexsort((-every, row))
+                first = np.searchsorted(row[by], np.arange(len(rows)))
+                self.best[rows] = every[by[first[:, None] + np.arange(self.found)]]
+
+
+class Windows:
+    """Greedy filling: for every document the tokens of its tail that are unused (the last ones), and pieces so far."""
+
+    def __init__(self, left: np.ndarray):
+        self.left, self.total, self.sequences = left, int(left.sum()), 0
+        self.pieces: list[tuple[int, int, int, int, int]] = []  # document, left before, length, sequence, offset
+
+    def fill(self, seed: int, ranked: list[int], complete: bool) -> bool:
+        """A window from a seed and its unused neighbours, best first; nothing is done (False) where the list ends before
+        the choice is made, unless it is complete."""
+        left, room, taken, skipped, tried = self.left, WINDOW - int(self.left[seed]), [seed], [], 1
+        for d in ranked:
+            if not room or (tried >= TRIED and skipped):
+                break
+            if n := int(left[d]):
+                if n <= room:
+                    taken.append(d)
+                    room -= n
+                else:
+                    skipped.append(d)
+                tried += 1
+        if room and not (skipped and (complete or tried >= TRIED)):
+            return False
+        offset = 0
+        for d in taken + skipped[:1] if room else taken:  # the best neighbour that is too long is cut
+            n = min(int(left[d]), WINDOW - offset)
+            self.pieces.append((d, int(left[d]), n, self.sequences, offset))
+            left[d] -= n
+            offset += n
+        self.total -= WINDOW
+        self.sequences += 1
+        return True
+
+
 class Packer:
-    """Packs tails that arrive one after the other into full windows, shard by shard."""
+    """Packs the tails of a pool, which is one shard, into full windows."""
 
     def __init__(self, idf: np.ndarray, mean_length: float, partition: int):
         self.idf, self.mean_length = idf, mean_length
@@ -188,48 +277,169 @@ class Packer:
         return out
 
 
+def tail_lengths(tokens: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers documents from 0 in the order of n: where each partition of n starts, and the lengths of all tails."""
+
+    def rows(batches: Iterator[dict]) -> Iterator[dict]:
+        parts = [(np.array(b["n"], np.int64), np.array(b["length"], np.uint16)) for b in batches]
+        if parts:
+            yield {k: [np.concatenate(x).tobytes()] for k, x in zip(("n", "length"), zip(*parts))}
+
+    own = tokens.select("n", (F.octet_length("tail") / 2).cast("int").alias("length"))
+    found = [(np.frombuffer(r["n"], np.int64), np.frombuffer(r["length"], np.uint16)) for r in arrow_map(own, rows, "n binary, length binary").collect()]
+    n, length = (np.concatenate([x[k] for x in found]) if found else np.zeros(0, (np.int64, np.uint16)[k]) for k in (0, 1))
+    starts = np.concatenate([[0], np.cumsum(np.bincount(n >> 33))]).astype(np.int64)
+    out = np.zeros(len(n), np.uint16)
+    out[number(n, starts)] = length
+    return starts, out
+
+
+def number(n: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    return starts[n >> 33] + (n & ((1 << 33) - 1))
+
+
+def seed_terms(tokens: DataFrame, seeds: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
+    wanted = tokens.sparkSession.sparkContext.broadcast((seeds, starts))
+
+    def rows(batches: Iterator[dict]) -> Iterator[dict]:
+        for b in batches:
+            at = number(np.array(b["n"], np.int64), wanted.value[1])
+            keep = np.flatnonzero(np.isin(at, wanted.value[0])).tolist()
+            yield {"at": at[keep], "terms": [b["terms"][k] for k in keep]}
+
+    part = np.searchsorted(starts, [seeds[0], seeds[-1]], "right") - 1
+    low, high = (int((p << 33) + s - starts[p]) for p, s in zip(part.tolist(), (seeds[0], seeds[-1])))
+    found = {r["at"]: r["terms"] for r in arrow_map(tokens.where(F.col("n").between(low, high)).select("n", "terms"), rows, "at long, terms binary").collect()}
+    wanted.destroy()
+    return [np.frombuffer(found[s], "<u2") for s in seeds.tolist()]
+
+
+def neighbours(tokens: DataFrame, seeds: np.ndarray, found: int, left: np.ndarray, starts: np.ndarray, shared) -> np.ndarray:
+    """For each seed (ascending) the best unused documents of all shards, best first; -1 where there are no more."""
+    spark = tokens.sparkSession
+    terms = seed_terms(tokens, seeds, starts)
+    sent = spark.sparkContext.broadcast((seeds, terms, left, starts))
+
+    def rows(batches: Iterator[dict]) -> Iterator[dict]:
+        seeds, terms, left, starts = sent.value
+        search, shard = Search(seeds, terms, found, len(left), *shared.value), []
+
+        def ask() -> None:
+            search.add(np.array([x[0] for x in shard]), [x[1] for x in shard], [x[2] for x in shard], np.array([x[3] for x in shard]))
+            shard.clear()
+
+        for b in batches:
+            at = number(np.array(b["n"], np.int64), starts)
+            for k in np.flatnonzero(left[at]).tolist():
+                shard.append((at[k], np.frombuffer(b["terms"][k], "<u2"), np.frombuffer(b["counts"][k], np.uint8), b["doc_tokens"][k]))
+                if len(shard) == SHARD:
+                    ask()
+        if shard:
+            ask()
+        for at in range(0, len(seeds), 1024):
+            yield {"seed": list(range(at, min(at + 1024, len(seeds)))), "keys": [k.tobytes() for k in search.best[at : at + 1024]]}
+
+    def best(batches: Iterator[dict]) -> Iterator[dict]:
+        for b in batches:
+            yield {"seed": b["seed"], "keys": [np.sort(np.frombuffer(b"".join(k), np.int64))[: -found - 1 : -1].tobytes() for k in b["keys"]]}
+
+    index = tokens.select("n", "doc_tokens", "terms", "counts").coalesce(spark.sparkContext.defaultParallelism)
+    lists = arrow_map(index, rows, "seed int, keys binary").groupBy("seed").agg(F.collect_list("keys").alias("keys"))
+    keys = np.full((len(seeds), found), -1, np.int64)
+    for r in arrow_map(lists, best, "seed int, keys binary").collect():
+        keys[r["seed"]] = np.frombuffer(r["keys"], np.int64)
+    sent.destroy()
+    behind = len(left) - 1 - (keys & ((1 << 31) - 1))
+    return np.where(keys < 0, -1, (seeds[:, None] + behind) % len(left))
+
+
+def fill_windows(tokens: DataFrame, left: np.ndarray, starts: np.ndarray, shared, scratch: Scratch) -> list[DataFrame]:
+    """Windows until one shard can hold all unused documents; left is brought up to date. Tables of pieces."""
+    windows, tables = Windows(left), []
+
+    def keep() -> None:
+        at, before, length, sequence, offset = np.array(windows.pieces, np.int64).T
+        part = np.searchsorted(starts, at, "right") - 1
+        columns = {"n": (part << 33) + at - starts[part], "before": before, "length": length, "sequence_id": 2 * sequence, "offset": offset}
+        tables.append(scratch.write(tokens.sparkSession.createDataFrame(pa.table(columns)), "pieces"))
+        windows.pieces = []
+
+    size, found = SEEDS, FOUND
+    while windows.total >= WINDOW and (unused := np.flatnonzero(left)).size > SHARD:
+        seeds = unused[:size]
+        done = asked = 0
+        for seed, ranked in zip(seeds.tolist(), neighbours(tokens, seeds, found, left, starts, shared).tolist()):
+            if left[seed] and windows.total >= WINDOW:
+                asked += 1
+                done += windows.fill(seed, [d for d in ranked if d >= 0], ranked[-1] < 0 or found >= unused.size - 1)
+        if 2 * done < asked and size > 64:  # many want the same documents: fewer seeds, longer lists
+            size, found = size // 4, found * 4
+        elif 10 * done > 9 * asked and size < SEEDS:
+            size, found = size * 4, found // 4
+        if len(windows.pieces) > 1 << 20:
+            keep()
+    if windows.pieces:
+        keep()
+    return tables
+
+
 def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces of every document's ids (then the end id): doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    Sequences have WINDOW tokens, but for the rest of each partition, which goes into sequences of 512, 256 ... tokens: no
-    padding at all. Full windows of a long document are sequences of their own. Its tail seeds, or fills, a window:
-    each seed asks its shard's index for the unused documents that score highest by BM25 for all of its distinct ids,
+    Sequences have WINDOW tokens, but for the rest, which goes into sequences of 512, 256 ... tokens: no padding at all.
+    Full windows of a long document are sequences of their own. Its tail seeds, or fills, a window: each seed asks the
+    shards of the index, all of them, for the unused documents that score highest by BM25 for all of its distinct ids,
     and takes them in that order, whole where they fit; the last one is cut, and its rest stays unused.
 
-    Documents are dealt to partitions by ranges of (place, hash of id), so like ones meet in a shard, and a place
-    that very many share is spread over partitions. A task holds one shard. Document frequencies and the mean length
-    cover all documents; the broadcast idf is as long as the vocabulary. Null text is empty: the end id alone. Every
-    row is packed, repeated ones too; empty table: no rows.
+    A block of seeds is broadcast to all shards; the driver fills windows from the merged lists, and a seed whose list is
+    used up asks again. So each seed is scored against every unused document: CPU time grows with the square of the
+    documents. The driver holds two bytes a document. Document frequencies and the mean length cover all documents; the
+    broadcast idf is as long as the vocabulary. Null text is empty: the end id alone. Every row is packed, repeated
+    ones too; empty table: no rows.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    tokens = scratch.write(tokenized(docs, path, id_col, text_col), "tokens")
+    tokens = scratch.write(tokenized(docs, path, id_col, text_col).withColumn("n", F.monotonically_increasing_id()), "tokens")
     total, mean_length = tokens.agg(F.count(F.lit(1)), F.avg("doc_tokens")).first()
     df = document_frequencies(tokens, tokenizer(path).size)
-    shared = spark.sparkContext.broadcast((np.log1p((total - df + 0.5) / (df + 0.5)).astype(np.float32), float(mean_length or 1)))
+    column = np.full(len(df), -1, np.int32)
+    column[np.argsort(-df, kind="stable")[:COMMON]] = np.arange(min(COMMON, len(df)))
+    idf, mean_length = np.log1p((total - df + 0.5) / (df + 0.5)).astype(np.float32), float(mean_length or 1)
+    starts, left = tail_lengths(tokens)
+    pieces = fill_windows(tokens, left, starts, spark.sparkContext.broadcast((idf, mean_length, column)), scratch)
+    shared = spark.sparkContext.broadcast((idf, mean_length, left, starts))
+
+    def unused(batches: Iterator[dict]) -> Iterator[dict]:
+        left, starts = shared.value[2:]
+        for b in batches:
+            at = number(np.array(b["n"], np.int64), starts)
+            keep = np.flatnonzero(left[at]).tolist()
+            out = {k: [v[i] for i in keep] for k, v in b.items() if k != "n"}
+            yield out | {"tail": [t[-2 * int(n) :] for t, n in zip(out["tail"], left[at[keep]])]}
 
     def rows(batches: Iterator[dict]) -> Iterator[dict]:
-        from pyspark import TaskContext
-
-        packer = Packer(*shared.value, TaskContext.get().partitionId())
+        packer = Packer(*shared.value[:2], 1)  # ids from 1 << 32: beyond those of fill_windows
         for b in batches:
             for i, n, tail, terms, counts in zip(b["doc_id"], b["doc_tokens"], b["tail"], b["terms"], b["counts"]):
                 ids = np.frombuffer(tail, "<u2")
                 packer.pool.append([i, n, n - len(ids), ids, np.frombuffer(terms, "<u2"), np.frombuffer(counts, np.uint8)])
-                if len(packer.pool) >= SHARD:
-                    packer.fill(LEAVE)
-            if packer.out:
-                yield packer.flush()
         packer.fill(0)
         packer.finish()
         if packer.out:
             yield packer.flush()
 
+    def cut(batches: Iterator[dict]) -> Iterator[dict]:
+        for b in batches:
+            tails = (np.frombuffer(t, "<u2") for t in b["tail"])
+            crcs = [crc(t[len(t) - before :][:n]) for t, before, n in zip(tails, b["before"], b["length"])]
+            yield {k: b[k] for k in ("doc_id", "length", "doc_tokens", "sequence_id", "offset")} | {"start": [n - before for n, before in zip(b["doc_tokens"], b["before"])], "ids_crc32": crcs}
+
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = tokens.where(F.octet_length("tail") > 0).withColumn("h", F.xxhash64("doc_id")).repartitionByRange(parts, "place", "h").sortWithinPartitions("place", "h")
-    tails = arrow_map(dealt.select("doc_id", "doc_tokens", "tail", "terms", "counts"), rows, schema)
+    rest = arrow_map(tokens.select("n", "doc_id", "doc_tokens", "tail", "terms", "counts"), unused, f"doc_id {kind}, doc_tokens long, tail binary, terms binary, counts binary")
+    tails = arrow_map(rest.repartition(1), rows, schema)  # less than a window, or at most a shard
+    for table_ in pieces:
+        tails = tails.unionByName(arrow_map(tokens.select("n", "doc_id", "doc_tokens", "tail").join(table_, "n").drop("n"), cut, schema))
     full = tokens.select("doc_id", "doc_tokens", F.posexplode("crcs").alias("k", "crc"))
     window = F.lit(WINDOW).cast("long")
     full = full.select("doc_id", (F.col("k") * window).alias("start"), window.alias("length"), F.col("crc").alias("ids_crc32"), "doc_tokens", (2 * F.monotonically_increasing_id() + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))

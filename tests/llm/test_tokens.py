@@ -151,3 +151,43 @@ def test_bm25_scores_equal_the_formula():
     query = docs[3][0].astype(np.uint32)
     want = [sum(idf[t] * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * n / 30)) for t, c in zip(*d) if t in query) for d, n in zip(docs, lengths)]
     assert np.allclose(shard.scores(query), want, rtol=1e-5)
+
+
+def test_seeds_are_asked_of_all_shards(spark, monkeypatch):
+    """Three documents a topic, far from each other in the table: as many meet as if one shard held all documents."""
+    rng, n, topics = random.Random(6), 2100, 700
+    words = [w[1:] for w in sorted(library().get_vocab()) if w[0] == "Ġ" and w[1:].isascii() and w[1:].isalpha()]
+    common, own = words[:100], words[100 : 100 + 3 * topics]
+    texts = [" ".join(rng.sample([*(common * 3), *own[3 * (i % topics) : 3 * (i % topics) + 3] * 5], 315)) for i in range(n)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+
+    def beside():
+        sequences = defaultdict(set)
+        for r in packing.pack(docs, BYTES).collect():
+            sequences[r["sequence_id"]].add(r["doc_id"])
+        return len({d for s in sequences.values() for d in s if any(e != d and e % topics == d % topics for e in s)}) / n
+
+    assert n > 2 * packing.SHARD
+    found = beside()
+    monkeypatch.setattr(packing, "SHARD", n)
+    assert found > 0.8 and found > beside() - 0.02
+
+
+def test_search_equals_brute_force():
+    rng = np.random.default_rng(7)
+    docs = [np.unique(rng.integers(0, 3000, 120) ** 2 // 3000, return_counts=True) for _ in range(700)]
+    docs[300:340] = docs[:1] * 40  # equal ones
+    terms, counts, lengths = [t.astype("<u2") for t, _ in docs], [c.astype(np.uint8) for _, c in docs], np.full(700, 120)
+    df = np.bincount(np.concatenate(terms), minlength=3000)
+    idf, column = np.log1p((700.5 - df) / (df + 0.5)).astype(np.float32), np.full(3000, -1)
+    column[np.argsort(-df, kind="stable")[: packing.COMMON]] = np.arange(packing.COMMON)
+    seeds = np.arange(0, 700, 7)
+    search = packing.Search(seeds, [terms[i] for i in seeds], 20, 700, idf, 120.0, column)
+    for at in range(0, 700, 150):
+        search.add(np.arange(at, min(700, at + 150)), terms[at : at + 150], counts[at : at + 150], lengths[at : at + 150])
+    whole = packing.Shard(terms, counts, lengths, idf, 120.0)
+    for i, keys in zip(seeds.tolist(), search.best):
+        scores = whole.scores(terms[i].astype(np.uint32))
+        got = (i + 699 - (keys & ((1 << 31) - 1))) % 700
+        assert i not in got and len(set(got.tolist())) == 20
+        assert np.allclose(np.sort(scores[got]), np.sort(np.delete(scores, i))[-20:], rtol=1e-4)
