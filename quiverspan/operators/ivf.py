@@ -46,7 +46,7 @@ def index(points: DataFrame, centers: np.ndarray) -> DataFrame:
     return _cells(points, "vector", centers, 1)
 
 
-def search(indexed: DataFrame, queries: DataFrame, centers: np.ndarray, k: int = 10, probes: int = 8) -> DataFrame:
+def search(indexed: DataFrame, queries: DataFrame, centers: np.ndarray, k: int = 10, probes: int = 12) -> DataFrame:
     """qid, rank, id, score (cosine distance) from the probes nearest cells; all cells: exact."""
     q = _cells(queries.select("qid", "qvector"), "qvector", centers, min(probes, len(centers)))
     hits = indexed.join(q, "cell").select("qid", "id", V.cosine_distance(F.col("vector"), F.col("qvector")).alias("score"))

@@ -140,7 +140,7 @@ def ivf_exhaustive(spark, d):
 def ivf_search(spark, d):
     p = T.points(spark, d)
     centers = ivf.fit(p, 16)
-    return rounded(ivf.search(ivf.index(p, centers), T.queries(spark, d), centers, 10, probes=8), "score")
+    return rounded(ivf.search(ivf.index(p, centers), T.queries(spark, d), centers, 10, probes=12), "score")
 
 
 @query(f"""WITH h AS ({_batch(COSINE, 5)}) SELECT h.qid, h.rank, h.id, h.score, e.label FROM h JOIN embeddings e ON e.vec_id = h.id""")

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from quiverspan.operators import ivf
 from quiverspan.operators import search as S
+from quiverspan.plans import catalogue
 
 
 def frame(spark, rows):
@@ -63,6 +64,12 @@ def test_ivf_recall(spark, sf_dir):
     assert len(found & exact) / len(exact) >= 0.9
 
 
+def test_registered_ivf_search_has_the_recall(spark, sf_dir):
+    keys = lambda name: {(r["qid"], r["id"]) for r in catalogue.QUERIES[name](spark, sf_dir).collect()}
+    exact = keys("ivf_exhaustive")
+    assert len(keys("ivf_search") & exact) / len(exact) >= 0.9
+
+
 def test_progressive_ends_with_the_exact_answer(spark):
     p = frame(spark, [(f"{i}", [float(i), 1.0]) for i in range(8)])
     shards = [p.where(F.col("id").cast("int") % 2 == k) for k in (0, 1)]
