@@ -76,8 +76,8 @@ def linked_spans(raw: bytes, low: bytes, base: list[Span], max_gap: int = MAX_GA
     placed = lambda spans: [(bisect_right(breaks, s), s, e) for s, e, _ in spans]
     taken = Near([(0, s, e) for s, e, _ in base])
     free = lambda spans: [x for x in spans if not taken.touches(0, x[0] + 1, x[1] - 1, 0)]
+    near_id = Near(placed([*ids, *(x for x in base if x[2] == "access")]))  # also the ids that a base span reports
     ids, secrets, ends = free(ids), free(secrets), free(ends)
-    near_id = Near(placed([*ids, *(x for x in base if x[2] == "access")]))
     near_secret = Near(placed([*secrets, *(x for x in base if x[2] != "access")]))
     near_end = Near(placed(ends))
     at = lambda x: (bisect_right(breaks, x[0]), x[0], x[1], max_gap)

@@ -39,6 +39,12 @@ def test_weak_parts_need_their_complement():
     assert kinds("user=alice " + "deadbeef" * 4) == ["weak_id", "hex"]
 
 
+def test_an_identifier_that_a_base_span_covers_is_a_complement():
+    text = "client_id=3f9a0b1c2d4e5f60718293a4 pwd=hunter22"
+    assert [x[0] for x in secrets.spans_of(text)] == ["hex", "weak_secret"]
+    assert secrets.redact(text) == "client_id=[HEX] [WEAK_SECRET]"
+
+
 def test_find_and_redact(docs, rows, empty):
     got = secrets.find_secrets(docs).collect()
     assert len(got) == len(rows) and secrets.find_secrets(empty).count() == 0
