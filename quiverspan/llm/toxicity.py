@@ -133,13 +133,17 @@ def predict(docs: DataFrame, model: Weights, id_col: str = "doc_id", text_col: s
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that score threshold or more, columns as they were. Scores are made beside the row: no join."""
+    """docs without the rows that score threshold or more, columns as they were. Scores are made beside the row: no join.
+    Where no label can be learnt from, every row stays."""
     import pyarrow as pa
 
     from .common import bound_batches
 
     bound_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col, text_col))
+    model = fit(docs, labels, id_col, text_col)
+    if not len(model.at) and model.bias == 0:
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scores(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         dense, bias = shared.value.dense(), shared.value.bias

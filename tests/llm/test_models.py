@@ -92,3 +92,11 @@ def test_drop_toxic_keeps_columns(spark, docs, rows):
     labels = spark.createDataFrame([(i, 0) for i, *_ in rows], "doc_id long, toxic int")
     kept = toxicity.drop_toxic(docs, labels)
     assert kept.columns == docs.columns and kept.count() == len(rows)
+
+
+def test_drop_toxic_without_labels_keeps_all(spark, docs, rows):
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    null = spark.createDataFrame([(i, None) for i, *_ in rows], "doc_id long, toxic int")
+    for labels in (none, null):
+        kept = toxicity.drop_toxic(docs, labels)
+        assert kept.columns == docs.columns and kept.count() == len(rows)
