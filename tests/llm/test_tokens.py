@@ -56,22 +56,59 @@ def test_counts_equal_the_library(word_library, text, chunk):
 def test_state_maps_compose_in_any_order(word_library):
     c = token_counts.counter(WORDS)
     rng = random.Random(2)
-    text = "".join(rng.choice("abc de.f,1 2") for _ in range(400))
-    maps = [token_counts.chunk_map(text[i : i + 7], c.words, token_counts._spaces.split) for i in range(0, 400, 7)]
-    left = token_counts.IDENTITY
-    for m in maps:
-        left = token_counts.compose(left, m, c.words)
-    assert left == token_counts.scan(maps, c.words)
+    text = "".join(rng.choice("abc de.f,1 2's'r'l") for _ in range(400))
+    maps = c.maps(text, 7)
+    left = maps[0]
+    for m in maps[1:]:
+        left = token_counts.Composed(left, m)
+    right = maps[-1]
+    for m in maps[-2::-1]:
+        right = token_counts.Composed(m, right)
+    state, count = token_counts.scan(c.maps(text, 7)).at(token_counts.START)
+    assert left.at(token_counts.START) == right.at(token_counts.START) == (state, count)
+    assert count + c.transducer.finish(state) == len(word_library.encode(text, add_special_tokens=False).ids)
+
+
+def test_a_chunk_maps_every_entering_state():
+    """A map's value for a state is what the transducer does from there, character by character."""
+    c = token_counts.counter(WORDS)
+    t = c.transducer
+    states = [t.walk(token_counts.START, x)[0] for x in ("", "hel", "...", "'", "'r", "it'l", "a1", "zz'")]
+    for text in ("lo wor", "e the", "", "   ", "abcdef", "'s", " x", "l "):
+        chunk = token_counts.Chunk(t, text, None)
+        for s in states:
+            at, count, slow = s, 0, None
+            for ch in text:
+                at, n = t.walk(at, ch)
+                count += n
+            slow = at, count
+            assert chunk.at(s) == slow
+
+
+def test_short_texts_take_the_same_path(monkeypatch):
+    made = []
+    real = token_counts.Chunk
+    monkeypatch.setattr(token_counts, "Chunk", lambda *a: made.append(a[1]) or real(*a))
+    c = token_counts.counter(WORDS)
+    assert c.count("one two") and made == ["one two"]
+
+
+@pytest.mark.parametrize("alphabet", ["abcdefghijklmnopqrstuvwxyz", "ABCdefg0123456789+/", "'!?.-"])
+def test_a_long_text_without_white_space(word_library, alphabet):
+    rng = random.Random(8)
+    text = "".join(rng.choice(alphabet) for _ in range(300_000))
+    assert token_counts.counter(WORDS).count(text) == len(word_library.encode(text, add_special_tokens=False).ids)
 
 
 def test_bounded_automaton_gives_the_same_counts(monkeypatch, word_library):
-    monkeypatch.setattr(token_counts, "MAX_STATES", 50)
-    monkeypatch.setattr(token_counts, "MAX_WORDS", 20)
+    for name, most in (("MAX_STATES", 50), ("MAX_HELD", 100), ("MAX_PAIRS", 30), ("MAX_RUN", 6)):
+        monkeypatch.setattr(token_counts, name, most)
     c = token_counts.Counter(WORDS)
     rng = random.Random(3)
     for _ in range(60):
         text = " ".join("".join(rng.choice("abcdeinrst") for _ in range(rng.randrange(1, 14))) for _ in range(30))
-        assert c.count(text) == len(word_library.encode(text, add_special_tokens=False).ids)
+        assert c.count(text, 40) == len(word_library.encode(text, add_special_tokens=False).ids)
+        assert len(c.transducer.words) <= 101 and len(c.transducer.merges.pair_ok) <= 30
 
 
 def test_count_tokens(docs, rows, empty, word_library):
