@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, arrow_map, held_out, table
 
-#: log2 of the hashed features; labelled rows that a fit reads at most; rows that must have a feature for it to be learnt.
-BITS, MAX_ROWS, MIN_ROWS = 22, 12_000, 5
-#: FTRL's rates and penalties; passes.
-ALPHA, BETA, L1, L2, EPOCHS = 2.0, 1.0, 3.0, 0.0, 4
+#: log2 of the hashed features; labelled rows that a fit reads at most.
+BITS, MAX_ROWS = 22, 12_000
+#: FTRL's rates and penalties; passes; how much a toxic row's gradient counts against another's. The L1 penalty alone
+#: decides which features get a weight, at every number of rows.
+ALPHA, BETA, L1, L2, EPOCHS, TOXIC_WEIGHT = 2.0, 1.0, 7.0, 0.0, 4, 3.0
 
 _word = re.compile(r"[^\W_]+")
 
@@ -57,10 +58,10 @@ def score(text: str | None, dense: np.ndarray, bias: float) -> float:
     return float(1 / (1 + np.exp(-np.clip(bias + dense[hit].sum(dtype=np.float64), -30, 30))))
 
 
-def ftrl(passes: Iterable[Iterable[tuple[np.ndarray, int]]], alpha: float = ALPHA, beta: float = BETA, l1: float = L1, l2: float = L2) -> Weights:
+def ftrl(passes: Iterable[Iterable[tuple[np.ndarray, int]]], alpha: float = ALPHA, beta: float = BETA, l1: float = L1, l2: float = L2, one_weight: float = TOXIC_WEIGHT) -> Weights:
     """FTRL-proximal: each coordinate has its own rate from its squared gradients, and is zero while |z| <= l1. The bias
     is a coordinate without penalty. passes: the rows of each pass over the data, as distinct feature hashes and a label
-    of 0 or 1; they are learnt one at a time and may be streamed."""
+    of 0 or 1; they are learnt one at a time and may be streamed. Gradients of rows of label 1 count one_weight times."""
     z, n = np.zeros(1 << BITS, np.float32), np.zeros(1 << BITS, np.float32)
     zb = nb = 0.0
 
@@ -71,7 +72,7 @@ def ftrl(passes: Iterable[Iterable[tuple[np.ndarray, int]]], alpha: float = ALPH
         for x, y in rows:
             zx, nx = z[x], n[x]
             w, bias = weight(zx, nx), -zb / ((beta + nb**0.5) / alpha)
-            g = 1 / (1 + np.exp(-np.clip(bias + w.sum(), -30, 30))) - y
+            g = (1 / (1 + np.exp(-np.clip(bias + w.sum(), -30, 30))) - y) * (one_weight if y else 1.0)
             z[x] = zx + g - (np.sqrt(nx + g * g) - np.sqrt(nx)) / alpha * w
             n[x] = nx + g * g
             zb += g - ((nb + g * g) ** 0.5 - nb**0.5) / alpha * bias
@@ -81,15 +82,6 @@ def ftrl(passes: Iterable[Iterable[tuple[np.ndarray, int]]], alpha: float = ALPH
     return Weights(at.astype(np.uint32), w[at].astype(np.float32), -zb / ((beta + nb**0.5) / alpha))
 
 
-def frequent(rows: Iterable[tuple[np.ndarray, int]], min_rows: int = MIN_ROWS) -> np.ndarray:
-    """For each hash, whether min_rows of the rows have it (fewer, down to one, below 2,000 rows)."""
-    seen, n = np.zeros(1 << BITS, np.int32), 0
-    for x, _ in rows:
-        seen[x] += 1
-        n += 1
-    return seen >= min(min_rows, 1 + n // 400)
-
-
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_ROWS) -> Weights:
     """Learns from labelled rows that aren't held out, all or a random share, about max_rows, of them by hash of id. Rows
     with a null id, label or other label than 0 and 1 teach nothing; no rows: every score is 0.5. The driver streams the
@@ -112,8 +104,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         for r in hashed.toLocalIterator(prefetchPartitions=True):  # a part at a time
             yield np.frombuffer(r["x"], np.uint32), r["y"]
 
-    ok = frequent(one_pass())
-    model = ftrl(((x[ok[x]], y) for x, y in one_pass()) for _ in range(EPOCHS))
+    model = ftrl(one_pass() for _ in range(EPOCHS))
     scratch.close()
     return model
 
@@ -134,7 +125,9 @@ def predict(docs: DataFrame, model: Weights, id_col: str = "doc_id", text_col: s
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that score threshold or more, columns as they were. Scores are made beside the row: no join.
-    Where no label can be learnt from, every row stays."""
+
+    Where no label can be learnt from, every row stays. Null and empty texts get the score of the bias; repeated rows
+    share a fate; columns of docs whose names clash with those of labels don't matter; empty table: no rows."""
     import pyarrow as pa
 
     from .common import bound_batches
@@ -156,6 +149,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_co
 
 
 def op6_toxicity(spark, sf_dir: str) -> DataFrame:
+    """Learns from labels, scores documents: one row each, null or empty texts too (the score of the bias)."""
     docs = table(spark, sf_dir, "documents")
     found = predict(docs, fit(docs, table(spark, sf_dir, "labels")))
     return found.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
