@@ -1,53 +1,126 @@
-"""Approximate search by inverted cells: k-means centroids, an equi-join on the nearest cells, exact distances within."""
+"""Approximate search by inverted cells: k-means centroids, points in their nearest cells, exact distances within the cells
+that a query probes. How many it probes is calibrated for a recall."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import vector as V
+from .blocks import Task, best_of_blocks, cosine
 from .search import top
 
-#: Vectors that a fit reads at most.
-SAMPLE = 20_000
+#: Vectors that a fit reads at most; of them, those that calibrate the probes; points of a cell that cells are made for.
+SAMPLE, TRIALS, PER_CELL = 20_000, 200, 64
+#: Cells of an index: at least, at most.
+LEAST_CELLS, MOST_CELLS = 16, 4096
+
+
+@dataclass(frozen=True)
+class Cells:
+    """Centroids (unit vectors), and the probes that gave the wanted recall on the sample. Bounded: MOST_CELLS rows."""
+
+    centers: np.ndarray
+    probes: int
+
+    def nearest(self, x: np.ndarray, n: int) -> np.ndarray:
+        return np.argsort(-(x @ self.centers.T), axis=1, kind="stable")[:, :n]
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        rows = [(i, self.probes, c.tolist()) for i, c in enumerate(self.centers)]
+        spark.createDataFrame(rows, "cell int, probes int, center array<double>").coalesce(1).write.mode("overwrite").parquet(path)
 
-def fit(points: DataFrame, cells: int, sample: int = SAMPLE, rounds: int = 12, seed: int = 1) -> np.ndarray:
-    """Centroids of unit vectors by Lloyd's rounds over a random sample of bounded size; every row is indexed later."""
-    n = points.count()
-    drawn = points.select("id", "vector").where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, 1.1 * sample / max(1, n))))
-    x = np.array([r["vector"] for r in drawn.orderBy(F.xxhash64("id"), "id").limit(sample).collect()], np.float64)
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    centers = x[np.random.default_rng(seed).choice(len(x), min(cells, len(x)), replace=False)]
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> Cells:
+        rows = spark.read.parquet(path).orderBy("cell").collect()
+        return Cells(np.array([r["center"] for r in rows], np.float64).reshape(len(rows), -1), rows[0]["probes"] if rows else 1)
+
+
+def fit(points: DataFrame, cells: int | None = None, sample: int = SAMPLE, rounds: int = 12, seed: int = 1, recall: float = 0.95, k: int = 10) -> Cells:
+    """Centroids of unit vectors by Lloyd's rounds over a random sample of bounded size; every row is indexed later.
+
+    cells: by default one for each PER_CELL points, within LEAST_CELLS and MOST_CELLS. The probes are the fewest that
+    find the share recall of the k nearest of TRIALS sampled vectors within the sample. Null and empty vectors, and those
+    of another dimension than most, aren't fitted; without points there are no cells."""
+    whole = points.where("size(vector) > 0")
+    sizes = whole.groupBy(F.size("vector").alias("dim")).agg(F.count(F.lit(1)).alias("rows")).orderBy(F.desc("rows"), "dim").first()
+    if sizes is None:
+        return Cells(np.zeros((0, 0)), 1)
+    dim, n = sizes
+    drawn = whole.where((F.size("vector") == dim) & (F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, 1.1 * sample / n))))
+    x = np.array([r["vector"] for r in drawn.select("id", "vector").orderBy(F.xxhash64("id"), "id").limit(sample).collect()], np.float64)
+    x = unit(x[np.isfinite(x).all(axis=1)])
+    count = min(len(x), cells or min(MOST_CELLS, max(LEAST_CELLS, n // PER_CELL)))
+    rng = np.random.default_rng(seed)
+    centers = x[rng.choice(len(x), count, replace=False)]
     for _ in range(rounds):
         own = (x @ centers.T).argmax(axis=1)
         sums = np.zeros_like(centers)
         np.add.at(sums, own, x)
         lengths = np.linalg.norm(sums, axis=1, keepdims=True)
         centers = np.where(lengths > 0, sums / np.maximum(lengths, 1e-12), centers)
-    return centers
+    return Cells(centers, calibrated(x, centers, x[rng.choice(len(x), min(TRIALS, len(x)), replace=False)], k, recall))
+
 
+def unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
-def _cells(vectors: DataFrame, column: str, centers: np.ndarray, probes: int) -> DataFrame:
-    shared = vectors.sparkSession.sparkContext.broadcast(centers)
+
+def calibrated(x: np.ndarray, centers: np.ndarray, trials: np.ndarray, k: int, recall: float) -> int:
+    """The fewest probes by which trials find that share of their k nearest in x."""
+    own = (x @ centers.T).argmax(axis=1)
+    k = min(k, len(x))
+    near = np.argpartition(cosine(trials, x), k - 1, axis=1)[:, :k]
+    place = np.argsort(np.argsort(-(trials @ centers.T), axis=1, kind="stable"), axis=1)  # when a trial reaches each cell
+    reached = np.sort(np.take_along_axis(place, own[near], 1).ravel())
+    return int(reached[min(len(reached) - 1, int(np.ceil(recall * len(reached))) - 1)]) + 1
+
+
+def _nearest(vectors: DataFrame, column: str, cells: Cells, n: int, name: str) -> DataFrame:
+    shared, dim = vectors.sparkSession.sparkContext.broadcast(cells), cells.centers.shape[1]
 
     def nearest(batch: pa.Array) -> pa.Array:
-        x = np.array(batch.to_pylist(), np.float64)
-        order = np.argsort(-(x @ shared.value.T), axis=1, kind="stable")[:, :probes]
-        return pa.array(order.astype(np.int32).tolist(), pa.list_(pa.int32()))
+        rows = batch.to_pylist()
+        ok = [i for i, v in enumerate(rows) if v and len(v) == dim and None not in v]
+        out: list = [None] * len(rows)
+        if ok:
+            for i, own in zip(ok, shared.value.nearest(np.array([rows[i] for i in ok], np.float64), n).tolist()):
+                out[i] = own
+        return pa.array(out, pa.list_(pa.int32()))
+
+    return vectors.withColumn(name, F.arrow_udf(nearest, "array<int>")(F.col(column)))
+
+
+def index(points: DataFrame, cells: Cells) -> DataFrame:
+    """Points with the cell of their nearest centroid; save() sorts it by cell. A point without a
+    vector, or of another dimension, has a null cell and is found by no query."""
+    return _nearest(points, "vector", cells, 1, "own").withColumn("cell", F.col("own")[0]).drop("own")
+
+
+def save(indexed: DataFrame, cells: Cells, path: str) -> None:
+    """Writes centroids and points, these sorted by cell, so that a later session searches without a fit."""
+    cells.save(indexed.sparkSession, f"{path}/centers")
+    indexed.repartitionByRange("cell").sortWithinPartitions("cell").write.mode("overwrite").parquet(f"{path}/points")
 
-    return vectors.withColumn("cell", F.explode(F.arrow_udf(nearest, "array<int>")(F.col(column))))
 
+def load(spark: SparkSession, path: str) -> tuple[DataFrame, Cells]:
+    return spark.read.parquet(f"{path}/points"), Cells.load(spark, f"{path}/centers")
 
-def index(points: DataFrame, centers: np.ndarray) -> DataFrame:
-    """Points with the cell of their nearest centroid; write it partitioned or bucketed by cell to prune scans."""
-    return _cells(points, "vector", centers, 1)
 
+def search(indexed: DataFrame, queries: DataFrame, cells: Cells, k: int = 10, probes: int | None = None, ef: int = 0) -> DataFrame:
+    """qid, rank, id, score (cosine distance) from the nearest cells; all cells: exact.
 
-def search(indexed: DataFrame, queries: DataFrame, centers: np.ndarray, k: int = 10, probes: int = 12) -> DataFrame:
-    """qid, rank, id, score (cosine distance) from the probes nearest cells; all cells: exact."""
-    q = _cells(queries.select("qid", "qvector"), "qvector", centers, min(probes, len(centers)))
-    hits = indexed.join(q, "cell").select("qid", "id", V.cosine_distance(F.col("vector"), F.col("qvector")).alias("score"))
-    return top(hits, k).select("qid", "rank", "id", "score")
+    probes: by default those that the fit calibrated, and as many as hold ef points on average. Points don't move: each
+    task multiplies its points with the queries that probe their cells."""
+    n = len(cells.centers)
+    if probes is None:
+        probes = cells.probes
+        if ef > k and n:
+            per_cell = max(1, indexed.count() // n)
+            probes = max(probes, -(-ef // per_cell))
+    q = _nearest(queries.select("qid", "qvector"), "qvector", cells, max(1, min(probes, n)), "cells").where("cells IS NOT NULL")
+    placed = indexed.where("cell IS NOT NULL").sortWithinPartitions("cell")
+    return top(best_of_blocks(placed, q, Task(k, "cosine", cells=True)), k).select("qid", "rank", "id", "score")

@@ -5,18 +5,14 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from functools import reduce
-from itertools import islice
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vector as V
+from .blocks import Task, best_of_blocks
 
 DEFAULT_K = 10
-#: Queries of one broadcast block, and points that a task multiplies with them at a time (32 MB of scores).
-BLOCK_QUERIES, CHUNK_POINTS = 2048, 2048
 
 
 def top(hits: DataFrame, k: int | Column, by: str | None = "qid") -> DataFrame:
@@ -39,87 +35,20 @@ def search(points: DataFrame, query: list[float], k: int = DEFAULT_K, metric: st
 def search_batch(points: DataFrame, queries: DataFrame, k: int = DEFAULT_K, metric: str = "cosine", exclude_self: bool = False) -> DataFrame:
     """The kNN join of queries (qid, qvector) with points (id, vector): qid, rank, id, score, ties by id.
 
-    Queries are counted and measured first, then sent in blocks of bounded size; each task multiplies its points with a
-    block as matrices and keeps k rows a query, so what is shuffled is k rows for each query and task. Points are never
-    moved. Rows without a vector or with another dimension than the queries are left out of the comparison."""
+    Each task multiplies its points with blocks of queries as matrices and keeps k rows a query, so what is shuffled is k
+    rows for each query and task (see blocks.best_of_blocks). A query with a null or empty vector, or of a dimension that
+    no point has, gets no row; so do points without a vector."""
     k = k if k > 0 else DEFAULT_K
-    size = queries.agg(F.count(F.lit(1)), F.max(F.size("qvector"))).first()
-    id_type, q_type = points.schema["id"].dataType.simpleString(), queries.schema["qid"].dataType.simpleString()
-    schema = f"qid {q_type}, id {id_type}, score double"
-    if not size[0]:
-        return top(points.sparkSession.createDataFrame([], schema), k)
-    dim = size[1]
-    rows = queries.select("qid", "qvector").toLocalIterator()
-    parts = []
-    while block := list(islice(rows, BLOCK_QUERIES)):
-        parts.append(_block(points, block, dim, k, metric, exclude_self, schema))
-    return top(reduce(DataFrame.unionAll, parts), k).select("qid", "rank", "id", "score")
-
-
-def _block(points: DataFrame, block: list, dim: int, k: int, metric: str, exclude_self: bool, schema: str) -> DataFrame:
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    shared = points.sparkSession.sparkContext.broadcast(([r["qid"] for r in block], np.array([r["qvector"] for r in block], np.float64)))
-    fields = to_arrow_schema(StructType.fromDDL(schema))
-
-    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray]]:
-        """Ids and vectors, CHUNK_POINTS together or a few more, however the batches are cut."""
-        ids, parts = [], []
-        for b in batches:
-            for at in range(0, b.num_rows, CHUNK_POINTS):
-                part = b.slice(at, CHUNK_POINTS)
-                ids += part.column(0).to_pylist()
-                parts.append(part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim))
-                if len(ids) >= CHUNK_POINTS:
-                    yield ids, np.concatenate(parts)
-                    ids, parts = [], []
-        if ids:
-            yield ids, np.concatenate(parts)
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qids, q = shared.value
-        qn = np.linalg.norm(q, axis=1)
-        kept_ids: list = []
-        best = np.full((len(qids), 0), np.inf)
-        which = np.zeros((len(qids), 0), np.int64)
-        for ids, x in chunks(batches):
-            if metric == "cosine":
-                scale = np.outer(qn, np.linalg.norm(x, axis=1))
-                score = np.where(scale == 0, V.ZERO_COSINE, 1 - (q @ x.T) / np.where(scale == 0, 1, scale))
-            elif metric == "dot":
-                score = -(q @ x.T)
-            else:
-                score = np.stack([((x - y) ** 2).sum(axis=1) for y in q])
-            if exclude_self:
-                at = {i: n for n, i in enumerate(ids)}
-                for n, i in enumerate(qids):
-                    if i in at:
-                        score[n, at[i]] = np.inf
-            names = kept_ids + ids
-            score = np.hstack([best, score])
-            which = np.hstack([which, np.broadcast_to(np.arange(len(kept_ids), len(names)), (len(qids), len(ids)))])
-            if score.shape[1] > k:  # all that tie with the k-th stay, as ids break ties later
-                edge = np.partition(score, k - 1, axis=1)[:, k - 1 : k]
-                width = int((score <= edge).sum(axis=1).max())
-                order = np.argpartition(score, width - 1, axis=1)[:, :width] if width < score.shape[1] else np.broadcast_to(np.arange(score.shape[1]), score.shape)
-                score, which = np.take_along_axis(score, order, 1), np.take_along_axis(which, order, 1)
-            used, which = np.unique(which, return_inverse=True)
-            kept_ids, which, best = [names[i] for i in used], which.reshape(score.shape), score
-        keep = np.isfinite(best)
-        n, m = np.nonzero(keep)
-        if len(n):
-            yield pa.RecordBatch.from_arrays([pa.array([qids[i] for i in n], fields.types[0]), pa.array([kept_ids[i] for i in which[n, m]], fields.types[1]), pa.array(best[n, m], fields.types[2])], schema=fields)
-
-    return points.where(F.size("vector") == dim).select("id", F.col("vector").cast("array<float>")).mapInArrow(rows, StructType.fromDDL(schema))
+    if metric not in V.METRICS:
+        raise ValueError(f"unknown metric {metric!r}; one of {V.METRICS}")
+    return top(best_of_blocks(points, queries, Task(k, metric, exclude_self=exclude_self)), k).select("qid", "rank", "id", "score")
 
 
 def search_two_stage(points: DataFrame, queries: DataFrame, k: int = DEFAULT_K, factor: int = 4) -> DataFrame:
-    """Cosine in two stages: the best k * factor by int8 distance of unit vectors, then exact distance, top k."""
-    q = queries.select("qid", "qvector", V.quantize(V.normalize(F.col("qvector"))).alias("qq"))
-    coarse = points.select("id", "vector", V.quantize(V.normalize(F.col("vector"))).alias("code")).join(F.broadcast(q))
-    coarse = top(coarse.select("qid", "id", "vector", "qvector", V.quantized_distance(F.col("code"), F.col("qq")).alias("score")), k * factor)
-    return top(coarse.select("qid", "id", V.cosine_distance(F.col("vector"), F.col("qvector")).alias("score")), k).select("qid", "rank", "id", "score")
+    """Cosine in two stages: the best k * factor by int8 distance of unit vectors, then exact distance, top k. A task
+    scores a block of queries by codes and keeps k * factor rows a query, with their exact distances beside."""
+    coarse = top(best_of_blocks(points, queries, Task(k * factor, "quantized", "cosine")), k * factor)
+    return top(coarse.select("qid", "id", F.col("exact").alias("score")), k).select("qid", "rank", "id", "score")
 
 
 def search_quantized(points: DataFrame, query: list[float], k: int = DEFAULT_K) -> DataFrame:

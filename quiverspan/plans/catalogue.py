@@ -132,15 +132,25 @@ def hot_set(spark, d):
 @query(_batch(COSINE, 10))
 def ivf_exhaustive(spark, d):
     p = T.points(spark, d)
-    centers = ivf.fit(p, 16)
-    return rounded(ivf.search(ivf.index(p, centers), T.queries(spark, d), centers, 10, probes=len(centers)), "score")
+    cells = ivf.fit(p)
+    return rounded(ivf.search(ivf.index(p, cells), T.queries(spark, d), cells, 10, probes=len(cells.centers)), "score")
 
 
 @query()
 def ivf_search(spark, d):
     p = T.points(spark, d)
-    centers = ivf.fit(p, 16)
-    return rounded(ivf.search(ivf.index(p, centers), T.queries(spark, d), centers, 10, probes=12), "score")
+    cells = ivf.fit(p)
+    return rounded(ivf.search(ivf.index(p, cells), T.queries(spark, d), cells, 10), "score")
+
+
+@query(_batch(COSINE, 10))
+def ivf_saved(spark, d):
+    """Fitted, saved, loaded again, and searched in all cells."""
+    p, at = T.points(spark, d), K.scratch(spark, "ivf")
+    cells = ivf.fit(p)
+    ivf.save(ivf.index(p, cells), cells, at)
+    indexed, loaded = ivf.load(spark, at)
+    return rounded(ivf.search(indexed, T.queries(spark, d), loaded, 10, probes=len(loaded.centers)), "score")
 
 
 @query(f"""WITH h AS ({_batch(COSINE, 5)}) SELECT h.qid, h.rank, h.id, h.score, e.label FROM h JOIN embeddings e ON e.vec_id = h.id""")
@@ -256,15 +266,7 @@ def upsert_merge(spark, d):
 
 @query(f"WITH {LOG_SQL}, l AS (SELECT * FROM log QUALIFY row_number() OVER (PARTITION BY id ORDER BY ts DESC, seq DESC) = 1) SELECT id, seq, round(value, 6) AS value FROM l WHERE NOT is_delete")
 def cdc_stream_merge(spark, d):
-    import uuid
-
-    sc = spark.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not root:
-        import tempfile
-
-        root = f"file://{tempfile.mkdtemp(prefix='cdc-')}"
-    at = f"{root}/cdc-{uuid.uuid4().hex}"
+    at = K.scratch(spark, "cdc")
     log = T.change_log(spark, d)
     log.repartition(4).write.parquet(f"{at}/log")
     stream = cdc.read_changes(spark, f"{at}/log", log.schema, files_per_trigger=2)

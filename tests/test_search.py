@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quiverspan.operators import ivf
+from quiverspan.operators import blocks, ivf
 from quiverspan.operators import search as S
 from quiverspan.plans import catalogue
 
@@ -45,25 +45,79 @@ def test_empty_queries_and_points(spark):
     assert S.search_batch(p, q).count() == 0 and S.search_batch(p, q.limit(0)).count() == 0
 
 
-def test_blocks_of_queries(spark, monkeypatch):
-    monkeypatch.setattr(S, "BLOCK_QUERIES", 2)
-    monkeypatch.setattr(S, "CHUNK_POINTS", 2)
+@pytest.mark.parametrize("bytes_", [1 << 26, 20])
+def test_blocks_of_queries(spark, monkeypatch, bytes_):
+    """Broadcast, and dealt out as a grid of blocks of queries and groups of points."""
+    for name, n in (("BLOCK_QUERIES", 2), ("CHUNK_POINTS", 2), ("BROADCAST_BYTES", bytes_), ("GROUP_BYTES", 40)):
+        monkeypatch.setattr(blocks, name, n)
     p = frame(spark, [(f"{i}", [float(i), 1.0]) for i in range(9)])
     q = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(5)], "qid int, qvector array<float>")
     assert {(r["qid"], r["id"]) for r in S.search_batch(p, q, 1, "euclidean").collect()} == {(i, str(i)) for i in range(5)}
 
 
-def test_ivf_recall(spark, sf_dir):
+def test_odd_queries_and_points(spark):
+    p = frame(spark, [("a", [1.0, 0.0]), ("b", None), ("c", []), ("d", [1.0, 2.0, 3.0]), ("e", [None, 1.0])])
+    q = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [1.0, 2.0, 3.0]), (4, [1.0])], "qid int, qvector array<float>")
+    assert {(r["qid"], r["id"]) for r in S.search_batch(p, q).collect()} == {(1, "a"), (3, "d")}
+    cells = ivf.fit(p)
+    assert {(r["qid"], r["id"]) for r in ivf.search(ivf.index(p, cells), q, cells).collect()} == {(1, "a")}
+
+
+def test_equal_vectors_keep_k(spark):
+    best = blocks.Best(3, 4)
+    for at in range(0, 5000, 500):
+        best.add(slice(None), [f"{i:05}" for i in range(4999 - at, 4499 - at, -1)], np.full((3, 500), 2.0))
+        assert best.score.shape == (3, 4) and len(best.ids) < 2 * 12 + blocks.CHUNK_POINTS + 501
+    assert [sorted(best.ids[i] for i in row) for row in best.which] == [["00000", "00001", "00002", "00003"]] * 3
+    p = spark.createDataFrame([(i, [1.0, 1.0]) for i in range(5000)], "id long, vector array<float>").repartition(3)
+    q = spark.createDataFrame([(i, [1.0, 1.0]) for i in range(50)], "qid int, qvector array<float>")
+    assert {(r["rank"], r["id"]) for r in S.search_batch(p, q, 3).collect()} == {(1, 0), (2, 1), (3, 2)}
+
+
+def test_two_stage_equals_brute_force(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 12)).astype(np.float32)
+    p = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<float>").repartition(4)
+    q = p.where("id < 5").select(F.col("id").alias("qid"), F.col("vector").alias("qvector"))
+    got = {(r["qid"], r["rank"]): r["id"] for r in S.search_two_stage(p, q, 3, 2).collect()}
+    y = x.astype(np.float64)
+    unit = y / np.linalg.norm(y, axis=1, keepdims=True)
+    code = np.rint(unit * 127)
+    for i in range(5):
+        coarse = sorted(range(300), key=lambda j: (1 - code[i] @ code[j] / 16129, j))[:6]
+        assert [got[i, r] for r in (1, 2, 3)] == sorted(coarse, key=lambda j: (1 - unit[i] @ unit[j], j))[:3]
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_ivf_recall(spark, sf_dir, seed):
     p = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    q = p.where("id % 100 = 0").select(F.col("id").alias("qid"), F.col("vector").alias("qvector"))
+    q = p.where("id % 10 = 0").select(F.col("id").alias("qid"), F.col("vector").alias("qvector"))
     exact = {(r["qid"], r["id"]) for r in S.search_batch(p, q, 10).collect()}
-    centers = ivf.fit(p, 16)
-    index = ivf.index(p, centers)
+    cells = ivf.fit(p, seed=seed)
+    index = ivf.index(p, cells)
     assert index.count() == p.count()
-    found = {(r["qid"], r["id"]) for r in ivf.search(index, q, centers, 10, probes=12).collect()}
+    found = {(r["qid"], r["id"]) for r in ivf.search(index, q, cells, 10).collect()}
     assert len(found & exact) / len(exact) >= 0.9
 
 
+def test_ivf_edge_cases(spark, tmp_path):
+    none, q = frame(spark, []), spark.createDataFrame([(1, [1.0, 0.0])], "qid int, qvector array<float>")
+    cells = ivf.fit(none)
+    assert ivf.search(ivf.index(none, cells), q, cells).count() == 0
+    rng = np.random.default_rng(2)
+    centers = rng.normal(size=(40, 8))
+    p = spark.createDataFrame([(i, (centers[i % 40] + 0.05 * rng.normal(size=8)).tolist()) for i in range(4000)], "id long, vector array<float>")
+    cells = ivf.fit(p)
+    assert len(cells.centers) == 4000 // ivf.PER_CELL and cells.probes < len(cells.centers) // 4  # clusters: few probes
+    ivf.save(ivf.index(p, cells), cells, str(tmp_path / "index"))
+    indexed, loaded = ivf.load(spark, str(tmp_path / "index"))
+    q = p.where("id < 20").select(F.col("id").alias("qid"), F.col("vector").alias("qvector"))
+    keys = lambda df: {(r["qid"], r["id"]) for r in df.collect()}
+    exact = keys(S.search_batch(p, q, 10))
+    assert len(exact & keys(ivf.search(indexed, q, loaded, 10))) / len(exact) >= 0.9
+    assert keys(ivf.search(indexed, q, loaded, 10, ef=4000)) == exact
+
+
 def test_registered_ivf_search_has_the_recall(spark, sf_dir):
     keys = lambda name: {(r["qid"], r["id"]) for r in catalogue.QUERIES[name](spark, sf_dir).collect()}
     exact = keys("ivf_exhaustive")
