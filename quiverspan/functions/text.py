@@ -2,25 +2,27 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Patterns of e-mail addresses and key names.
 EMAIL = r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$"
-KEY_NAME = r"^[a-zA-Z0-9\s_-]+$"
+KEY_NAME = r"^[a-zA-Z0-9\s\-_]+$"
 
 # The reranker's stop words.
 STOP_WORDS = "the a an and or but in on at to for of with is was are were be been being".split()
 
 
 def tokenize(text: Column, stop_words: list[str] | None = None, case_sensitive: bool = False) -> Column:
-    """Words between white space once each run of other characters than [A-Za-z0-9_] is a space, without stop words and
-    words of one byte; duplicates stay. Letters beyond ASCII part words."""
+    """Words of [A-Za-z0-9_] without stop words and words of one byte; duplicates stay. Other letters part words.
+
+    Stop words go by one regular expression before the split, so no lambda runs over the words. Null text: no words."""
     text = text if case_sensitive else F.lower(text)
-    words = F.split(F.regexp_replace(text, r"[^\w\s]+", " "), r"\s+")
-    stops = F.array(*map(F.lit, STOP_WORDS if stop_words is None else stop_words))
-    kept = (lambda w: (F.octet_length(w) > 1) & ~F.array_contains(stops, w)) if (STOP_WORDS if stop_words is None else stop_words) else (lambda w: F.octet_length(w) > 1)
-    return F.filter(F.coalesce(words, F.array().cast("array<string>")), kept)
+    dropped = "|".join([*(w for w in (STOP_WORDS if stop_words is None else stop_words) if re.fullmatch(r"\w+", w, re.ASCII)), r"\w"])
+    words = F.regexp_replace(F.regexp_replace(text, r"\W+", " "), rf"\b(?:{dropped})\b", "")
+    return F.coalesce(F.array_remove(F.split(words, " "), ""), F.array().cast("array<string>"))
 
 
 def payload_text(payload: Column) -> Column:
@@ -67,6 +69,21 @@ def valid_key_name(c: Column) -> Column:
     return F.coalesce((F.trim(c) != "") & (F.octet_length(c) <= 50) & c.rlike(KEY_NAME), F.lit(False))
 
 
+def not_empty(c: Column) -> Column:
+    return F.coalesce(F.trim(c) != "", F.lit(False))
+
+
+def max_length(c: Column, most: int) -> Column:
+    """Whether it has most bytes or fewer; null: no."""
+    return F.coalesce(F.octet_length(c) <= most, F.lit(False))
+
+
+def sanitize(c: Column) -> Column:
+    """Without white space around, and without control characters but new lines, tabs and carriage returns."""
+    trimmed = F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.regexp_replace(trimmed, r"[\p{Cc}&&[^\n\t\r]]", "")
+
+
 def rerank_cache_key(query: Column, ids: Column, mode: str | None = None) -> Column:
     """SHA-256 of the query (with |mode=m), a pipe, and the sorted ids joined by commas."""
     head = query if mode is None else F.concat(query, F.lit(f"|mode={mode}"))

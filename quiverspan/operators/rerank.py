@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass, field
+import json
+from collections.abc import Callable, Mapping
+from dataclasses import dataclass, field, fields
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.scratch import written
+from .search import DEFAULT_K, attach, candidate_limit, search
 
 
 @dataclass(frozen=True)
@@ -46,6 +49,30 @@ def parse_pairs(s: str) -> dict[str, float]:
     return {k.strip(): float(v) for k, v in pairs}
 
 
+def load_config(source: Mapping[str, str] | str, prefix: str = "RERANK_") -> RuleConfig:
+    """A configuration from JSON, or from a mapping such as os.environ: names in capitals after prefix, maps as k:v,k:v,
+    lists with commas. What isn't there keeps its default; bad values and ranges are errors."""
+    if isinstance(source, str):
+        given = json.loads(source)
+        unknown = set(given) - {f.name for f in fields(RuleConfig)}
+        if unknown:
+            raise ValueError(f"unknown settings {sorted(unknown)}")
+        return RuleConfig(**given | ({"stop_words": tuple(given["stop_words"])} if "stop_words" in given else {}))
+    found: dict = {}
+    for f in fields(RuleConfig):
+        if (value := source.get(prefix + f.name.upper())) is None:
+            continue
+        if f.name in ("boosts", "penalties"):
+            found[f.name] = parse_pairs(value)
+        elif f.name == "stop_words":
+            found[f.name] = tuple(w.strip() for w in value.split(",") if w.strip())
+        elif f.name == "case_sensitive":
+            found[f.name] = value.strip().lower() in ("1", "true", "yes")
+        else:
+            found[f.name] = value if f.name == "recency_field" else float(value)
+    return RuleConfig(**found)
+
+
 def validate(candidates: DataFrame) -> DataFrame:
     """The candidates, or an error at run time for a blank id or a score that isn't finite."""
     bad = (F.trim(F.coalesce(F.col("id").cast("string"), F.lit(""))) == "") | F.coalesce(F.isnan("score") | (F.abs(F.col("score").cast("double")) == float("inf")), F.lit(True))
@@ -108,13 +135,13 @@ def signals(candidates: DataFrame, config: RuleConfig = RuleConfig(), as_of: dat
 
 def rule(candidates: DataFrame, top_n: int, config: RuleConfig = RuleConfig(), as_of: datetime = datetime(2024, 2, 1)) -> DataFrame:
     """qid, rank, id, rerank_score (0 to 1), original_score, explanation; by score, then id. An empty query: by the
-    original score."""
+    original score. Scores have nine digits, so that ranks don't hang on the order of a sum."""
     s = signals(candidates, config, as_of)
     total = config.original * F.col("score") + config.bm25 * F.col("bm25") + config.keyword * F.col("keyword") + config.coverage * F.col("coverage") + config.recency * F.col("recency") + F.col("meta")
     blank = F.size("q_tokens") == 0
     explained = F.concat_ws(", ", F.when(F.col("first_hit"), "exact match"), F.when(F.col("title_hit"), "title match"), F.when(F.col("matched") > 0, F.concat(F.lit("+"), F.col("matched"), F.lit(" tokens"))))
     explained = F.when(blank, "sorted by original score").when(explained == "", "keyword relevance").otherwise(explained)
-    scored = s.select("qid", "id", F.when(blank, F.col("score")).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), total))).alias("rerank_score"), F.col("score").alias("original_score"), explained.alias("explanation"))
+    scored = s.select("qid", "id", F.round(F.when(blank, F.col("score")).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), total))), 9).alias("rerank_score"), F.col("score").alias("original_score"), explained.alias("explanation"))
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("rerank_score"), "id")))
     return ranked.where(F.col("rank") <= top_n)
 
@@ -126,13 +153,19 @@ def identity(candidates: DataFrame, top_n: int) -> DataFrame:
 
 
 def bm25(tokens: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """Textbook BM25 over an exploded index: tokens (id, tokens), queries (qid, q_tokens) -> qid, id, bm25."""
-    sized = tokens.select("id", "tokens", F.size("tokens").alias("len"))
-    n, mean = sized.agg(F.count(F.lit(1)), F.avg("len")).first()
+    """Textbook BM25 over an exploded index: tokens (id, tokens), queries (qid, q_tokens) -> qid, id, bm25.
+
+    One pass over tokens writes the postings of the queries' words, and a row without a word for each document; counts and
+    the mean length come from that table. The words are joined as a table, which Spark broadcasts below its checked
+    threshold."""
     words = queries.select("qid", F.explode(F.array_distinct("q_tokens")).alias("token"))
-    postings = sized.select("id", "len", F.explode("tokens").alias("token")).join(F.broadcast(words.select("token").distinct()), "token", "left_semi").groupBy("id", "len", "token").agg(F.count(F.lit(1)).alias("tf"))
+    every = tokens.select("id", F.size("tokens").alias("len"), F.explode(F.concat(F.array(F.lit(None).cast("string")), F.col("tokens"))).alias("token"))
+    asked = every.join(words.select(F.col("token").alias("asked")).distinct(), F.col("token") == F.col("asked"), "left").where("token IS NULL OR asked IS NOT NULL")
+    postings = written(asked.groupBy("id", "len", "token").agg(F.count(F.lit(1)).alias("tf")), "postings")
+    n, mean = postings.where("token IS NULL").agg(F.sum("tf"), F.sum(F.col("tf") * F.col("len")) / F.sum("tf")).first()
+    postings = postings.where("token IS NOT NULL")
     df = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    weight = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / (mean or 1)))
+    weight = F.log(1 + ((n or 0) - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / (mean or 1)))
     return postings.join(df, "token").join(words, "token").groupBy("qid", "id").agg(F.sum(weight).alias("bm25"))
 
 
@@ -154,6 +187,20 @@ def rerank(candidates: DataFrame, top_n: int, strategy: str = "rule", **options)
     return STRATEGIES[strategy](validate(candidates), top_n, **options)
 
 
+def search_rerank(points: DataFrame, vector: list[float], query: str = "", k: int = DEFAULT_K, metric: str = "cosine", strategy: str = "rule", mode: str = "similarity", enabled: bool = True, **options) -> DataFrame:
+    """A search whose hits are reranked by a text query: rank, id, score, explanation, payload.
+
+    More hits than k are fetched (candidate_limit), their distances become similarities (mode raw leaves them), and the
+    strategy orders them. Without a query, or where reranking is off, these are the k nearest, scored by similarity."""
+    asked = bool(query.strip()) and enabled
+    hits = search(points, vector, candidate_limit(k, query, asked), metric)
+    near = attach(hits.select("id", similarity(F.col("score"), metric, mode).alias("score"), F.col("rank").alias("place")), points)
+    if not asked:
+        return near.select(F.col("place").alias("rank"), "id", "score", F.lit("").alias("explanation"), "payload")
+    found = rerank(near.select(F.lit(0).alias("qid"), F.lit(query).alias("query"), "id", "score", "payload"), k, strategy, **options)
+    return found.select("rank", "id", F.col("rerank_score").alias("score"), "explanation").join(near.select("id", "payload"), "id").select("rank", "id", "score", "explanation", "payload")
+
+
 def invalidate(cache: DataFrame, keys: DataFrame | None = None) -> DataFrame:
     """A cache table without the rows of keys, or empty."""
     return cache.join(keys.select("key"), "key", "left_anti") if keys is not None else cache.limit(0)

@@ -12,6 +12,7 @@ from ..operators import dml, feedback, ivf
 from ..operators import rerank as R
 from ..operators import search as S
 from ..sources import collection as K
+from ..sources.scratch import folder
 from ..streaming import cdc
 from . import tables as T
 from .tables import AS_OF, CANDIDATES_SQL, FEEDBACK_SQL, LOG_SQL, SEGMENTS_SQL, SHARDS_SQL, WORKERS_SQL, read
@@ -146,7 +147,7 @@ def ivf_search(spark, d):
 @query(_batch(COSINE, 10))
 def ivf_saved(spark, d):
     """Fitted, saved, loaded again, and searched in all cells."""
-    p, at = T.points(spark, d), K.scratch(spark, "ivf")
+    p, at = T.points(spark, d), folder(spark, "ivf")
     cells = ivf.fit(p)
     ivf.save(ivf.index(p, cells), cells, at)
     indexed, loaded = ivf.load(spark, at)
@@ -266,7 +267,7 @@ def upsert_merge(spark, d):
 
 @query(f"WITH {LOG_SQL}, l AS (SELECT * FROM log QUALIFY row_number() OVER (PARTITION BY id ORDER BY ts DESC, seq DESC) = 1) SELECT id, seq, round(value, 6) AS value FROM l WHERE NOT is_delete")
 def cdc_stream_merge(spark, d):
-    at = K.scratch(spark, "cdc")
+    at = folder(spark, "cdc")
     log = T.change_log(spark, d)
     log.repartition(4).write.parquet(f"{at}/log")
     stream = cdc.read_changes(spark, f"{at}/log", log.schema, files_per_trigger=2)
@@ -325,8 +326,11 @@ def rerank_tokenize(spark, d):
     return t.select("id", F.size("t").alias("n_tokens"), F.md5(F.array_join("t", " ")).alias("digest"))
 
 
+CONFIG = R.RuleConfig(boosts={"good": 0.1}, penalties={"bad": 0.2})
+
+
 def _signals(spark, d) -> DataFrame:
-    return R.signals(T.candidates(spark, d), R.RuleConfig(boosts={"good": 0.1}, penalties={"bad": 0.2}), AS_OF)
+    return R.signals(T.candidates(spark, d), CONFIG, AS_OF)
 
 
 @query(f"WITH {CANDIDATES_SQL} SELECT qid, q_tokens[i] AS token, max(df)::BIGINT AS df FROM df JOIN q USING (qid) GROUP BY 1, 2")
@@ -336,6 +340,11 @@ def rerank_df(spark, d):
     return each.groupBy("qid", "token").agg(F.sum(F.array_contains("t", F.col("token")).cast("long")).alias("df"))
 
 
+@query(f"WITH {CANDIDATES_SQL} SELECT qid, count(*) AS candidates, round(avg(len(tokens)), 6) AS mean_len FROM sig GROUP BY 1")
+def rerank_mean_length(spark, d):
+    return rounded(_signals(spark, d).groupBy("qid").agg(F.max("candidates").alias("candidates"), F.max("mean_len").alias("mean_len")), "mean_len")
+
+
 @query(f"WITH {CANDIDATES_SQL} SELECT qid, id, round(CASE WHEN nq > 0 AND len(tokens) > 0 THEN 0.5 * mean_idf ELSE 0 END, 6) AS bm25 FROM sig")
 def rerank_bm25(spark, d):
     return rounded(_signals(spark, d).select("qid", "id", "bm25"), "bm25")
@@ -351,10 +360,7 @@ def rerank_coverage(spark, d):
     return rounded(_signals(spark, d).select("qid", "id", "coverage"), "coverage")
 
 
-RECENCY = "CASE WHEN age <= 30 THEN exp(-0.693 * age / 7.0) ELSE 0 END"
-
-
-@query(f"WITH {CANDIDATES_SQL} SELECT qid, id, round({RECENCY}, 6)::DOUBLE AS recency FROM sig")
+@query(f"WITH {CANDIDATES_SQL} SELECT qid, id, round(recency, 6)::DOUBLE AS recency FROM sig")
 def rerank_recency(spark, d):
     return rounded(_signals(spark, d).select("qid", "id", "recency"), "recency")
 
@@ -364,35 +370,49 @@ def rerank_metadata(spark, d):
     return rounded(_signals(spark, d).select("qid", "id", "meta"), "meta")
 
 
-@query(f"""WITH {CANDIDATES_SQL}, t AS (SELECT qid, id, score, hits, matched, greatest(0, least(1, 0.5::DOUBLE * score + 0.25::DOUBLE * CASE WHEN len(tokens) > 0 THEN 0.5::DOUBLE * mean_idf ELSE 0 END
-            + 0.15::DOUBLE * (CASE WHEN contains(lower(body), phrase) THEN 0.3::DOUBLE ELSE 0 END + CASE WHEN contains(lower(title), phrase) THEN 0.2::DOUBLE ELSE 0 END + 0.05::DOUBLE * matched / nq) + 0.05::DOUBLE * matched / nq + 0.05::DOUBLE * ({RECENCY})
-            + CASE WHEN good THEN 0.1::DOUBLE ELSE 0 END - CASE WHEN bad THEN 0.2::DOUBLE ELSE 0 END)) AS s,
-            CASE WHEN hits[1] = 1 THEN 'exact match, ' ELSE '' END || CASE WHEN contains(lower(title), phrase) THEN 'title match, ' ELSE '' END || CASE WHEN matched > 0 THEN '+' || matched::INT || ' tokens, ' ELSE '' END AS e FROM sig)
-          SELECT qid, id, round(s, 6) AS rerank_score, round(score, 6) AS original_score, CASE WHEN e = '' THEN 'keyword relevance' ELSE left(e, length(e) - 2) END AS explanation FROM t""")
+@query(f"WITH {CANDIDATES_SQL} SELECT qid, id, round(s, 6) AS rerank_score, round(score, 6) AS original_score, explanation FROM explained")
 def rerank_full(spark, d):
-    # every candidate's score: ranks of scores that differ in the last bits only are the concern of rerank_top
-    full = R.rule(T.candidates(spark, d), 1 << 30, R.RuleConfig(boosts={"good": 0.1}, penalties={"bad": 0.2}), AS_OF)
+    full = R.rule(T.candidates(spark, d), T.FETCHED, CONFIG, AS_OF)
     return rounded(full.select("qid", "id", "rerank_score", "original_score", "explanation"), "rerank_score", "original_score")
 
 
-@query()
+@query(f"WITH {CANDIDATES_SQL}, x AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC, id) AS rank FROM explained) SELECT qid, id, round(s, 6) AS rerank_score, explanation, rank FROM x WHERE rank <= 10")
 def rerank_top(spark, d):
-    return R.rerank(T.candidates(spark, d), 10, config=R.RuleConfig(boosts={"good": 0.1}, penalties={"bad": 0.2}), as_of=AS_OF)
+    top = R.rerank(T.candidates(spark, d), 10, config=CONFIG, as_of=AS_OF)
+    return rounded(top.select("qid", "id", "rerank_score", "explanation", "rank"), "rerank_score")
 
 
-@query(f"WITH {CANDIDATES_SQL}, x AS (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score, id) AS rank FROM d, q) SELECT qid, id, round(score, 6) AS rerank_score, rank FROM x WHERE rank <= 10")
+@query(f"WITH {CANDIDATES_SQL}, x AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS rank FROM sig) SELECT qid, id, round(score, 6) AS rerank_score, rank, 'sorted by original score' AS explanation FROM x WHERE rank <= 10")
+def rerank_empty_query(spark, d):
+    only_stops = T.candidates(spark, d).withColumn("query", F.lit("the of"))
+    return rounded(R.rerank(only_stops, 10, config=CONFIG, as_of=AS_OF).select("qid", "id", "rerank_score", "rank", "explanation"), "rerank_score")
+
+
+@query(f"WITH {CANDIDATES_SQL}, x AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score, id) AS rank FROM found) SELECT qid, id, round(score, 6) AS rerank_score, rank FROM x WHERE rank <= 10")
 def rerank_identity(spark, d):
     return rounded(R.rerank(T.candidates(spark, d), 10, "llm").select("qid", "id", "rerank_score", "rank"), "rerank_score")
 
 
-@query(f"""WITH t AS (SELECT doc_id AS id, {T.tokens_sql('text')} AS tokens FROM documents), s AS (SELECT count(*) AS n, avg(len(tokens)) AS mean FROM t),
-          q AS (SELECT DISTINCT item_id AS qid, unnest({T.tokens_sql('text')}) AS token FROM benchmark WHERE item_id % 100 = 0), p AS (SELECT id, len(tokens) AS len, unnest(tokens) AS token FROM t),
-          tf AS (SELECT id, len, token, count(*) AS tf FROM p WHERE token IN (SELECT token FROM q) GROUP BY 1, 2, 3), df AS (SELECT token, count(*) AS df FROM tf GROUP BY 1)
-          SELECT qid, id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / mean))), 6) AS bm25 FROM tf JOIN df USING (token) JOIN q USING (token), s GROUP BY 1, 2""")
+@query(f"""WITH near AS (SELECT vec_id AS id, 1 - round({COSINE}, 9) AS score FROM embeddings, (SELECT {E} AS v FROM embeddings WHERE vec_id = 0) q WHERE vec_id IN (SELECT doc_id FROM documents) ORDER BY score DESC, id LIMIT {S.candidate_limit(10, "of the first item")}),
+           {T.signals_sql("SELECT 0 AS qid, id, score FROM near", "SELECT 0 AS qid, text FROM benchmark WHERE item_id = 0")}, x AS (SELECT *, row_number() OVER (ORDER BY s DESC, id) AS rank FROM explained)
+           SELECT rank, id, round(s, 6) AS score, explanation FROM x WHERE rank <= 10""")
+def search_rerank(spark, d):
+    points = T.points(spark, d).join(T.documents(spark, d), "id")
+    query = read(spark, d, "benchmark").where("item_id = 0").first()["text"]
+    return rounded(R.search_rerank(points, T.first_vector(spark, d), query, 10, config=CONFIG, as_of=AS_OF).select("rank", "id", "score", "explanation"), "score")
+
+
+@query(f"WITH {T.BM25_SQL} SELECT qid, id, bm25 FROM bm")
 def bm25_textbook(spark, d):
     t = read(spark, d, "documents").select(F.col("doc_id").alias("id"), text.tokenize(F.col("text")).alias("tokens"))
-    q = read(spark, d, "benchmark").where("item_id % 100 = 0").select(F.col("item_id").alias("qid"), text.tokenize(F.col("text")).alias("q_tokens"))
-    return rounded(R.bm25(t, q), "bm25")
+    return rounded(R.bm25(t, T.asked(spark, d).select("qid", text.tokenize(F.col("query")).alias("q_tokens"))), "bm25")
+
+
+@query("SELECT md5(c_name) AS key, c_custkey AS value FROM customer WHERE c_acctbal >= 0")
+def rerank_invalidate(spark, d):
+    cache = read(spark, d, "customer").select(F.md5("c_name").alias("key"), F.col("c_custkey").alias("value"))
+    stale = read(spark, d, "customer").where("c_acctbal < 0").select(F.md5("c_name").alias("key"))
+    return R.invalidate(cache, stale)
 
 
 @query("SELECT lang, sha256(lang || '|' || string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id::VARCHAR)) AS key FROM documents WHERE lang IS NOT NULL GROUP BY 1")

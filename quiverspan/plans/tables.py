@@ -7,7 +7,9 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import micros
+from ..functions.text import STOP_WORDS, micros, tokenize
+from ..operators.rerank import bm25
+from ..operators.search import candidate_limit, top
 
 AS_OF = datetime(2024, 1, 31)
 
@@ -120,29 +122,68 @@ def request_log(spark, sf_dir) -> DataFrame:
     return e.select("event_type", (F.col("event_id") % 2).alias("method"), F.col("value").alias("latency"), (F.col("event_type") == "error").alias("failed"), micros(F.col("ts")).alias("us"), "ts", "user_id", F.col("event_id").alias("seq"))
 
 
-def candidates(spark, sf_dir) -> DataFrame:
-    """All documents as candidates of each benchmark item whose id is divisible by 100; labels are flags."""
-    d, b, lab = (read(spark, sf_dir, t) for t in ("documents", "benchmark", "labels"))
+def documents(spark, sf_dir) -> DataFrame:
+    """Documents as points with a payload: labels are flags, and times are written in four ways, one of them unreadable."""
+    d, lab = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     flagged = d.join(lab.groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic")), "doc_id", "left")
-    payload = F.create_map(F.lit("title"), F.concat(F.col("source"), F.lit(" "), F.coalesce("lang", F.lit(""))), F.lit("content"), F.coalesce("text", F.lit("")), F.lit("good"), F.coalesce(F.col("quality").cast("string"), F.lit("")), F.lit("bad"), F.coalesce(F.col("toxic").cast("string"), F.lit("")), F.lit("created_at"), (1706659200 - F.col("doc_id") % 50 * 86400).cast("string"))
-    own = flagged.select(F.col("doc_id").alias("id"), (1 / (1 + F.col("doc_id") % 97)).alias("score"), payload.alias("payload"))
-    asked = b.where("item_id % 100 = 0").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
-    return own.join(F.broadcast(asked))
+    seconds = F.lit(1706659200) - (F.col("doc_id") % 50 - 3) * 86400
+    iso = F.concat(F.date_format(F.to_utc_timestamp(F.timestamp_seconds(seconds), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))
+    when = F.when(F.col("doc_id") % 4 == 0, seconds.cast("string")).when(F.col("doc_id") % 4 == 1, (seconds * 1000).cast("string")).when(F.col("doc_id") % 4 == 2, iso).otherwise("soon")
+    flag = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    payload = F.create_map(F.lit("title"), F.concat(F.col("source"), F.lit(" "), F.coalesce("lang", F.lit(""))), F.lit("content"), F.coalesce("text", F.lit("")), F.lit("good"), flag("quality"), F.lit("bad"), flag("toxic"), F.lit("created_at"), when)
+    return flagged.select(F.col("doc_id").alias("id"), payload.alias("payload"))
+
+
+def asked(spark, sf_dir) -> DataFrame:
+    return read(spark, sf_dir, "benchmark").where("item_id % 100 = 0").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
+
+
+#: Candidates of a query that wants 100 documents.
+FETCHED = candidate_limit(100, "a query")
+
+
+def hits(spark, sf_dir) -> DataFrame:
+    """For each benchmark item whose id is divisible by 100, the documents that BM25 finds, as many as reranking fetches."""
+    tokens = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), tokenize(F.col("text")).alias("tokens"))
+    found = bm25(tokens, asked(spark, sf_dir).select("qid", tokenize(F.col("query")).alias("q_tokens"))).withColumn("bm25", F.round("bm25", 6))
+    return top(found.select("qid", "id", (-F.col("bm25")).alias("score")), FETCHED).select("qid", "id", (F.col("score") / (F.col("score") - 10)).alias("score"))
 
 
-STOPS_SQL = "['the','a','an','and','or','but','in','on','at','to','for','of','with','is','was','are','were','be','been','being']"
+def candidates(spark, sf_dir) -> DataFrame:
+    return hits(spark, sf_dir).join(documents(spark, sf_dir), "id").join(asked(spark, sf_dir), "qid").select("qid", "query", "id", "score", "payload")
+
+
+STOPS_SQL = "[" + ",".join(f"'{w}'" for w in STOP_WORDS) + "]"
 
 
 def tokens_sql(text: str) -> str:
     return f"list_filter(string_split(regexp_replace(regexp_replace(lower({text}), '[^\\w\\s]+', ' ', 'g'), '\\s+', ' ', 'g'), ' '), lambda x: strlen(x) > 1 AND NOT list_contains({STOPS_SQL}, x))"
 
 
-CANDIDATES_SQL = f"""lab AS (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY 1),
-d AS (SELECT doc_id AS id, 1.0::DOUBLE / (1 + doc_id % 97) AS score, source || ' ' || coalesce(lang, '') AS title, source || ' ' || coalesce(lang, '') || '   ' || coalesce(text, '') AS body,
-      coalesce(quality, 0) = 1 AS good, coalesce(toxic, 0) = 1 AS bad, doc_id % 50 AS age FROM documents LEFT JOIN lab USING (doc_id)),
-dt AS (SELECT *, {tokens_sql("body")} AS tokens FROM d),
-q AS (SELECT item_id AS qid, {tokens_sql("text")} AS q_tokens FROM benchmark WHERE item_id % 100 = 0),
-c AS (SELECT *, list_transform(q_tokens, lambda t: list_contains(tokens, t)::INT) AS hits FROM dt, q),
+BM25_SQL = f"""bt AS (SELECT doc_id AS id, {tokens_sql("text")} AS tokens FROM documents), bs AS (SELECT count(*) AS n, avg(len(coalesce(tokens, []))) AS mean FROM bt),
+bq AS (SELECT DISTINCT item_id AS qid, unnest({tokens_sql("text")}) AS token FROM benchmark WHERE item_id % 100 = 0), bp AS (SELECT id, len(tokens) AS len, unnest(tokens) AS token FROM bt),
+tf AS (SELECT id, len, token, count(*) AS tf FROM bp WHERE token IN (SELECT token FROM bq) GROUP BY 1, 2, 3), bd AS (SELECT token, count(*) AS df FROM tf GROUP BY 1),
+bm AS (SELECT qid, id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / mean))), 6) AS bm25 FROM tf JOIN bd USING (token) JOIN bq USING (token), bs GROUP BY 1, 2)"""
+
+
+def signals_sql(found: str, queries: str) -> str:
+    """Every signal of candidates. found: SQL for (qid, id, score); queries: SQL for (qid, text)."""
+    return f"""lab AS (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY 1),
+d AS (SELECT doc_id AS id, source || ' ' || coalesce(lang, '') AS title, source || ' ' || coalesce(lang, '') || '   ' || coalesce(text, '') AS body,
+      coalesce(quality, 0) = 1 AS good, coalesce(toxic, 0) = 1 AS bad, doc_id % 50 - 3 AS age, doc_id % 4 < 3 AS dated FROM documents LEFT JOIN lab USING (doc_id)),
+found AS ({found}), dt AS (SELECT d.*, qid, score, {tokens_sql("body")} AS tokens FROM found JOIN d USING (id)),
+q AS (SELECT qid, {tokens_sql("text")} AS q_tokens FROM ({queries})),
+c AS (SELECT dt.*, q_tokens, list_transform(q_tokens, lambda t: list_contains(tokens, t)::INT) AS hits FROM dt JOIN q USING (qid)),
 df AS (SELECT qid, i, sum(hits[i]) AS df, count(*) AS n FROM c, range(1, 1 + len(q_tokens)) t(i) GROUP BY 1, 2),
 qi AS (SELECT qid, sum(ln(n::DOUBLE / greatest(df, 1) + 1)) / count(*) AS mean_idf FROM df GROUP BY 1),
-sig AS (SELECT c.*, mean_idf, list_sum(hits)::DOUBLE AS matched, len(q_tokens) AS nq, array_to_string(q_tokens, ' ') AS phrase FROM c JOIN qi USING (qid))"""
+sig AS (SELECT c.*, mean_idf, list_sum(hits)::DOUBLE AS matched, len(q_tokens) AS nq, array_to_string(q_tokens, ' ') AS phrase,
+        CASE WHEN dated AND age <= 30 THEN exp(-0.693 * age / 7.0) ELSE 0 END AS recency FROM c LEFT JOIN qi USING (qid)),
+scored AS (SELECT qid, id, score, tokens, round(greatest(0, least(1, 0.5::DOUBLE * score + 0.25::DOUBLE * CASE WHEN len(tokens) > 0 THEN 0.5::DOUBLE * mean_idf ELSE 0 END
+        + 0.15::DOUBLE * (CASE WHEN contains(lower(body), phrase) THEN 0.3::DOUBLE ELSE 0 END + CASE WHEN contains(lower(title), phrase) THEN 0.2::DOUBLE ELSE 0 END + 0.05::DOUBLE * matched / nq)
+        + 0.05::DOUBLE * CASE WHEN len(tokens) > 0 THEN matched / nq ELSE 0 END + 0.05::DOUBLE * recency + CASE WHEN good THEN 0.1::DOUBLE ELSE 0 END - CASE WHEN bad THEN 0.2::DOUBLE ELSE 0 END)), 9) AS s,
+        CASE WHEN hits[1] = 1 THEN 'exact match, ' ELSE '' END || CASE WHEN contains(lower(title), phrase) THEN 'title match, ' ELSE '' END || CASE WHEN matched > 0 THEN '+' || matched::INT || ' tokens, ' ELSE '' END AS e FROM sig),
+explained AS (SELECT *, CASE WHEN e = '' THEN 'keyword relevance' ELSE left(e, length(e) - 2) END AS explanation FROM scored)"""
+
+
+HITS_SQL = f"SELECT qid, id, bm25 / (bm25 + 10.0::DOUBLE) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY bm25 DESC, id) AS rn FROM bm) WHERE rn <= {FETCHED}"
+CANDIDATES_SQL = f"""{BM25_SQL}, {signals_sql(HITS_SQL, "SELECT item_id AS qid, text FROM benchmark WHERE item_id % 100 = 0")}"""
