@@ -14,8 +14,8 @@ from pyspark.sql import types as T
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: Rows and bytes of one Arrow batch between the JVM and Python, so that long texts stay in bounds.
-BATCH_ROWS, BATCH_BYTES = 256, 16 << 20
+#: Rows of an Arrow batch that are Python objects at a time; Spark bounds the bytes of a batch.
+BATCH_ROWS = 256
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,10 +40,13 @@ def held_out(column: str = "doc_id") -> Column:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; only where it is unset, as in tests, a folder of our own."""
+    """spark.checkpoint.dir of the session; where it is unset, a folder of our own, but only with a local master: on a
+    cluster the executors couldn't read it."""
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not root:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = f"file://{tempfile.mkdtemp(prefix='scratch-')}"
         sc.setCheckpointDir(root)
     return root.rstrip("/")
@@ -93,26 +96,39 @@ class Scratch:
 # --- Arrow maps -----------------------------------------------------------------------------------
 
 
-def bound_batches(spark: SparkSession) -> None:
-    """Small Arrow batches for the session: a batch of long texts must fit a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches as Spark cuts them (by rows and bytes) in slices of BATCH_ROWS, so that few texts are Python objects at once."""
+    for b in batches:
+        for at in range(0, b.num_rows, BATCH_ROWS):
+            yield b.slice(at, BATCH_ROWS)
 
 
 def arrow_map(df: DataFrame, rows: Callable[[Iterator[dict[str, list]]], Iterator[dict[str, list]]], schema: str) -> DataFrame:
     """mapInArrow with columns as Python lists (or Arrow arrays, or NumPy) on either side."""
-    bound_batches(df.sparkSession)
     fields = T.StructType.fromDDL(schema)
     types = _arrow_schema(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lists = ({name: b.column(i).to_pylist() for i, name in enumerate(b.schema.names)} for b in batches if b.num_rows)
+        lists = ({name: b.column(i).to_pylist() for i, name in enumerate(b.schema.names)} for b in pieces(batches))
         for out in rows(lists):
             yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip((out[f.name] for f in types), types.types)], schema=types)
 
     return df.mapInArrow(run, fields)
 
 
+def arrow_column(column: Column, value: Callable[[], Callable], kind: str, arrow: pa.DataType) -> Column:
+    """A column from another, value by value; value() is made once for each task."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        f = value()
+        for b in batches:
+            parts = [pa.array([f(x) for x in b.slice(at, BATCH_ROWS).to_pylist()], arrow) for at in range(0, len(b), BATCH_ROWS)]
+            yield pa.concat_arrays(parts) if parts else pa.array([], arrow)
+
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, kind)(column)
+
+
 def _arrow_schema(fields: T.StructType) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 

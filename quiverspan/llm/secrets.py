@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, bound_batches, table
+from .common import arrow_column, arrow_map, table
 
 # The patterns of the base kinds, over bytes (assign over lower-cased ones, whose spans are the same).
 ASSIGN = rb"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([a-z0-9+/_.=-]+)"
@@ -134,10 +134,9 @@ def redact(text: str | None) -> str | None:
 
 
 def redact_secrets(docs: DataFrame, text_col: str = "text", n_chars_col: str | None = "n_chars") -> DataFrame:
-    """docs with secrets blanked in place and the length brought up to date; every row and column stays."""
-    bound_batches(docs.sparkSession)
-    blank = F.arrow_udf(lambda texts: pa.array([redact(t) for t in texts.to_pylist()], pa.string()), "string")
-    out = docs.withColumn(text_col, blank(F.col(text_col)))
+    """docs with secrets blanked in place and the length brought up to date; every row and column stays, repeated rows
+    too. A null text stays null, and so does its length; an empty one stays empty; empty table: no rows."""
+    out = docs.withColumn(text_col, arrow_column(F.col(text_col), lambda: redact, "string", pa.string()))
     if n_chars_col and n_chars_col in docs.columns:
         changed = F.char_length(F.col(text_col)).cast(docs.schema[n_chars_col].dataType)
         out = out.withColumn(n_chars_col, F.when(F.col(text_col).isNull(), F.col(n_chars_col)).otherwise(changed))

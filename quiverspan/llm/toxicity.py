@@ -7,11 +7,12 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_map, held_out, table
+from .common import Scratch, arrow_column, arrow_map, held_out, table
 
 #: log2 of the hashed features; labelled rows that a fit reads at most.
 BITS, MAX_ROWS = 22, 12_000
@@ -128,24 +129,17 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_co
 
     Where no label can be learnt from, every row stays. Null and empty texts get the score of the bias; repeated rows
     share a fate; columns of docs whose names clash with those of labels don't matter; empty table: no rows."""
-    import pyarrow as pa
-
-    from .common import bound_batches
-
-    bound_batches(docs.sparkSession)
     model = fit(docs, labels, id_col, text_col)
     if not len(model.at) and model.bias == 0:
         return docs
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def scores(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def scorer():
         dense, bias = shared.value.dense(), shared.value.bias
-        for t in texts:
-            yield pa.array([score(x, dense, bias) for x in t.to_pylist()], pa.float64())
+        return lambda text: score(text, dense, bias)
 
-    scores.__annotations__ = {"texts": Iterator[pa.Array], "return": Iterator[pa.Array]}
     names = docs.columns
-    return docs.withColumn("__toxic", F.arrow_udf(scores, "double")(F.col(text_col))).where(F.col("__toxic") < threshold).select(*names)
+    return docs.withColumn("__toxic", arrow_column(F.col(text_col), scorer, "double", pa.float64())).where(F.col("__toxic") < threshold).select(*names)
 
 
 def op6_toxicity(spark, sf_dir: str) -> DataFrame:
