@@ -127,7 +127,11 @@ def across_components(texts: DataFrame, percent: int, scratch: Scratch) -> DataF
     threshold share one among the first few: of the smaller, n - ceil(2pn / (100 + p)) + 1; of the larger,
     n - ceil(pn / 100) + 1. A common shingle too far back in either leaves too few behind it. What a copy has alone
     comes first in its order, so copies that differ too much have no common prefix, however many they are. Frequencies
-    are counted exactly, and shingles of one text alone only count as places."""
+    are counted exactly, and shingles of one text alone only count as places.
+
+    Rows of a shingle's largest component are never paired with each other: rows outside of it are, with all others. And
+    only those whose place is near enough to the front for some row of another component: for each shingle and size, the
+    most forward place is known, and sizes are few, whatever the rows."""
     kind = texts.schema["id"].dataType.simpleString()
 
     def rows(batches: Iterator[dict]) -> Iterator[dict]:
@@ -145,19 +149,36 @@ def across_components(texts: DataFrame, percent: int, scratch: Scratch) -> DataF
     placed = placed.select("id", "component", "n", "h", (F.col("n") - F.col("shared") + F.col("at")).alias("at"))
     probes = scratch.write(placed.where(f"at <= n - ceil({percent} * n / 100.0D) + 1"), "prefixes")
     scratch.drop(sets)
-    small = probes.where(f"at <= n - ceil({2 * percent} * n / {100 + percent}.0D) + 1").select("h", *(F.col(c).alias(f"{c}_a") for c in ("id", "component", "n", "at")))
-    large = probes.select("h", *(F.col(c).alias(f"{c}_b") for c in ("id", "component", "n", "at")))
-    fits = f"""component_a <> component_b AND (n_a < n_b OR n_a = n_b AND id_a < id_b) AND 100L * n_a >= {percent}L * n_b
-               AND (100 + {percent}) * (1L + least(n_a - at_a, n_b - at_b)) >= {percent}L * (n_a + n_b)"""
-    return small.join(large, "h").where(fits).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+
+    parts = probes.groupBy("h", "n", "component").agg(F.count(F.lit(1)).alias("rows"), F.min("at").alias("at"))
+    parts = scratch.write(parts, "parts")
+    largest = parts.groupBy("h", "component").agg(F.sum("rows").alias("rows")).groupBy("h")
+    largest = largest.agg(F.max(F.struct("rows", "component"))["component"].alias("largest"), F.count(F.lit(1)).alias("components")).where("components > 1")
+    largest = scratch.write(largest.select("h", "largest"), "largest")
+    sizes = parts.groupBy("h", "n").agg(F.min("at").alias("at"), F.min("component").alias("low"), F.max("component").alias("high"))
+    sizes = scratch.write(sizes.join(largest, "h", "left_semi"), "sizes")
+    side = lambda df, x, *names: df.select("h", *(F.col(c).alias(f"{c}_{x}") for c in names))
+    small = f"least(n_a, n_b) - ceil({2 * percent} * least(n_a, n_b) / {100 + percent}.0D) + 1"
+    alike = f"100L * least(n_a, n_b) >= {percent}L * greatest(n_a, n_b)"
+    place = f"1 + n_{{0}} - ceil({percent} * (n_a + n_b) / {100 + percent}.0D)"
+    most = F.expr(f"if(n_a <= n_b, least({place.format('a')}, {small}), if(at_b <= {small}, {place.format('a')}, 0))")
+    met = side(sizes, "a", "n", "at", "low", "high").join(side(sizes, "b", "n", "at", "low", "high"), "h")
+    met = met.where(f"{alike} AND at_b <= {place.format('b')} AND NOT (low_a = high_a AND low_b = high_b AND low_a = low_b)")
+    live = scratch.write(met.groupBy("h", F.col("n_a").alias("n")).agg(F.max(most).alias("most")).where("most > 0"), "live")
+    some = scratch.write(probes.join(live, ["h", "n"]).where("at <= most").drop("most").join(largest, "h"), "some")
+    outside = side(some.where("component <> largest"), "a", "id", "component", "n", "at")
+    fits = f"component_a <> component_b AND {alike} AND at_a <= {place.format('a')} AND at_b <= {place.format('b')} AND if(n_a <= n_b, at_a, at_b) <= {small}"
+    pairs = outside.join(side(some, "b", "id", "component", "n", "at"), "h").where(fits)
+    return pairs.select(F.greatest("id_a", "id_b").alias("a"), F.least("id_a", "id_b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, scratch: Scratch | None = None) -> DataFrame:
     """Every row's class: doc_id, n_shingles, component_id (the smallest id reachable over links), kept.
 
     Documents link when 100 * intersection >= percent * union of their shingle sets. A document without a word has an
-    empty set and no link. Rows that share an id are one document. A row with a null id has a null component and is
-    kept. Empty table: no rows. Other columns are ignored.
+    empty set and no link. Rows that share an id and a set are one document; rows that share an id but not the set are
+    judged each by its own, under the same id. A row with a null id has a null component and is kept. Empty table: no
+    rows. Other columns are ignored.
 
     1. One pass makes set sizes, set digests and signatures. Equal sets become one representative, by an aggregate that
        combines before the shuffle.
@@ -196,8 +217,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     part = scratch.write(connected_components(one, scratch), "components")
     placed = live.select("id", "key").join(part.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     placed = scratch.write(placed, "placed")
-    largest = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size")).groupBy("key").agg(F.max(F.struct("size", "component"))["component"].alias("largest"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    open_rows = placed.join(scratch.write(largest, "largest"), "key").select("id", "component").distinct()
+    open_keys = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
+    open_rows = placed.join(scratch.write(open_keys, "open-keys"), "key").select("id", "component").distinct()
     rest = across_components(texts.join(scratch.write(open_rows, "open"), "id"), percent, scratch)
     two = links(rest, "rest")
 
@@ -210,7 +231,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
-    """docs with one document of each component, columns as they were."""
+    """docs with one document of each component, columns as they were. Documents without a word, with a null text or a
+    null id stay, and so do all rows that repeat the id which stays; empty table: no rows."""
     scratch = Scratch(docs.sparkSession)
     gone = near_duplicates(docs, id_col, text_col, percent, scratch).where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
     gone = scratch.write(gone, "gone")
@@ -219,6 +241,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 
 def op1_near_dedup(spark, sf_dir: str) -> DataFrame:
+    """near_duplicates over documents, at 85 percent."""
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
