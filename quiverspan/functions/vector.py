@@ -84,3 +84,17 @@ def compress(v: Column) -> Column:
 
 def decompress(c: Column) -> Column:
     return F.transform(c["q"], lambda x: x * c["scale"] / 127)
+
+
+def truncate_mantissa(v: Column, bits: int) -> Column:
+    """Components with the first bits of their mantissas, the rest cut towards zero, for keys of caches; bits of 0 or less,
+    or 23 and more, leave float components as they are."""
+    if not 0 < bits < 23:
+        return v.cast("array<double>")
+
+    def cut(x: Column) -> Column:
+        unit = F.pow(F.lit(2.0), F.floor(F.log2(F.abs(x))) - bits)
+        scaled = x / unit
+        return F.when(x == 0, x).otherwise(F.when(scaled < 0, F.ceil(scaled)).otherwise(F.floor(scaled)) * unit)
+
+    return F.transform(v.cast("array<double>"), cut)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from datetime import datetime
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,11 +59,37 @@ def place_replicas(workers: DataFrame, rf: int = REPLICATION) -> DataFrame:
 
 
 def ewma(samples: DataFrame, key: str, value: str, order: list[str]) -> DataFrame:
-    """0.7 * old + 0.3 * new over each key's samples in order, beginning with the first. A key's samples are folded as
-    an array; feed long histories window by window, with the last value as first sample."""
-    folded = samples.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*order, F.col(value).cast("double").alias("value")))).alias("xs"))
-    fold = F.aggregate(F.slice("xs", 2, F.greatest(F.size("xs") - 1, F.lit(0))), F.col("xs")[0]["value"], lambda s, x: s * EWMA_OLD + x["value"] * EWMA_NEW)
-    return folded.select(key, fold.alias("ewma"), F.size("xs").alias("samples"))
+    """0.7 * old + 0.3 * new over each key's samples in order, beginning with the first: key, ewma, samples.
+
+    A sample is an affine step, and steps compose. Samples are range-partitioned by key and order, so that a hot key
+    spreads over many tasks; each task folds what it has of a key to one step, and a key's steps, one a task, compose in
+    order. Null values and keys don't count."""
+    own = samples.select(key, *order, F.col(value).cast("double").alias("__value")).where(F.col(key).isNotNull() & F.col("__value").isNotNull())
+    placed = own.repartitionByRange(key, *order).sortWithinPartitions(key, *order).select(key, "__value", F.spark_partition_id().alias("__part"))
+    kind = samples.schema[key].dataType.simpleString()
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        steps: dict = {}  # key: part, first value, number, and the fold of what follows the first as scale and shift
+        for b in batches:
+            for k, v, p in zip(*(b.column(i).to_pylist() for i in range(3))):
+                if (s := steps.get(k)) is None:
+                    steps[k] = [p, v, 1, 1.0, 0.0]
+                else:
+                    s[2], s[3], s[4] = s[2] + 1, s[3] * EWMA_OLD, s[4] * EWMA_OLD + v * EWMA_NEW
+        if steps:
+            columns = [list(steps), *map(list, zip(*steps.values()))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, fields.types)], schema=fields)
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    schema = StructType.fromDDL(f"{key} {kind}, part int, first double, n long, scale double, shift double")
+    fields = to_arrow_schema(schema)
+    steps = placed.mapInArrow(fold, schema).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("part", "first", "scale", "shift", "n"))).alias("steps"))
+    step = lambda s, x: (s * EWMA_OLD + x["first"] * EWMA_NEW) * x["scale"] + x["shift"]
+    start = F.col("steps")[0]["first"] * F.col("steps")[0]["scale"] + F.col("steps")[0]["shift"]
+    total = F.aggregate(F.slice("steps", 2, F.greatest(F.size("steps") - 1, F.lit(0))), start, step)
+    return steps.select(key, total.alias("ewma"), F.aggregate("steps", F.lit(0).cast("long"), lambda s, x: s + x["n"]).alias("samples"))
 
 
 def replica_rows(shards: DataFrame) -> DataFrame:
@@ -110,47 +138,85 @@ def workers_for(shards: DataFrame, workers: DataFrame, as_of: datetime) -> DataF
     return replica_rows(shards).select("worker").union(helpers).distinct()
 
 
-def rebalance_plan(shards: DataFrame, workers: DataFrame, most: int = 10) -> list[tuple[int, str, str]]:
-    """(shard, from, to): draining workers first, then from those above 1.3 times the mean count of replicas to those
-    below it, one move after the other. Greedy over counts: worker and replica tables of a cluster fit the driver."""
-    held: dict[str, list[int]] = {r["worker"]: [] for r in workers.select("worker").orderBy("worker").collect()}
-    draining = {r["worker"] for r in workers.where("state = 'draining'").select("worker").collect()}
-    for r in replica_rows(shards).orderBy("shard", "worker").collect():
-        held.setdefault(r["worker"], []).append(r["shard"])
-    active = [w for w in held if w not in draining]
-    if not active:
+def rebalance_plan(shards: DataFrame, workers: DataFrame, as_of: datetime, most: int = 10, rf: int = REPLICATION) -> list[tuple]:
+    """(shard, source, target, reason): all shards of draining workers; then, up to most moves, from workers above 1.3 times
+    the mean number of replicas to those below the mean over 1.3, only shards with two healthy replicas; then hot shards
+    from their leaders to where there is most room for the capacity. Targets are healthy data workers without the shard.
+
+    One move after the other, as each changes the counts. What the driver reads are a count for each worker, and the
+    replicas of the shards that a draining, overloaded or leading worker of a hot shard holds."""
+    state = workers.select("worker", "capacity", "state", healthy(as_of).alias("healthy"), eligible(as_of).alias("able"))
+    rows = {r["worker"]: r for r in shard_distribution(shards, workers).join(state, "worker").collect()}
+    count = {w: r["replicas"] for w, r in rows.items()}
+    able = sorted(w for w, r in rows.items() if r["able"])
+    if len(able) < 2:
         return []
-    mean = sum(map(len, held.values())) / len(active)
-    moves: list[tuple[int, str, str]] = []
-
-    def move(source: str) -> bool:
-        for shard in sorted(held[source]):
-            for target in sorted((w for w in active if w != source), key=lambda w: (len(held[w]), w)):
-                if shard not in held[target] and (source in draining or len(held[target]) < mean / OVER):
-                    held[source].remove(shard)
-                    held[target].append(shard)
-                    moves.append((shard, source, target))
-                    return True
-        return False
-
-    for source in [*sorted(draining), *sorted(active, key=lambda w: (-len(held[w]), w))]:
-        while len(moves) < most and held.get(source) and (source in draining or len(held[source]) > mean * OVER) and move(source):
-            pass
+    mean = shards.count() * rf / len(able)
+    draining = sorted(w for w, r in rows.items() if r["state"] == "draining")
+    over = sorted((w for w in able if count[w] > mean * OVER), key=lambda w: (-count[w], w))
+    under = [w for w in able if count[w] < mean / OVER]
+    hot = hot_shards(shards).where("leader IS NOT NULL").select("shard", "leader", "reason").orderBy(F.desc("qps"), "shard").limit(most).collect()
+    sources = workers.sparkSession.createDataFrame([(w,) for w in {*draining, *over}], workers.select("worker").schema)
+    held = replica_rows(shards).join(sources, "worker", "left_semi").select("shard").union(workers.sparkSession.createDataFrame([(h["shard"],) for h in hot], shards.select("shard").schema))
+    own = {r["shard"]: list(r["replicas"]) for r in shards.select("shard", "replicas").join(held.distinct(), "shard", "left_semi").collect()}
+    moves: list[tuple] = []
+    moved = set()
+
+    def move(shard, source, targets: list, reason: str, load) -> bool:
+        free = [w for w in targets if w not in own[shard]]
+        if shard in moved or not free:
+            return False
+        target = min(free, key=lambda w: (load(w), w))
+        own[shard] = [target if w == source else w for w in own[shard]]
+        count[source], count[target] = count[source] - 1, count[target] + 1
+        moves.append((shard, source, target, reason))
+        moved.add(shard)
+        return True
+
+    for source in draining:
+        for shard in sorted(s for s, r in own.items() if source in r):
+            move(shard, source, able, "drain", count.__getitem__)
+    drained = len(moves)
+    for source in over:
+        for shard in sorted(s for s, r in own.items() if source in r):
+            if len(moves) - drained >= most or count[source] <= mean * OVER:
+                break
+            if sum(rows[w]["healthy"] for w in own[shard] if w in rows) >= 2:
+                move(shard, source, [w for w in under if count[w] < mean / OVER], "load_imbalance", count.__getitem__)
+    for h in hot:
+        if h["leader"] in rows:
+            move(h["shard"], h["leader"], able, f"hot_shard_{h['reason']}", lambda w: count[w] / max(1, rows[w]["capacity"]))
     return moves
 
 
-def edit_replicas(shards: DataFrame, shard: int, add: str | None = None, remove: str | None = None, least: int = 1) -> DataFrame:
-    """Membership of one shard with guards: no replica twice, not above 5, not below least; a change bumps the epoch."""
-    r = F.col("replicas")
-    new = F.array_remove(r, remove) if remove else r
-    new = F.array_append(new, F.lit(add)) if add else new
-    fair = F.lit(True)
-    if add:
-        fair = fair & ~F.array_contains(r, add)
-    if remove:
-        fair = fair & F.array_contains(r, remove)
-    fair = (F.col("shard") == shard) & fair & F.size(new).between(least, MAX_REPLICAS)
-    return shards.withColumn("epoch", F.when(fair, F.col("epoch") + 1).otherwise(F.col("epoch"))).withColumn("replicas", F.when(fair, new).otherwise(r))
+def edit_replicas(shards: DataFrame, shard, workers: DataFrame, as_of: datetime, add=None, remove=None, rf: int = REPLICATION) -> DataFrame:
+    """Membership of one shard with guards; a change bumps the epoch, and what a guard forbids changes nothing.
+
+    add: a worker that exists, is ready and has a live heartbeat, isn't a replica yet, up to 5 of them. remove: a replica,
+    as long as rf stay. Both: a move, from a replica to a worker that exists."""
+    r, unchanged = F.col("replicas"), F.lit(False)
+    able = workers.where(F.col("worker") == F.lit(add))
+    there = able.agg(F.count(F.lit(1)).alias("__known"), F.count_if(healthy(as_of)).alias("__healthy"))  # one row
+    if add is not None and remove is not None:
+        ok = F.array_contains(r, remove) & ~F.array_contains(r, add) & (F.col("__known") > 0)
+        new = F.transform(r, lambda w: F.when(w == F.lit(remove), F.lit(add)).otherwise(w))
+    elif add is not None:
+        ok = ~F.array_contains(r, add) & (F.col("__healthy") > 0) & (F.size(r) < MAX_REPLICAS)
+        new = F.array_append(r, F.lit(add))
+    elif remove is not None:
+        ok = F.array_contains(r, remove) & (F.size(r) > rf)
+        new = F.array_remove(r, remove)
+    else:
+        ok, new = unchanged, r
+    fair = (F.col("shard") == F.lit(shard)) & ok
+    joined = shards.crossJoin(F.broadcast(there)) if add is not None else shards
+    return joined.select(*(F.when(fair, new).otherwise(r).alias(c) if c == "replicas" else F.when(fair, F.col("epoch") + 1).otherwise(F.col("epoch")).alias(c) if c == "epoch" else F.col(c) for c in shards.columns))
+
+
+def collection_status(shards: DataFrame, ranges: DataFrame) -> DataFrame:
+    """shard, range_start, range_end, replicas, leader, epoch, ready (whether it has a leader) of each shard of the ranges."""
+    own = shards.select("shard", "replicas", "leader", "epoch")
+    return ranges.join(own, "shard", "left").withColumn("ready", F.col("leader").isNotNull())
 
 
 def endpoint_stats(log: DataFrame, keys: list[str]) -> DataFrame:
@@ -165,14 +231,24 @@ def gateway_stats(log: DataFrame) -> DataFrame:
     return log.agg(n.alias("requests"), F.when(span > 0, n / span).otherwise(0.0).alias("rps"), (F.sum(F.col("failed").cast("double")) / n).alias("error_rate"))
 
 
-def latency_percentiles(log: DataFrame, key: str, value: str, shares: dict[str, float]) -> DataFrame:
-    """Nearest-rank percentiles (the value at index int(n * p) in order), mean and population deviation."""
-    n = log.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("stddev"))
-    counted = log.select(key, F.col(value).alias("v")).groupBy(key, "v").agg(F.count(F.lit(1)).alias("times"))
-    upto = counted.withColumn("upto", F.sum("times").over(Window.partitionBy(key).orderBy("v"))).join(n.select(key, "n"), key)
-    at = {name: F.least(F.floor(F.col("n") * p), F.col("n") - 1) for name, p in shares.items()}
-    found = upto.groupBy(key).agg(*(F.min(F.when(F.col("upto") > x, F.col("v"))).alias(name) for name, x in at.items()))
-    return n.join(found, key)
+def latency_percentiles(log: DataFrame, key: str, value: str, shares: dict[str, float], accuracy: int = 10_000) -> DataFrame:
+    """Nearest-rank percentiles (the value at index int(n * p) in order), mean and population deviation; exact.
+
+    A sketch, which combines before the shuffle, brackets each percentile within some ranks in accuracy. A second pass
+    counts what lies below a bracket, again with partial sums, and only the values within are put in order: a hot key
+    costs a few rows in accuracy, not all of its rows in one task."""
+    v, slack = F.col("v"), 2.0 / accuracy
+    own = log.select(key, F.col(value).alias("v")).where(F.col(key).isNotNull() & v.isNotNull())
+    ends = [p for x in shares.values() for p in (max(0.0, x - slack), min(1.0, x + slack))]
+    n = own.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("stddev"), F.min("v").alias("least"), F.max("v").alias("most"), F.percentile_approx("v", ends, accuracy).alias("ends"))
+    bracket = F.array(*(F.struct(F.lit(name).alias("name"), F.least(F.floor(F.col("n") * p), F.col("n") - 1).alias("at"), (F.col("ends")[2 * i] if p > slack else F.col("least")).alias("low"), (F.col("ends")[2 * i + 1] if p < 1 - slack else F.col("most")).alias("high")) for i, (name, p) in enumerate(shares.items())))
+    brackets = n.select(key, F.explode(bracket).alias("b")).select(key, "b.*")
+    met = own.groupBy(key, "v").agg(F.count(F.lit(1)).alias("times")).join(brackets, key)
+    below = met.groupBy(key, "name").agg(F.sum(F.when(v < F.col("low"), F.col("times")).otherwise(0)).alias("below"))
+    within = met.where((v >= F.col("low")) & (v <= F.col("high"))).join(below, [key, "name"])
+    upto = within.withColumn("upto", F.col("below") + F.sum("times").over(Window.partitionBy(key, "name").orderBy("v")))
+    found = upto.where("upto > at").groupBy(key).agg(*(F.min(F.when(F.col("name") == name, v)).alias(name) for name in shares))
+    return n.select(key, "n", "mean", "stddev").join(found, key)
 
 
 def heartbeat_states(workers: DataFrame, beats: DataFrame) -> DataFrame:
@@ -187,3 +263,10 @@ def filter_alerts(alerts: DataFrame, status: str | None = None, level: str | Non
     if status:
         alerts = alerts.where(F.col("resolved") == F.lit(status == "resolved"))
     return alerts.where(F.col("level") == level) if level else alerts
+
+
+def overall_status(alerts: DataFrame) -> DataFrame:
+    """One row: critical if an unresolved alert is, degraded if there is any, else healthy."""
+    live = ~F.col("resolved")
+    status = F.when(F.count_if(live & (F.col("level") == "critical")) > 0, "critical").when(F.count_if(live) > 0, "degraded").otherwise("healthy")
+    return alerts.agg(status.alias("status"), F.count_if(live).alias("active"))

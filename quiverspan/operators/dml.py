@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from datetime import datetime
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# When a segment is sealed, how many are compacted, when deletions call for a rebuild.
+from ..functions import vector as V
+from .search import DEFAULT_K, search
+
+# When a segment is sealed, how many are compacted, when deletions call for a rebuild, when a search ends early.
 SEAL_VECTORS, SEAL_BYTES, SEAL_SECONDS = 100_000, 512 << 20, 600
 COMPACT_FAN_IN = 4
 REBUILD_DELETED, REBUILD_RATIO = 5000, 0.30
+SEARCH_FANOUT, EARLY_STOP_FACTOR = 8, 2
 
 
 def validate_points(points: DataFrame, dimension: int) -> DataFrame:
@@ -60,10 +65,25 @@ def live_points(segments: DataFrame, tombstones: DataFrame) -> DataFrame:
     return newest.join(dead, (F.col("id") == F.col("dead_id")) & (F.col("ts") <= F.col("dead_ts")), "left_anti")
 
 
-def newest_segments(segments: DataFrame, n: int) -> DataFrame:
-    """Rows of the n newest segments: a search that stops early over a manifest, which is small."""
-    newest = segments.select("segment").distinct().orderBy(F.desc("segment")).limit(n)
-    return segments.join(F.broadcast(newest), "segment", "left_semi")
+def segments_to_search(segments: DataFrame, query: list[float], k: int, metric: str = "cosine", fanout: int = SEARCH_FANOUT, factor: int = EARLY_STOP_FACTOR, per_segment: int = 100) -> DataFrame:
+    """segment: those that a search looks into, newest first, until fanout segments and k * factor different ids were
+    among the best per_segment of each. segments: id, vector, segment, ..."""
+    vector = F.array(*(F.lit(float(x)) for x in query))
+    scored = segments.select("segment", "id", V.distance(metric, F.col("vector"), vector).alias("score"))
+    best = scored.withColumn("rn", F.row_number().over(Window.partitionBy("segment").orderBy("score", "id"))).where(F.col("rn") <= per_segment)
+    first = best.groupBy("id").agg(F.max("segment").alias("segment")).groupBy("segment").agg(F.count(F.lit(1)).alias("new"))
+    manifest = segments.select("segment").distinct().join(first, "segment", "left")  # a row for each segment
+    back = Window.partitionBy(F.lit(0)).orderBy(F.desc("segment"))
+    placed = manifest.select("segment", F.row_number().over(back).alias("place"), F.sum(F.coalesce("new", F.lit(0))).over(back.rowsBetween(Window.unboundedPreceding, 0)).alias("found"))
+    enough = F.min(F.when((F.col("place") >= fanout) & (F.col("found") >= k * factor), F.col("place"))).over(Window.partitionBy(F.lit(0)))
+    return placed.withColumn("last", enough).where("last IS NULL OR place <= last").select("segment")
+
+
+def search_segments(segments: DataFrame, tombstones: DataFrame, query: list[float], k: int = DEFAULT_K, metric: str = "cosine", **stop) -> DataFrame:
+    """The k nearest live points of the segments that segments_to_search gives: each id as the newest of them has it, unless
+    a tombstone is at least as new. rank, id, score."""
+    chosen = segments.join(segments_to_search(segments, query, k, metric, **stop), "segment", "left_semi")
+    return search(live_points(chosen, tombstones), query, k, metric)
 
 
 def is_deleted(vector: Column) -> Column:
@@ -92,16 +112,31 @@ def compact(segments: DataFrame, tombstones: DataFrame, inputs: list[int] | None
     return live_points(chosen, tombstones)
 
 
-def union_tiers(*tiers: DataFrame) -> DataFrame:
-    return reduce(DataFrame.unionByName, tiers)
-
-
 def payload_size(id_col: Column, dim: Column, payload: Column) -> Column:
     """A client's estimate of a point's bytes on the wire."""
     text = F.coalesce(F.aggregate(F.map_entries(payload), F.lit(0), lambda s, e: s + F.octet_length(e["key"]) + F.octet_length(e["value"])), F.lit(0))
     return F.octet_length(id_col) + 4 * dim + text + 16
 
 
-def batches(points: DataFrame, rows: int = 256) -> DataFrame:
-    """batch: numbers of groups of at most rows points, filled in each partition alone."""
-    return points.withColumn("batch", F.floor((F.monotonically_increasing_id() % (1 << 33)) / rows) + F.shiftright(F.monotonically_increasing_id(), 33) * (1 << 24))
+def batches(points: DataFrame, rows: int = 256, size: int = 4 << 20) -> DataFrame:
+    """points with batch: numbers of groups of at most rows points and size bytes (payload_size), filled in order within
+    each partition alone; a point that is larger by itself has a batch of its own. points: id, vector, payload, ..."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    counted = points.withColumn("__size", payload_size(F.col("id"), F.size("vector"), F.col("payload"))).withColumn("batch", F.monotonically_increasing_id())
+    fields = to_arrow_schema(counted.drop("__size").schema)
+
+    def number(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, filled = None, 0, 0
+        for b in parts:
+            sizes, first = b.column("__size").to_pylist(), b.column("batch").to_pylist()
+            out = []
+            for s, i in zip(sizes, first):
+                s = s or 0
+                if now is None or held == rows or filled + s > size:
+                    now, held, filled = i, 0, 0
+                held, filled = held + 1, filled + s
+                out.append(now)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64()) if f.name == "batch" else b.column(f.name) for f in fields], schema=fields)
+
+    return counted.mapInArrow(number, counted.drop("__size").schema)

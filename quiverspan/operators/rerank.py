@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources.scratch import written
-from .search import DEFAULT_K, attach, candidate_limit, search
+from .search import DEFAULT_K, candidate_limit, search
 
 
 @dataclass(frozen=True)
@@ -193,8 +193,8 @@ def search_rerank(points: DataFrame, vector: list[float], query: str = "", k: in
     More hits than k are fetched (candidate_limit), their distances become similarities (mode raw leaves them), and the
     strategy orders them. Without a query, or where reranking is off, these are the k nearest, scored by similarity."""
     asked = bool(query.strip()) and enabled
-    hits = search(points, vector, candidate_limit(k, query, asked), metric)
-    near = attach(hits.select("id", similarity(F.col("score"), metric, mode).alias("score"), F.col("rank").alias("place")), points)
+    hits = search(points, vector, candidate_limit(k, query, asked), metric, carry=["payload"])
+    near = hits.select("id", similarity(F.col("score"), metric, mode).alias("score"), F.col("rank").alias("place"), "payload")
     if not asked:
         return near.select(F.col("place").alias("rank"), "id", "score", F.lit("").alias("explanation"), "payload")
     found = rerank(near.select(F.lit(0).alias("qid"), F.lit(query).alias("query"), "id", "score", "payload"), k, strategy, **options)

@@ -21,14 +21,14 @@ def top(hits: DataFrame, k: int | Column, by: str | None = "qid") -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= (F.lit(k) if isinstance(k, int) else k))
 
 
-def search(points: DataFrame, query: list[float], k: int = DEFAULT_K, metric: str = "cosine", compat: bool = False, shards: list[int] | None = None) -> DataFrame:
+def search(points: DataFrame, query: list[float], k: int = DEFAULT_K, metric: str = "cosine", compat: bool = False, shards: list[int] | None = None, carry: list[str] = []) -> DataFrame:
     """One query: rank, id, score; k of 0 or less is 10. A distributed top-k (TakeOrderedAndProject). shards: only those
-    (a filter on the partition column); by default all."""
+    (a filter on the partition column); by default all. carry: columns of points that go along."""
     if not query:
         raise ValueError("a query needs a vector")
     vector = F.array(*(F.lit(float(x)) for x in query))
     points = points if shards is None else points.where(F.col("shard").isin(shards))
-    hits = points.select("id", V.distance(metric, F.col("vector"), vector, compat).alias("score")).orderBy("score", "id").limit(k if k > 0 else DEFAULT_K)
+    hits = points.select("id", V.distance(metric, F.col("vector"), vector, compat).alias("score"), *carry).orderBy("score", "id").limit(k if k > 0 else DEFAULT_K)
     return hits.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("score", "id")))  # k rows
 
 
@@ -107,6 +107,20 @@ def effective_ef(k: int, dim: int, base: int = 100, multiplier: int = 2, least:
     return max(k, int(ef * scale))
 
 
+def effective_ef_of(k: Column, dim: Column, base: int = 100, multiplier: int = 2, least: int = 0, most: int = 0) -> Column:
+    """effective_ef as a column."""
+    floor = F.lit(least) if least else k
+    wanted = F.greatest(F.least(F.lit(base), 2 * k), F.least(F.greatest(k * multiplier, floor), F.lit(most or base)))
+    scale = F.when(dim >= 1024, 0.5).when(dim >= 768, 0.65).when(dim >= 512, 0.8).otherwise(1.0)
+    return F.greatest(k, (wanted * scale).cast("int"))
+
+
+def candidate_limit_of(k: Column, query: Column) -> Column:
+    """candidate_limit with reranking, as a column."""
+    n, letters = F.least(2 * k, F.greatest(F.lit(100), k)), F.char_length(query)
+    return F.when(letters.between(1, 2), F.least(n, k + F.floor(k / 2).cast("int"))).otherwise(n)
+
+
 def candidate_limit(k: int, query: str = "", rerank: bool = True) -> int:
     """How many hits to fetch before reranking: min(2k, max(100, k)), fewer for one or two letters, k without reranking."""
     if not rerank:

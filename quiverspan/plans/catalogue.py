@@ -116,17 +116,23 @@ def compaction(spark, d):
     return rounded(kept.select("id", "segment", "ts", F.aggregate(F.col("vector").cast("array<double>"), F.lit(0.0), lambda s, x: s + x).alias("total")), "total")
 
 
-@query(_batch(COSINE, 10))
+HOT = "vec_id IN (SELECT vec_id FROM embeddings ORDER BY vec_id DESC LIMIT 200)"
+
+
+@query(_batch(COSINE, 10, f"(vec_id % 3 <> 0 OR {HOT})"))
 def hot_cold_merge(spark, d):
+    """The hot tier holds points that the cold one lacks, and some that it has."""
     p = T.points(spark, d).withColumn("ts", F.col("id"))
     hot = p.join(S.hot_set(p, 200).select("id"), "id", "left_semi")
     q = T.queries(spark, d)
-    return rounded(S.merge_hits(S.search_batch(hot, q, 10), S.search_batch(p, q, 10), k=10), "score")
+    return rounded(S.merge_hits(S.search_batch(hot, q, 10), S.search_batch(p.where("id % 3 <> 0"), q, 10), k=10), "score")
 
 
 @query("SELECT vec_id AS id, ts_rank FROM (SELECT vec_id, row_number() OVER (ORDER BY vec_id DESC) AS ts_rank FROM embeddings) WHERE ts_rank <= 200")
 def hot_set(spark, d):
-    hot = S.hot_set(T.points(spark, d).withColumn("ts", F.col("id")), 200)
+    added = T.points(spark, d).select("id", F.col("id").alias("ts"))
+    again = added.where("id % 10 = 0").select("id", (F.col("ts") + 100_000).alias("ts"))  # adding again doesn't move it
+    hot = S.hot_set(added.union(again), 200)
     return hot.select("id", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("added"))).alias("ts_rank"))
 
 
@@ -193,11 +199,41 @@ def storage_compress(spark, d):
     return rounded(c.select("id", F.col("c.scale").alias("scale"), F.array_join("c.q", ",").alias("code")), "scale")
 
 
-@query("SELECT vec_id AS id, 4 + 4 * len(embedding) AS bytes, 0.0::DOUBLE AS error FROM embeddings")
+@query(f"""WITH s AS (SELECT vec_id AS id, {E} AS v, list_max(list_transform({E}, lambda x: abs(x))) AS m FROM embeddings)
+          SELECT id, 4 + 4 * len(v) + 2 + strlen(id::VARCHAR) AS bytes, 0.0::DOUBLE AS error, 'm:' || id AS metadata, 8 + len(v) + 2 + strlen(id::VARCHAR) AS packed_bytes,
+                 round(list_sum(list_transform(v, lambda x: abs(x - round(x * 127 / CASE WHEN m = 0 THEN 1 ELSE m END, 0) * m / 127))), 4) AS packed_error FROM s""")
 def vector_codec(spark, d):
-    p = T.points(spark, d).select("id", "vector", K.encode_vector(F.col("vector")).alias("raw"))
-    back = p.select("id", "vector", "raw", K.decode_vector(F.col("raw")).alias("back"))
-    return back.select("id", F.octet_length("raw").alias("bytes"), V.l2_squared(F.col("vector"), F.col("back")).alias("error"))
+    meta = F.concat(F.lit("m:"), F.col("id").cast("string")).cast("binary")
+    p = T.points(spark, d).select("id", "vector", K.encode_vector(F.col("vector"), meta).alias("raw"), K.encode_vector(F.col("vector"), meta, True).alias("packed"))
+    back = p.select("*", K.decode_vector(F.col("raw")).alias("r"), K.decode_vector(F.col("packed")).alias("p"))
+    off = F.aggregate(F.zip_with("vector", "p.vector", lambda x, y: F.abs(x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
+    return back.select("id", F.octet_length("raw").alias("bytes"), V.l2_squared(F.col("vector"), F.col("r.vector")).alias("error"), F.col("r.metadata").cast("string").alias("metadata"), F.octet_length("packed").alias("packed_bytes"), F.round(off, 4).alias("packed_error"))
+
+
+@query(f"SELECT vec_id AS id, round(1 - list_inner_product({UNIT}, list_transform(q.v, lambda y: y / sqrt(list_inner_product(q.v, q.v)))), 6) + 0 AS fast, round({COSINE}, 6) + 0 AS stored FROM embeddings, (SELECT {E} AS v FROM embeddings WHERE vec_id = 0) q")
+def vector_fast_paths(spark, d):
+    """The distance of unit vectors without a division, and the cosine distance with norms that are columns."""
+    q = F.array(*(F.lit(float(x)) for x in T.first_vector(spark, d)))
+    p = T.points(spark, d).withColumn("norm", V.norm(F.col("vector")))
+    fast, stored = V.normalized_cosine_distance(V.normalize(F.col("vector")), V.normalize(q)), V.cosine_distance(F.col("vector"), q, F.col("norm"), V.norm(q))
+    return rounded(p.select("id", fast.alias("fast"), stored.alias("stored")), "fast", "stored")
+
+
+@query(f"""WITH e AS (SELECT vec_id AS id, list_transform({E}, lambda x: CASE WHEN x = 0 THEN 0 ELSE trunc(x / pow(2.0::DOUBLE, floor(log2(abs(x))) - 8)) * pow(2.0::DOUBLE, floor(log2(abs(x))) - 8) END) AS v FROM embeddings)
+          SELECT id, round(list_sum(v), 9) + 0 AS total, v[1]::DOUBLE AS first FROM e""")
+def vector_truncated(spark, d):
+    t = T.points(spark, d).select("id", V.truncate_mantissa(F.col("vector"), 8).alias("v"))
+    return t.select("id", (F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x), 9) + F.lit(0.0)).alias("total"), F.col("v")[0].alias("first"))
+
+
+@query("""WITH c AS (SELECT p_partkey AS id, p_size AS k, CASE p_partkey % 4 WHEN 0 THEN 64 WHEN 1 THEN 512 WHEN 2 THEN 768 ELSE 1024 END AS dim, CASE p_partkey % 5 WHEN 0 THEN 'ab' WHEN 1 THEN '' ELSE p_name END AS query FROM part),
+          w AS (SELECT *, greatest(least(100, 2 * k), least(2 * k, 100)) AS wanted FROM c)
+          SELECT id, greatest(k, floor(wanted * CASE dim WHEN 512 THEN 0.8::DOUBLE WHEN 768 THEN 0.65::DOUBLE WHEN 1024 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END)::INT) AS ef,
+                 CASE WHEN length(query) BETWEEN 1 AND 2 THEN least(2 * k, greatest(100, k), k + k // 2) ELSE least(2 * k, greatest(100, k)) END AS fetched FROM w""")
+def search_limits(spark, d):
+    dim = F.when(F.col("p_partkey") % 4 == 0, 64).when(F.col("p_partkey") % 4 == 1, 512).when(F.col("p_partkey") % 4 == 2, 768).otherwise(1024)
+    asked = F.when(F.col("p_partkey") % 5 == 0, "ab").when(F.col("p_partkey") % 5 == 1, "").otherwise(F.col("p_name"))
+    return read(spark, d, "part").select(F.col("p_partkey").alias("id"), S.effective_ef_of(F.col("p_size"), dim).alias("ef"), S.candidate_limit_of(F.col("p_size"), asked).alias("fetched"))
 
 
 # --- key-value reads ------------------------------------------------------------------------------
@@ -224,6 +260,32 @@ def entry_count(spark, d):
     return K.entry_count(read(spark, d, "customer"), "c_name", "Customer#0000001")
 
 
+@query("SELECT c_custkey, c_name FROM customer WHERE c_name < (SELECT min(c_name) FROM customer WHERE c_acctbal < -900)")
+def iterate_until(spark, d):
+    return K.rows_until(read(spark, d, "customer"), "c_name", F.col("c_acctbal") < -900).select("c_custkey", "c_name")
+
+
+@query("""WITH ops AS (SELECT o_custkey AS key, max_by(o_orderstatus, o_orderkey) AS status, max_by(o_totalprice, o_orderkey) AS value FROM orders GROUP BY 1)
+          SELECT c_custkey AS key, c_acctbal AS value FROM customer WHERE c_custkey NOT IN (SELECT key FROM ops) UNION ALL SELECT key, value FROM ops WHERE status <> 'F'""")
+def kv_batch_write(spark, d):
+    table = read(spark, d, "customer").select(F.col("c_custkey").alias("key"), F.col("c_acctbal").alias("value"))
+    ops = read(spark, d, "orders").select(F.col("o_custkey").alias("key"), F.col("o_totalprice").alias("value"), (F.col("o_orderstatus") == "F").alias("is_delete"), F.col("o_orderkey").alias("seq"))
+    return K.apply_batch(table, ops)
+
+
+@query("SELECT c_custkey AS key, CASE c_custkey WHEN 7 THEN 1.5 ELSE c_acctbal END AS value FROM customer WHERE c_custkey <> 9")
+def kv_put_delete(spark, d):
+    table = read(spark, d, "customer").select(F.col("c_custkey").alias("key"), F.col("c_acctbal").alias("value"))
+    return K.remove(K.put(table, 7, 1.5), 9)
+
+
+@query("SELECT vec_id AS id, vec_id % 3 = 0 AS deleted FROM embeddings")
+def is_deleted(spark, d):
+    """A point whose vector is missing or empty counts as deleted."""
+    v = F.when(F.col("id") % 6 == 0, F.array().cast("array<float>")).when(F.col("id") % 3 != 0, F.col("vector"))
+    return T.points(spark, d).select("id", dml.is_deleted(v).alias("deleted"))
+
+
 @query("SELECT doc_id, coalesce(lang, '') AS lang, 2 AS keys FROM documents")
 def payload_codec(spark, d):
     p = read(spark, d, "documents").select("doc_id", K.encode_payload(F.create_map(F.lit("lang"), F.coalesce("lang", F.lit("")), F.lit("source"), F.coalesce("source", F.lit("")))).alias("raw"))
@@ -231,6 +293,84 @@ def payload_codec(spark, d):
     return back.select("doc_id", F.col("m")["lang"].alias("lang"), F.size("m").alias("keys"))
 
 
+FNV = """f AS (SELECT vec_id AS id, list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(string_split(vec_id::VARCHAR, ''), lambda c: ascii(c)::HUGEINT)),
+         lambda h, b: (xor(h, b) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT) AS h FROM embeddings)"""
+
+
+# --- collections ----------------------------------------------------------------------------------
+
+
+def _collection(spark, d) -> K.Collection:
+    """Embeddings in three writes: all, a third again with reversed vectors, and a tenth deleted."""
+    c = K.Store(spark, folder(spark, "store")).create("vectors", len(T.first_vector(spark, d)), "cosine")
+    p = T.points(spark, d).select(F.col("id").cast("string").alias("id"), "vector", F.create_map(F.lit("n"), F.col("id").cast("string")).alias("payload"), F.col("id").alias("n"))
+    c.upsert(p.drop("n"), 1)
+    c.upsert(p.where("n % 3 = 0").select("id", F.reverse("vector").alias("vector"), "payload"), 2)
+    c.delete([r["id"] for r in p.where("n % 10 = 0").select("id").collect()], 3)
+    return c
+
+
+STORED = f"st AS (SELECT vec_id::VARCHAR AS id, vec_id AS n, CASE WHEN vec_id % 3 = 0 THEN list_reverse({E}) ELSE {E} END AS v FROM embeddings WHERE vec_id % 10 <> 0)"
+NEAREST = f"WITH {STORED}, h AS (SELECT id, n, list_cosine_distance(st.v, q.v) AS score FROM st, (SELECT {E} AS v FROM embeddings WHERE vec_id = 0) q) SELECT row_number() OVER (ORDER BY score, id) AS rank, id, round(score, 6) AS score, n::VARCHAR AS n FROM h ORDER BY score, id LIMIT 10"
+
+
+@query(NEAREST)
+def collection_search(spark, d):
+    hits = _collection(spark, d).search(T.first_vector(spark, d), 10)
+    return rounded(hits.select("rank", "id", "score", F.col("payload")["n"].alias("n")), "score")
+
+
+@query(f"WITH {STORED} SELECT id, n::VARCHAR AS n, round(list_sum(v), 4) + 0 AS total, 1 AS segments FROM st")
+def collection_compact(spark, d):
+    c = _collection(spark, d)
+    c.compact(fan_in=None)
+    c.vacuum()
+    total = F.aggregate(F.col("vector").cast("array<double>"), F.lit(0.0), lambda s, x: s + x)
+    return c.points().select("id", F.col("payload")["n"].alias("n"), (F.round(total, 4) + F.lit(0.0)).alias("total"), F.lit(c.segments().count()).cast("int").alias("segments"))
+
+
+@query("SELECT * FROM (VALUES (1, (SELECT count(*) FROM embeddings)), (2, (SELECT count(*) FROM embeddings WHERE vec_id % 3 = 0)), (3, (SELECT count(*) FROM embeddings WHERE vec_id % 10 = 0))) t(segment, vectors)")
+def collection_segments(spark, d):
+    return _collection(spark, d).segments().select("segment", "vectors")
+
+
+@query(f"WITH {STORED} SELECT id, n::VARCHAR AS n FROM st")
+def collection_backup(spark, d):
+    """Backed up, emptied by deletes, restored."""
+    c, at = _collection(spark, d), folder(spark, "backup")
+    c.backup(at)
+    c.delete([r["id"] for r in c.points().select("id").collect()], 4)
+    c.restore(at, 5)
+    return c.points().select("id", F.col("payload")["n"].alias("n"))
+
+
+@query(f"WITH {STORED}, q AS (SELECT vec_id AS qid, {E} AS v FROM embeddings WHERE vec_id % 100 = 0), h AS (SELECT qid, id, list_cosine_distance(st.v, q.v) AS score FROM st, q), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score, id) AS rank FROM h) SELECT qid, rank, id, round(score, 6) AS score FROM r WHERE rank <= 10")
+def collection_index(spark, d):
+    """The index is built after the first two writes and searched in all cells after the third."""
+    c = _collection(spark, d)
+    c.build_index()
+    changed = c.points().where("CAST(id AS BIGINT) % 7 = 1")
+    c.delete([r["id"] for r in changed.select("id").collect()], 4)
+    c.upsert(changed, 5)
+    return rounded(c.search_index(T.queries(spark, d), 10, ef=1 << 20), "score")
+
+
+@query(f"WITH {FNV}, {STORED}, s AS (SELECT least(15, h // 1152921504606846976::HUGEINT)::INT AS shard, count(*) AS points FROM f WHERE id % 10 <> 0 GROUP BY 1) SELECT i::INT AS shard, coalesce(points, 0) AS points FROM range(0, 16) t(i) LEFT JOIN s ON shard = i")
+def collection_points(spark, d):
+    return _collection(spark, d).status().select("shard", "points")
+
+
+@query(f"WITH {STORED} SELECT id, n::VARCHAR AS n FROM st")
+def collection_stream(spark, d):
+    """The same points, as a stream into an empty collection."""
+    c = _collection(spark, d)
+    at, own = folder(spark, "stream"), K.Store(spark, folder(spark, "store")).create("copy", c.dimension, "cosine")
+    c.points().withColumn("ts", F.lit(1)).repartition(3).write.parquet(f"{at}/in")
+    rows = spark.read.parquet(f"{at}/in")
+    own.upsert_stream(cdc.read_changes(spark, f"{at}/in", rows.schema, 2), f"{at}/checkpoint").awaitTermination()
+    return own.points().select("id", F.col("payload")["n"].alias("n"))
+
+
 # --- change logs ----------------------------------------------------------------------------------
 
 
@@ -286,15 +426,25 @@ def rate_limit_windows(spark, d):
     return e.withColumn("rejected", F.greatest(F.col("requests") - 2, F.lit(0)))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) AS us, event_id AS seq FROM events),
+          w AS (SELECT user_id, min(us) AS start FROM e GROUP BY 1 UNION ALL SELECT w.user_id, (SELECT min(us) FROM e WHERE e.user_id = w.user_id AND e.us >= w.start + 1000000) FROM w WHERE w.start IS NOT NULL),
+          p AS (SELECT e.*, (SELECT max(start) FROM w WHERE w.user_id = e.user_id AND w.start <= e.us) AS start FROM e)
+          SELECT user_id AS "user", us, seq, row_number() OVER (PARTITION BY user_id, start ORDER BY us, seq) <= 2 AS allowed FROM p""")
 def rate_limit_exact(spark, d):
     return cdc.rate_limit(T.request_log(spark, d), "user_id", 2)
 
 
+@query(f"WITH {LOG_SQL}, l AS (SELECT * FROM log QUALIFY row_number() OVER (PARTITION BY id ORDER BY ts DESC, seq DESC) = 1) SELECT id, seq, round(value, 6) AS value FROM l WHERE NOT is_delete")
+def snapshot_tail(spark, d):
+    """A replica from a snapshot and the changes since, of which it sees some twice."""
+    log = T.change_log(spark, d)
+    snapshot, tail = cdc.snapshot_and_tail(log, 1706140800 * 10**6)
+    twice = log.where(F.col("ts") >= (1706140800 - 86400) * 10**6)
+    return rounded(cdc.apply_tail(snapshot, tail.union(twice)).select("id", "seq", "value"), "value")
+
+
 # --- sharding -------------------------------------------------------------------------------------
 
-FNV = """f AS (SELECT vec_id AS id, list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(string_split(vec_id::VARCHAR, ''), lambda c: ascii(c)::HUGEINT)),
-         lambda h, b: (xor(h, b) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT) AS h FROM embeddings)"""
 
 
 def _hashed(spark, d) -> DataFrame:
@@ -424,6 +574,15 @@ def rerank_cache_key(spark, d):
 # --- feedback -------------------------------------------------------------------------------------
 
 
+@query(f"WITH {FEEDBACK_SQL} SELECT collection, query, count(*) AS items, round(avg(relevance_score), 6) AS relevance, TRUE AS own_id FROM (SELECT *, id[strpos(id, '/') + 1:] AS query FROM sess) s JOIN item ON session_id = s.id GROUP BY 1, 2, s.id")
+def feedback_store(spark, d):
+    at, some = folder(spark, "feedback"), T.items(spark, d).withColumnRenamed("session_id", "ref")
+    sessions = T.sessions(spark, d).withColumnRenamed("id", "ref").join(some.select("ref").distinct(), "ref", "left_semi")
+    feedback.store(sessions, some, at)
+    stored = spark.read.parquet(f"{at}/sessions").join(spark.read.parquet(f"{at}/items"), F.col("id") == F.col("session_id"))
+    return rounded(stored.groupBy("collection", "query", "id").agg(F.count(F.lit(1)).alias("items"), F.avg("relevance_score").alias("relevance")).select("collection", "query", "items", "relevance", F.col("id").rlike("^[0-9a-f-]{36}$").alias("own_id")), "relevance")
+
+
 @query(f"WITH {FEEDBACK_SQL}, n AS (SELECT * FROM sess WHERE collection = 'c1' ORDER BY created_at DESC, id LIMIT 100) SELECT n.id, count(result_id) AS items, coalesce(string_agg(result_id::VARCHAR, ',' ORDER BY position), '') AS results FROM n LEFT JOIN item ON session_id = n.id GROUP BY 1")
 def feedback_by_collection(spark, d):
     f = feedback.by_collection(T.sessions(spark, d), T.items(spark, d), "c1")
@@ -505,12 +664,37 @@ def repair_plan(spark, d):
 
 @query()
 def rebalance_plan(spark, d):
-    return spark.createDataFrame(C.rebalance_plan(T.shards(spark, d), T.workers(spark, d)), "shard long, source long, target long")
+    return spark.createDataFrame(C.rebalance_plan(T.shards(spark, d), T.workers(spark, d), AS_OF), "shard long, source long, target long, reason string")
+
 
+EDITED = """e AS (SELECT shard, list(worker ORDER BY worker) AS own FROM r GROUP BY 1), able AS (SELECT min(worker) AS add FROM w WHERE healthy AND worker NOT IN (SELECT worker FROM r WHERE shard = 7)),
+           dead AS (SELECT min(worker) AS dead FROM w WHERE NOT healthy AND worker NOT IN (SELECT worker FROM r WHERE shard = 6))"""
 
-@query(f"WITH {BASE}, v AS (SELECT shard, worker FROM r WHERE shard <> 7 UNION ALL SELECT shard, worker FROM r WHERE shard = 7 UNION ALL SELECT 7, 3 WHERE EXISTS (SELECT 1 FROM s WHERE shard = 7) AND (SELECT count(*) FROM r WHERE shard = 7) < 5 AND NOT EXISTS (SELECT 1 FROM r WHERE shard = 7 AND worker = 3)) SELECT shard, count(*) AS replicas, 1 + (shard = 7 AND count(*) > (SELECT count(*) FROM r WHERE shard = 7))::BIGINT AS epoch FROM v GROUP BY 1")
+
+@query(f"""WITH {BASE}, {EDITED} SELECT e.shard, array_to_string(CASE e.shard WHEN 7 THEN list_sort(CASE WHEN len(own) < 5 AND add IS NOT NULL THEN list_append(own, add) ELSE own END)
+             WHEN 3 THEN CASE WHEN len(own) > 3 THEN own[2:] ELSE own END ELSE own END, ',') AS replicas,
+             1 + (e.shard = 7 AND len(own) < 5 AND add IS NOT NULL OR e.shard = 3 AND len(own) > 3)::BIGINT AS epoch FROM e, able, dead""")
 def replica_edit(spark, d):
-    return C.edit_replicas(T.shards(spark, d), 7, add=3).select("shard", F.size("replicas").alias("replicas"), "epoch")
+    """A healthy worker joins shard 7, one that isn't can't join shard 6, the least replica of shard 3 leaves if three stay."""
+    s, w = T.shards(spark, d), T.workers(spark, d)
+    r = C.replica_rows(s)
+    new = w.where(C.healthy(AS_OF)).join(r.where("shard = 7"), "worker", "left_anti").agg(F.min("worker")).first()[0]
+    dead = w.where(~C.healthy(AS_OF)).join(r.where("shard = 6"), "worker", "left_anti").agg(F.min("worker")).first()[0]
+    s = C.edit_replicas(s, 7, w, AS_OF, add=new)
+    s = C.edit_replicas(s, 6, w, AS_OF, add=dead)
+    s = C.edit_replicas(s, 3, w, AS_OF, remove=r.where("shard = 3").agg(F.min("worker")).first()[0])
+    return s.select("shard", F.array_join(F.sort_array("replicas"), ",").alias("replicas"), "epoch")
+
+
+@query(f"""WITH {BASE}, m AS (SELECT min(worker) AS source FROM r WHERE shard = 2), t AS (SELECT min(worker) AS target FROM w WHERE worker NOT IN (SELECT worker FROM r WHERE shard = 2)),
+           v AS (SELECT shard, CASE WHEN shard = 2 AND worker = source AND target IS NOT NULL THEN target ELSE worker END AS worker FROM r, m, t)
+           SELECT shard, string_agg(worker::VARCHAR, ',' ORDER BY worker) AS replicas, 1 + (shard = 2 AND (SELECT target FROM t) IS NOT NULL)::BIGINT AS epoch FROM v GROUP BY 1""")
+def replica_move(spark, d):
+    s, w = T.shards(spark, d), T.workers(spark, d)
+    r = C.replica_rows(s).where("shard = 2")
+    target = w.join(r, "worker", "left_anti").agg(F.min("worker")).first()[0]
+    s = C.edit_replicas(s, 2, w, AS_OF, add=target, remove=r.agg(F.min("worker")).first()[0]) if target is not None else s
+    return s.select("shard", F.array_join(F.sort_array("replicas"), ",").alias("replicas"), "epoch")
 
 
 @query("SELECT event_type, event_id % 2 AS method, count(*) AS requests, round(avg(value), 6) AS mean_latency, sum((event_type = 'error')::INT)::BIGINT AS errors FROM events GROUP BY 1, 2")
@@ -542,11 +726,25 @@ def alert_filter(spark, d):
     return C.filter_alerts(e, "active", "error").select("event_id", "user_id")
 
 
+@query("SELECT CASE WHEN count(*) FILTER (event_type = 'error' AND value > 90) > 0 THEN 'critical' WHEN count(*) FILTER (event_type = 'error') > 0 THEN 'degraded' ELSE 'healthy' END AS status, count(*) FILTER (event_type = 'error') AS active FROM events")
+def overall_status(spark, d):
+    e = read(spark, d, "events")
+    return C.overall_status(e.select((F.col("event_type") != "error").alias("resolved"), F.when(F.col("value") > 90, "critical").otherwise("warning").alias("level")))
+
+
 @query("SELECT p_partkey, p_name LIKE 'a%' AND p_name LIKE '%e' AS hit FROM part")
 def pattern_match(spark, d):
     return read(spark, d, "part").select("p_partkey", text.matches_star(F.col("p_name"), "a*e").alias("hit"))
 
 
+@query("SELECT c_custkey, c_acctbal >= 0 AS filled, strlen(c_name || c_mktsegment) <= 26 AS short, c_name || chr(9) || c_mktsegment AS clean FROM customer")
+def text_checks(spark, d):
+    c, name, segment = read(spark, d, "customer"), F.col("c_name"), F.col("c_mktsegment")
+    blank = F.when(F.col("c_acctbal") >= 0, name).when(F.col("c_custkey") % 2 == 0, "  ")
+    dirty = F.concat(F.lit(" \n"), name, F.lit("\t"), F.lit("\x00\x07"), segment, F.lit("  "))
+    return c.select("c_custkey", text.not_empty(blank).alias("filled"), text.max_length(F.concat(name, segment), 26).alias("short"), text.sanitize(dirty).alias("clean"))
+
+
 @query(r"""SELECT c_custkey, regexp_full_match(trim(lower(c_name) || '@' || c_mktsegment || '.org'), '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}') AS email_ok, strlen(c_name) <= 50 AND regexp_full_match(c_name, '[a-zA-Z0-9\s_-]+') AS key_ok,
           strlen(c_name) BETWEEN 8 AND 128 AND regexp_matches(c_name, '[A-Z]')::INT + regexp_matches(c_name, '[a-z]')::INT + regexp_matches(c_name, '[0-9]')::INT + regexp_matches(c_name, '[^A-Za-z0-9\s]')::INT >= 3 AS password_ok FROM customer""")
 def validation(spark, d):
@@ -567,17 +765,22 @@ def worker_roles(spark, d):
     return T.workers(spark, d).where("role = 'search_only'").select("worker", "zone")
 
 
-@query(f"WITH {SEGMENTS_SQL}, c AS (SELECT segment, count(*) AS vectors, sum(4 * len(vector)) AS bytes FROM seg GROUP BY 1) SELECT segment, vectors, vectors >= 100000 OR bytes >= 536870912 OR segment * 200 >= 600 AS seal FROM c")
+@query("SELECT p_partkey AS segment, p_size * 4000 >= 100000 OR p_partkey % 700 * 1048576 >= 536870912 OR p_partkey % 800 >= 600 AS seal FROM part")
 def seal_policy(spark, d):
-    size = F.sum(4 * F.size("vector")).alias("bytes")
-    c = T.segments(spark, d).groupBy("segment").agg(F.count(F.lit(1)).alias("vectors"), size)
-    created = F.lit(AS_OF).cast("timestamp") - F.make_dt_interval(secs=(F.col("segment") * 200).cast("decimal(18,6)"))
-    return c.select("segment", "vectors", dml.should_seal(F.col("vectors"), F.col("bytes"), created, AS_OF).alias("seal"))
+    """By vectors, by bytes, by age."""
+    key = F.col("p_partkey")
+    created = F.lit(AS_OF).cast("timestamp") - F.make_dt_interval(secs=(key % 800).cast("decimal(18,6)"))
+    return read(spark, d, "part").select(key.alias("segment"), dml.should_seal(F.col("p_size") * 4000, key % 700 * (1 << 20), created, AS_OF).alias("seal"))
 
 
-@query(f"WITH {LOG_SQL}, c AS (SELECT id % 10 AS shard, count(*) AS changes, sum(is_delete::INT)::BIGINT AS deleted FROM log GROUP BY 1) SELECT shard, deleted, deleted >= 5000 AND deleted / changes >= 0.3 AS rebuild FROM c")
+@query("""WITH c AS (SELECT l_linenumber AS shard, count(*) AS changes, count(*) FILTER (l_returnflag <> 'N') AS deleted FROM lineitem GROUP BY 1 UNION ALL SELECT 0, count(*), count(*) FILTER (l_returnflag = 'A') FROM lineitem)
+          SELECT shard, deleted, deleted >= 5000 AND deleted / changes >= 0.3 AS rebuild FROM c""")
 def rebuild_policy(spark, d):
-    c = T.change_log(spark, d).groupBy((F.col("id") % 10).alias("shard")).agg(F.count(F.lit(1)).alias("changes"), F.count_if("is_delete").alias("deleted"))
+    """Lines as changes, returned ones as deletions: many shards are too small for a rebuild, one has too few deletions."""
+    own = F.struct(F.col("l_linenumber").cast("long").alias("shard"), (F.col("l_returnflag") != "N").alias("gone"))
+    every = F.struct(F.lit(0).cast("long").alias("shard"), (F.col("l_returnflag") == "A").alias("gone"))
+    rows = read(spark, d, "lineitem").select(F.explode(F.array(own, every)).alias("c")).select("c.*")
+    c = rows.groupBy("shard").agg(F.count(F.lit(1)).alias("changes"), F.count_if("gone").alias("deleted"))
     return c.select("shard", "deleted", dml.should_rebuild(F.col("deleted"), F.col("changes")).alias("rebuild"))
 
 
@@ -601,13 +804,18 @@ def progressive_search(spark, d):
     return rounded(spark.createDataFrame([(n + 1, i, s) for n, (i, s) in enumerate(last)], "rank int, id long, score double"), "score")
 
 
-@query(f"WITH {FNV}, s AS (SELECT least(15, h // 1152921504606846976::HUGEINT)::INT AS shard, count(*) AS points FROM f GROUP BY 1) SELECT i::INT AS shard, coalesce(points, 0) AS points, points IS NOT NULL AS ready FROM range(0, 16) t(i) LEFT JOIN s ON shard = i")
+@query(f"""WITH {BASE}, o AS (SELECT shard, count(*) AS replicas FROM r GROUP BY 1)
+           SELECT i::INT AS shard, (i * 288230376151711744::HUGEINT)::VARCHAR AS range_start, coalesce(replicas, 0) AS replicas, CASE WHEN i % 13 <> 0 AND replicas > 0 THEN i * 5 % n + 1 END AS leader, i % 13 <> 0 AND coalesce(replicas, 0) > 0 AS ready,
+                  CASE WHEN replicas > 0 THEN 1 END AS epoch FROM range(0, 64) t(i) LEFT JOIN o ON shard = i, sn""")
 def collection_status(spark, d):
-    counts = _hashed(spark, d).groupBy("shard").agg(F.count(F.lit(1)).alias("points"))
-    return hashing.shard_ranges(spark, 16).join(counts, "shard", "left").select("shard", F.coalesce("points", F.lit(0)).alias("points"), F.col("points").isNotNull().alias("ready"))
+    status = C.collection_status(T.shards(spark, d), hashing.shard_ranges(spark, 64))
+    return status.select("shard", F.col("range_start").cast("string").alias("range_start"), F.coalesce(F.size("replicas"), F.lit(0)).alias("replicas"), "leader", "ready", "epoch")
 
 
-@query(f"WITH {SEGMENTS_SQL}, m AS (SELECT id, list_cosine_distance(vector, q.v) AS score FROM seg, (SELECT {E} AS v FROM embeddings WHERE vec_id = 0) q WHERE segment IN (6, 7)), b AS (SELECT id, min(score) AS score FROM m GROUP BY 1) SELECT row_number() OVER (ORDER BY score, id) AS rank, id, round(score, 6) AS score FROM b ORDER BY score, id LIMIT 10")
+@query(f"""WITH {SEGMENTS_SQL}, two AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY segment DESC, ts DESC) AS rn FROM seg WHERE segment >= 5) WHERE rn = 1),
+           h AS (SELECT n.id, list_cosine_distance(n.vector, q.v) AS score FROM two n, (SELECT {E} AS v FROM embeddings WHERE vec_id = 0) q WHERE NOT EXISTS (SELECT 1 FROM tomb t WHERE t.id = n.id AND n.ts <= t.ts))
+           SELECT row_number() OVER (ORDER BY score, id) AS rank, id, round(score, 6) AS score FROM h ORDER BY score, id LIMIT 10""")
 def newest_segments_search(spark, d):
-    recent = dml.newest_segments(T.segments(spark, d), 2)
-    return rounded(S.search(recent, T.first_vector(spark, d), 10), "score")
+    """Ends after the three newest of five segments; ids lie in two of them, and tombstones count."""
+    found = dml.search_segments(T.segments(spark, d), T.tombstones(spark, d), T.first_vector(spark, d), 10, fanout=3)
+    return rounded(found, "score")

@@ -32,10 +32,10 @@ def first_vector(spark, sf_dir) -> list[float]:
 
 
 def segments(spark, sf_dir) -> DataFrame:
-    """Points as segment rows; those divisible by 7 also lie in an older segment with a reversed vector."""
+    """Points as segment rows; those divisible by 7 also lie in the segment before with a reversed vector."""
     p = points(spark, sf_dir)
     new = p.select("id", "vector", (F.col("id") % 4 + 4).alias("segment"), F.col("id").alias("ts"))
-    return new.unionByName(p.where("id % 7 = 0").select("id", F.reverse("vector").alias("vector"), (F.col("id") % 4).alias("segment"), F.col("id").alias("ts")))
+    return new.unionByName(p.where("id % 7 = 0").select("id", F.reverse("vector").alias("vector"), (F.col("id") % 4 + 3).alias("segment"), F.col("id").alias("ts")))
 
 
 def tombstones(spark, sf_dir) -> DataFrame:
@@ -45,7 +45,7 @@ def tombstones(spark, sf_dir) -> DataFrame:
 
 SEGMENTS_SQL = """seg AS (
   SELECT vec_id AS id, embedding::DOUBLE[] AS vector, vec_id % 4 + 4 AS segment, vec_id AS ts FROM embeddings
-  UNION ALL SELECT vec_id, list_reverse(embedding::DOUBLE[]), vec_id % 4, vec_id FROM embeddings WHERE vec_id % 7 = 0),
+  UNION ALL SELECT vec_id, list_reverse(embedding::DOUBLE[]), vec_id % 4 + 3, vec_id FROM embeddings WHERE vec_id % 7 = 0),
 tomb AS (SELECT vec_id AS id, CASE WHEN vec_id % 10 = 0 THEN vec_id + 1 ELSE vec_id - 1 END AS ts FROM embeddings WHERE vec_id % 5 = 0),
 newest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY segment DESC, ts DESC) AS rn FROM seg) WHERE rn = 1),
 live AS (SELECT n.* FROM newest n WHERE NOT EXISTS (SELECT 1 FROM tomb t WHERE t.id = n.id AND n.ts <= t.ts))"""

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-_STRING, _LONG, _INT, _DOUBLE, _BOOL, _TIME, _BINARY = T.StringType(), T.LongType(), T.IntegerType(), T.DoubleType(), T.BooleanType(), T.TimestampType(), T.BinaryType()
-_VECTOR, _PAYLOAD, _RANGE = T.ArrayType(T.FloatType()), T.MapType(T.StringType(), T.StringType()), T.DecimalType(20, 0)
+_STRING, _LONG, _INT, _BOOL, _TIME = T.StringType(), T.LongType(), T.IntegerType(), T.BooleanType(), T.TimestampType()
+_VECTOR, _PAYLOAD = T.ArrayType(T.FloatType()), T.MapType(T.StringType(), T.StringType())
 
 
 def _struct(**fields: T.DataType) -> T.StructType:
@@ -13,12 +13,7 @@ def _struct(**fields: T.DataType) -> T.StructType:
 
 
 POINT = _struct(id=_STRING, vector=_VECTOR, payload=_PAYLOAD)
-COLLECTION = _struct(name=_STRING, dimension=_INT, distance=_STRING, shards=_INT)
-SHARD = _struct(collection=_STRING, shard=_INT, range_start=_RANGE, range_end=_RANGE, replicas=T.ArrayType(_STRING), leader=_STRING, epoch=_LONG, qps=_DOUBLE, latency_ms=_DOUBLE)
-SEGMENT = _struct(segment_id=_LONG, state=_STRING, vectors=_LONG, bytes=_LONG, created_at=_TIME, sealed_at=_TIME, min_id=_STRING, max_id=_STRING)
-TOMBSTONE = _struct(id=_STRING, ts=_LONG)
+SEGMENT = _struct(segment=_LONG, state=_STRING, vectors=_LONG, bytes=_LONG, created_at=_TIME, position=_LONG)
 CHANGE = _struct(id=_STRING, vector=_VECTOR, payload=_PAYLOAD, is_delete=_BOOL, ts=_LONG, seq=_LONG)
 FEEDBACK_SESSION = _struct(id=_STRING, collection=_STRING, query=_STRING, user_id=_STRING, session_id=_STRING, created_at=_TIME, additional_context=_STRING)
 FEEDBACK_ITEM = _struct(session_id=_STRING, result_id=_STRING, relevance_score=_INT, clicked=_BOOL, position=_INT, comment=_STRING)
-WORKER = _struct(worker=_STRING, cpu=_DOUBLE, memory=_DOUBLE, disk=_DOUBLE, qps=_DOUBLE, shards=_INT, capacity=_LONG, zone=_STRING, rack=_STRING, state=_STRING, role=_STRING, heartbeat=_TIME)
-KEY_VALUE = _struct(key=_BINARY, value=_BINARY)
