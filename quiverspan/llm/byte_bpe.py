@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -18,7 +19,8 @@ from .common import arrow_map, table
 LEAF, LEAF_IDS, WINDOW = 2048, 2048, 16
 
 # White space as the pattern has it.
-SPACE = frozenset("\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_cut = re.compile(f"[^{SPACES}][{SPACES}]")
 
 
 class Codec:
@@ -31,36 +33,32 @@ class Codec:
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.decimal = {rank: str(rank) for rank in ranks.values()}
 
-    # A position between a character that isn't white space and one that is always parts two matches of the pattern:
-    # no alternative has white space after its first character unless it is all white space. Matching depends only on
-    # what follows the start of a match, and the match before the position ends alike with or without what follows, so
-    # encode(a + b) = encode(a) + encode(b) there. Outside the two nearest such positions a join can change no token.
-
-    def _stable_left(self, text: str, lo: int, mid: int) -> int:
-        width, at = WINDOW, mid
-        while at > lo:  # the window grows until it holds a stable position
+    def window(self, text: str, lo: int, mid: int, hi: int) -> tuple[int, int]:
+        """The part of text[lo:hi] around the seam at mid outside of which a join changes no token.
+
+        It grows, twice as wide each time, until both edges are cuts or ends of the text. A cut is a position between a
+        character that isn't white space and one that is. It always parts two matches of the pattern: no alternative has
+        white space after its first character unless it is all white space. Matching depends only on what follows the
+        start of a match, and the match before a cut ends alike with or without what follows, so
+        encode(a + b) = encode(a) + encode(b) there: the tokens outside the window are proven stable."""
+        a = b = mid
+        width = WINDOW
+        while a > lo and a == mid:
             edge = max(lo, mid - width)
-            while at > edge:
-                at -= 1
-                if at > lo and text[at] in SPACE and text[at - 1] not in SPACE:
-                    return at
+            cuts = [m.end() - 1 for m in _cut.finditer(text, edge, mid)]
+            a = cuts[-1] if cuts else lo if edge == lo else mid
             width *= 2
-        return lo
-
-    def _stable_right(self, text: str, mid: int, hi: int) -> int:
-        width, at = WINDOW, mid
-        while at < hi:
+        width = WINDOW
+        while b < hi and b == mid:
             edge = min(hi, mid + width)
-            while at < edge:
-                at += 1
-                if at < hi and text[at] in SPACE and text[at - 1] not in SPACE:
-                    return at
+            cut = _cut.search(text, mid, edge)
+            b = cut.end() - 1 if cut else hi if edge == hi else mid
             width *= 2
-        return hi
+        return a, b
 
     def join(self, text: str, lo: int, mid: int, hi: int, left: list[int], right: list[int]) -> list[int]:
         """The ids of text[lo:hi] from those of its parts at mid."""
-        a, b = self._stable_left(text, lo, mid), self._stable_right(text, mid, hi)
+        a, b = self.window(text, lo, mid, hi)
         keep = len(left) - len(self.plain(text[a:mid])) if a > lo else 0
         skip = len(self.plain(text[mid:b])) if b < hi else len(right)
         return [*left[:keep], *self.plain(text[a:b]), *right[skip:]]
@@ -91,8 +89,9 @@ def codec(ranks_path: str, pattern: str = public_tokenizers.PATTERN) -> Codec:
 def encode_documents(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text", pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """doc_id and ids (array<int>) of every row, whole texts, no special tokens; null or empty text: no ids.
 
-    A row depends on nothing but its text: no shuffle. A text of n code points takes log(n / LEAF) joins of a few
-    tokens each; a text without white space is re-encoded whole at each join."""
+    A row depends on nothing but its text: no shuffle. A text of n code points takes log(n / LEAF) levels of joins, each
+    over its window; where there is no cut, as in a text without white space, the window is the whole part. Repeated rows
+    are encoded each for itself, other columns ignored; empty table: no rows."""
 
     def rows(batches: Iterator[dict]) -> Iterator[dict]:
         c = codec(ranks_path, pattern)
@@ -136,6 +135,7 @@ def round_trips(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_c
 
 
 def op5_byte_bpe(spark, sf_dir: str) -> DataFrame:
+    """round_trips over documents; null and empty texts have no ids."""
     return round_trips(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
