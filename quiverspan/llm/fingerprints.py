@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -91,30 +92,41 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def in_order_with_next(docs: DataFrame, id_col: str, text_col: str, partitions: int) -> DataFrame:
-    """key, text, ahead: each partition holds a range of ids in ascending order, then (ahead) the row that comes next.
-
-    Ranges come from a first pass over ids alone; the first row of each range is also sent to the range before, that of
-    the first range to the last. So no partition waits for another, and no window runs over the whole table. Rows that
-    share an id are ordered by a hash of their text; a null id counts as the smallest."""
-    own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("key"), F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
-    ranged = own.select("key").repartitionByRange(partitions, "key").groupBy(F.spark_partition_id().alias("p")).agg(F.min("key").alias("key"))
-    starts = sorted(r["key"] for r in ranged.collect())  # one for each partition
+    """id, text, ahead: each partition holds a range of rows in ascending order of id, then (ahead) the row that comes next.
+
+    Ranges come from a first pass over ids and hashes of texts, by which rows of one id are ordered, so that many rows of
+    one id (nulls are the smallest) spread over many ranges. The first row of each range is also sent to the range before,
+    that of the first range to the last. So no partition waits for another, and no window runs over the whole table.
+    Where a range starts is looked up in a table of one row, first among every so many starts, then among those between."""
+    key = F.struct(F.col("id"), F.xxhash64("text").alias("tie"))
+    own = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).withColumn("key", key)
+    ranged = own.select("key").repartitionByRange(partitions, "key.id", "key.tie").groupBy(F.spark_partition_id().alias("p")).agg(F.min("key").alias("key"))
+    starts = [tuple(r["key"]) for r in ranged.orderBy("key").collect()]  # one for each partition
     if not starts:
-        return own.withColumn("ahead", F.lit(False))
-    edges = F.array(*map(F.lit, starts))
-    bucket = F.size(F.filter(edges, lambda e: e <= F.col("key"))) - 1
-    first = F.array_contains(edges, F.col("key"))
-    before = F.pmod(bucket - 1, F.lit(len(starts)))
-    places = F.when(first, F.array(F.struct(bucket.alias("bucket"), F.lit(False).alias("ahead")), F.struct(before.alias("bucket"), F.lit(True).alias("ahead")))).otherwise(F.array(F.struct(bucket.alias("bucket"), F.lit(False).alias("ahead"))))
-    dealt = own.withColumn("place", F.explode(places)).select("key", "id", "text", "place.bucket", "place.ahead").repartitionById(len(starts), F.col("bucket"))
-    return dealt.sortWithinPartitions("ahead", "key", F.xxhash64("text")).select("key", "id", "text", "ahead")
+        return own.select("id", "text", F.lit(False).alias("ahead"))
+    step = max(1, math.isqrt(len(starts)))
+    fine = [starts[i : i + step] for i in range(0, len(starts), step)]
+    kind = own.schema["key"].dataType.simpleString()
+    table_ = docs.sparkSession.createDataFrame([([x[0] for x in fine], fine)], f"coarse array<{kind}>, fine array<array<{kind}>>")
+    placed = own.crossJoin(F.broadcast(table_))  # one row
+    block = F.size(F.filter("coarse", lambda e: e <= F.col("key"))) - 1
+    placed = placed.withColumn("block", block).withColumn("own", F.element_at("fine", F.col("block") + 1)).drop("coarse", "fine")
+    bucket = F.col("block") * step + F.size(F.filter("own", lambda e: e <= F.col("key"))) - 1
+    placed = placed.withColumn("first", F.array_contains("own", F.col("key"))).withColumn("bucket", bucket).drop("own", "block")
+    here = F.struct(F.col("bucket"), F.lit(False).alias("ahead"))
+    before = F.struct(F.pmod(F.col("bucket") - 1, F.lit(len(starts))).alias("bucket"), F.lit(True).alias("ahead"))
+    placed = placed.withColumn("place", F.explode(F.when(F.col("first"), F.array(here, before)).otherwise(F.array(here))))
+    dealt = placed.select("id", "text", "key", "place.bucket", "place.ahead").repartitionById(len(starts), F.col("bucket"))
+    return dealt.sortWithinPartitions("ahead", "key").select("id", "text", "ahead")
 
 
 def edit_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> DataFrame:
     """For every row, by ascending id: its fingerprint, that of the text with its last quarter replaced by the start of
     the next row's text (the last row's next is the first), and their likeness.
 
-    One shuffle of the texts, by ranges of ids; a task holds two texts at a time."""
+    Ids may be of any type that has an order; null ids come first. Rows that share an id are ordered by a hash of their
+    text, and each is reported. Null text is empty. A table of one row: it is its own next. Empty table: no rows. One
+    shuffle of the texts, by ranges of ids; a task holds two texts at a time."""
     parts = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def report(b: dict[str, list], key, text: str, own: Fingerprint, after: str, other: Fingerprint) -> None:
@@ -144,6 +156,7 @@ def edit_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op7_fingerprints(spark, sf_dir: str) -> DataFrame:
+    """edit_report over documents."""
     return edit_report(table(spark, sf_dir, "documents"))
 
 

@@ -104,6 +104,18 @@ def test_edit_report(docs, rows, empty, partitions):
     assert fingerprints.edit_report(empty, partitions=partitions).count() == 0
 
 
+def test_edit_report_of_string_and_null_ids(spark):
+    """Ids of another type, and many rows without one: all reported, each with the row that comes next."""
+    rows = [(None, f"null number {i} " * 20) for i in range(60)] + [(f"k{i:02}", f"text of {i} " * 20) for i in range(30)]
+    got = fingerprints.edit_report(spark.createDataFrame(rows, "doc_id string, text string").repartition(5), partitions=9).collect()
+    assert len(got) == len(rows)
+    by = {r["doc_id"]: r for r in got}
+    for i in range(29):
+        t, after = rows[60 + i][1], rows[61 + i][1]
+        edited = t[: len(t) - len(t) // 4] + after[: len(t) // 4]
+        assert by[f"k{i:02}"]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+
+
 def test_edit_report_of_one_row(spark):
     df = spark.createDataFrame([(None, "only one document here")], "doc_id long, text string")
     r = fingerprints.edit_report(df).first()
