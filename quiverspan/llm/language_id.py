@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -31,8 +32,9 @@ FAMILIES = {
 }
 FAMILY_OF = {lang: family for family, langs in FAMILIES.items() for lang in langs.split()}
 
-#: Hashed character n-grams (1 to 3) of letters; labelled rows that a fit reads at most, over all languages.
-DIM, MAX_ROWS = 4096, 3000
+#: Hashed character n-grams (1 to 3) of letters; labelled rows that a fit reads at most, over all languages; tags that a
+#: fit learns at most (the commonest), so that dirty tags make no model without bound.
+DIM, MAX_ROWS, MAX_LANGS = 4096, 3000, 100
 UNKNOWN = "und"
 
 
@@ -108,10 +110,11 @@ class Model:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_rows: int = MAX_ROWS) -> Model:
-    """Learns from rows that aren't held out, with a lang and a letter: counts over all of them, then for each language
-    a random sample by hash of id, max_rows together. No such rows: a model that knows no language."""
+    """Learns from rows that aren't held out, with a lang and a letter: counts over all of them, then for each of the
+    MAX_LANGS commonest languages a random sample by hash of id, max_rows together. No such rows: a model that knows no
+    language."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(~held_out("id") & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["rows"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")).collect()}
+    counts = {r["lang"]: r["rows"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")).orderBy(F.desc("rows"), "lang").limit(MAX_LANGS).collect()}
     if not counts:
         return Model()
     each = max(2, max_rows // len(counts))
@@ -134,7 +137,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 def fit_vectors(by: dict[str, np.ndarray]) -> Model:
     model = Model()
     for lang in sorted(by):
-        model.langs.setdefault(FAMILY_OF.get(lang.lower()[:2] if lang.lower() not in FAMILY_OF else lang.lower(), lang), []).append(lang)
+        model.langs.setdefault(FAMILY_OF.get(re.split("[-_]", lang.lower())[0], lang), []).append(lang)  # en-GB counts as en
     model.families = sorted(model.langs)
     if not by:
         return model
@@ -165,6 +168,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 
 def op10_language_id(spark, sf_dir: str) -> DataFrame:
+    """Learns from documents and predicts for all of them; null texts, and those without a letter, are und."""
     docs = table(spark, sf_dir, "documents")
     return predict(docs, fit(docs)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
