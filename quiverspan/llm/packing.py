@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -38,17 +39,20 @@ class Tokenizer:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         ranks = {bytes(byte_of[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in self.special}
         plain = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.size = max(*ranks.values(), *self.special.values()) + 1
-        assert self.size <= 1 << 16
-        self.plain = lambda text: array("H", plain(text)).tobytes()
+        self.size = 1 + max([*ranks.values(), *self.special.values()])
+        self.kind = "<u2" if self.size <= 1 << 16 else "<u4"
+        code = "H" if self.kind == "<u2" else "I"
+        self.plain = lambda text: array(code, plain(text)).tobytes()
+        specials = sorted(self.special, key=len, reverse=True)
+        self.parts = re.compile(f"({'|'.join(map(re.escape, specials))})").split if specials else None
 
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
-            return np.zeros(0, "<u2")
-        for content, i in self.special.items():
-            if content in text:
-                return np.frombuffer(np.array([i], "<u2").tobytes().join(self.plain(t) if t else b"" for t in text.split(content)), "<u2")
-        return np.frombuffer(self.plain(text), "<u2")
+            return np.zeros(0, self.kind)
+        if self.parts is None or not any(s in text for s in self.special):
+            return np.frombuffer(self.plain(text), self.kind)
+        bits = [np.array([self.special[t]], self.kind).tobytes() if k % 2 else self.plain(t) for k, t in enumerate(self.parts(text)) if t]
+        return np.frombuffer(b"".join(bits), self.kind)
 
 
 @lru_cache(maxsize=1)
@@ -66,7 +70,7 @@ def tokenized(docs: DataFrame, path: str, id_col: str, text_col: str) -> DataFra
 
     def rows(batches: Iterator[dict]) -> Iterator[dict]:
         t = tokenizer(path)
-        end = np.array([END_ID], "<u2")
+        end = np.array([END_ID], t.kind)
         for b in batches:
             out: dict[str, list] = {"doc_id": b["id"]} | {k: [] for k in ("doc_tokens", "crcs", "tail", "terms", "counts")}
             for text in b["text"]:
@@ -77,20 +81,20 @@ def tokenized(docs: DataFrame, path: str, id_col: str, text_col: str) -> DataFra
                 out["crcs"].append([crc(ids[k * WINDOW : (k + 1) * WINDOW]) for k in range(full)])
                 out["tail"].append(ids[full * WINDOW :].tobytes())
                 out["terms"].append(terms.tobytes())
-                out["counts"].append(np.minimum(counts, 255).astype(np.uint8).tobytes())  # BM25 is flat there
+                out["counts"].append(counts.astype("<u4").tobytes())
             yield out
 
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return arrow_map(own, rows, f"doc_id {docs.schema[id_col].dataType.simpleString()}, doc_tokens long, crcs array<long>, tail binary, terms binary, counts binary")
 
 
-def document_frequencies(tokens: DataFrame, size: int) -> np.ndarray:
+def document_frequencies(tokens: DataFrame, size: int, kind: str) -> np.ndarray:
     """In how many documents each id occurs, over all of them: a vector as long as the vocabulary."""
 
     def rows(batches: Iterator[dict]) -> Iterator[dict]:
-        seen = np.zeros(1 << 16, np.int64)
+        seen = np.zeros(size, np.int64)
         for b in batches:
-            seen += np.bincount(np.frombuffer(b"".join(b["terms"]), "<u2"), minlength=1 << 16)
+            seen += np.bincount(np.frombuffer(b"".join(b["terms"]), kind), minlength=size)
         at = np.flatnonzero(seen)
         yield {"term": at.astype(np.int32), "docs": seen[at]}
 
@@ -277,7 +281,7 @@ class Packer:
         return out
 
 
-def tail_lengths(tokens: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def tail_lengths(tokens: DataFrame, kind: str) -> tuple[np.ndarray, np.ndarray]:
     """Numbers documents from 0 in the order of n: where each partition of n starts, and the lengths of all tails."""
 
     def rows(batches: Iterator[dict]) -> Iterator[dict]:
@@ -285,7 +289,7 @@ def tail_lengths(tokens: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         if parts:
             yield {k: [np.concatenate(x).tobytes()] for k, x in zip(("n", "length"), zip(*parts))}
 
-    own = tokens.select("n", (F.octet_length("tail") / 2).cast("int").alias("length"))
+    own = tokens.select("n", (F.octet_length("tail") / np.dtype(kind).itemsize).cast("int").alias("length"))
     found = [(np.frombuffer(r["n"], np.int64), np.frombuffer(r["length"], np.uint16)) for r in arrow_map(own, rows, "n binary, length binary").collect()]
     n, length = (np.concatenate([x[k] for x in found]) if found else np.zeros(0, (np.int64, np.uint16)[k]) for k in (0, 1))
     starts = np.concatenate([[0], np.cumsum(np.bincount(n >> 33))]).astype(np.int64)
@@ -298,7 +302,7 @@ def number(n: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return starts[n >> 33] + (n & ((1 << 33) - 1))
 
 
-def seed_terms(tokens: DataFrame, seeds: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
+def seed_terms(tokens: DataFrame, seeds: np.ndarray, starts: np.ndarray, kind: str) -> list[np.ndarray]:
     wanted = tokens.sparkSession.sparkContext.broadcast((seeds, starts))
 
     def rows(batches: Iterator[dict]) -> Iterator[dict]:
@@ -311,13 +315,13 @@ def seed_terms(tokens: DataFrame, seeds: np.ndarray, starts: np.ndarray) -> list
     low, high = (int((p << 33) + s - starts[p]) for p, s in zip(part.tolist(), (seeds[0], seeds[-1])))
     found = {r["at"]: r["terms"] for r in arrow_map(tokens.where(F.col("n").between(low, high)).select("n", "terms"), rows, "at long, terms binary").collect()}
     wanted.destroy()
-    return [np.frombuffer(found[s], "<u2") for s in seeds.tolist()]
+    return [np.frombuffer(found[s], kind) for s in seeds.tolist()]
 
 
-def neighbours(tokens: DataFrame, seeds: np.ndarray, found: int, left: np.ndarray, starts: np.ndarray, shared) -> np.ndarray:
+def neighbours(tokens: DataFrame, seeds: np.ndarray, found: int, left: np.ndarray, starts: np.ndarray, shared, kind: str) -> np.ndarray:
     """For each seed (ascending) the best unused documents of all shards, best first; -1 where there are no more."""
     spark = tokens.sparkSession
-    terms = seed_terms(tokens, seeds, starts)
+    terms = seed_terms(tokens, seeds, starts, kind)
     sent = spark.sparkContext.broadcast((seeds, terms, left, starts))
 
     def rows(batches: Iterator[dict]) -> Iterator[dict]:
@@ -331,7 +335,7 @@ def neighbours(tokens: DataFrame, seeds: np.ndarray, found: int, left: np.ndarra
         for b in batches:
             at = number(np.array(b["n"], np.int64), starts)
             for k in np.flatnonzero(left[at]).tolist():
-                shard.append((at[k], np.frombuffer(b["terms"][k], "<u2"), np.frombuffer(b["counts"][k], np.uint8), b["doc_tokens"][k]))
+                shard.append((at[k], np.frombuffer(b["terms"][k], kind), np.frombuffer(b["counts"][k], "<u4"), b["doc_tokens"][k]))
                 if len(shard) == SHARD:
                     ask()
         if shard:
@@ -353,7 +357,7 @@ def neighbours(tokens: DataFrame, seeds: np.ndarray, found: int, left: np.ndarra
     return np.where(keys < 0, -1, (seeds[:, None] + behind) % len(left))
 
 
-def fill_windows(tokens: DataFrame, left: np.ndarray, starts: np.ndarray, shared, scratch: Scratch) -> list[DataFrame]:
+def fill_windows(tokens: DataFrame, left: np.ndarray, starts: np.ndarray, shared, scratch: Scratch, kind: str) -> list[DataFrame]:
     """Windows until one shard can hold all unused documents; left is brought up to date. Tables of pieces."""
     windows, tables = Windows(left), []
 
@@ -368,7 +372,7 @@ def fill_windows(tokens: DataFrame, left: np.ndarray, starts: np.ndarray, shared
     while windows.total >= WINDOW and (unused := np.flatnonzero(left)).size > SHARD:
         seeds = unused[:size]
         done = asked = 0
-        for seed, ranked in zip(seeds.tolist(), neighbours(tokens, seeds, found, left, starts, shared).tolist()):
+        for seed, ranked in zip(seeds.tolist(), neighbours(tokens, seeds, found, left, starts, shared, kind).tolist()):
             if left[seed] and windows.total >= WINDOW:
                 asked += 1
                 done += windows.fill(seed, [d for d in ranked if d >= 0], ranked[-1] < 0 or found >= unused.size - 1)
@@ -401,12 +405,13 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     scratch = Scratch(spark)
     tokens = scratch.write(tokenized(docs, path, id_col, text_col).withColumn("n", F.monotonically_increasing_id()), "tokens")
     total, mean_length = tokens.agg(F.count(F.lit(1)), F.avg("doc_tokens")).first()
-    df = document_frequencies(tokens, tokenizer(path).size)
+    kind, width = tokenizer(path).kind, np.dtype(tokenizer(path).kind).itemsize
+    df = document_frequencies(tokens, tokenizer(path).size, kind)
     column = np.full(len(df), -1, np.int32)
     column[np.argsort(-df, kind="stable")[:COMMON]] = np.arange(min(COMMON, len(df)))
     idf, mean_length = np.log1p((total - df + 0.5) / (df + 0.5)).astype(np.float32), float(mean_length or 1)
-    starts, left = tail_lengths(tokens)
-    pieces = fill_windows(tokens, left, starts, spark.sparkContext.broadcast((idf, mean_length, column)), scratch)
+    starts, left = tail_lengths(tokens, kind)
+    pieces = fill_windows(tokens, left, starts, spark.sparkContext.broadcast((idf, mean_length, column)), scratch, kind)
     shared = spark.sparkContext.broadcast((idf, mean_length, left, starts))
 
     def unused(batches: Iterator[dict]) -> Iterator[dict]:
@@ -415,14 +420,14 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
             at = number(np.array(b["n"], np.int64), starts)
             keep = np.flatnonzero(left[at]).tolist()
             out = {k: [v[i] for i in keep] for k, v in b.items() if k != "n"}
-            yield out | {"tail": [t[-2 * int(n) :] for t, n in zip(out["tail"], left[at[keep]])]}
+            yield out | {"tail": [t[-width * int(n) :] for t, n in zip(out["tail"], left[at[keep]])]}
 
     def rows(batches: Iterator[dict]) -> Iterator[dict]:
         packer = Packer(*shared.value[:2], 1)  # ids from 1 << 32: beyond those of fill_windows
         for b in batches:
             for i, n, tail, terms, counts in zip(b["doc_id"], b["doc_tokens"], b["tail"], b["terms"], b["counts"]):
-                ids = np.frombuffer(tail, "<u2")
-                packer.pool.append([i, n, n - len(ids), ids, np.frombuffer(terms, "<u2"), np.frombuffer(counts, np.uint8)])
+                ids = np.frombuffer(tail, kind)
+                packer.pool.append([i, n, n - len(ids), ids, np.frombuffer(terms, kind), np.frombuffer(counts, "<u4")])
         packer.fill(0)
         packer.finish()
         if packer.out:
@@ -430,13 +435,13 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
 
     def cut(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
-            tails = (np.frombuffer(t, "<u2") for t in b["tail"])
+            tails = (np.frombuffer(t, kind) for t in b["tail"])
             crcs = [crc(t[len(t) - before :][:n]) for t, before, n in zip(tails, b["before"], b["length"])]
             yield {k: b[k] for k in ("doc_id", "length", "doc_tokens", "sequence_id", "offset")} | {"start": [n - before for n, before in zip(b["doc_tokens"], b["before"])], "ids_crc32": crcs}
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    rest = arrow_map(tokens.select("n", "doc_id", "doc_tokens", "tail", "terms", "counts"), unused, f"doc_id {kind}, doc_tokens long, tail binary, terms binary, counts binary")
+    id_kind = docs.schema[id_col].dataType.simpleString()
+    schema = f"doc_id {id_kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+    rest = arrow_map(tokens.select("n", "doc_id", "doc_tokens", "tail", "terms", "counts"), unused, f"doc_id {id_kind}, doc_tokens long, tail binary, terms binary, counts binary")
     tails = arrow_map(rest.repartition(1), rows, schema)  # less than a window, or at most a shard
     for table_ in pieces:
         tails = tails.unionByName(arrow_map(tokens.select("n", "doc_id", "doc_tokens", "tail").join(table_, "n").drop("n"), cut, schema))
@@ -447,6 +452,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
 
 
 def op8_packing(spark, sf_dir: str) -> DataFrame:
+    """pack over documents; a null or empty text is its end id."""
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 

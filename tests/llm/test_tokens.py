@@ -128,6 +128,32 @@ def test_ranks_of_the_json_file_equal_the_library(text):
     assert packing.tokenizer(BYTES).encode(text).tolist() == library().encode(text, add_special_tokens=False).ids
 
 
+def test_two_special_strings(tmp_path):
+    """As the library has them, in a file with two, one the start of the other."""
+    import json
+
+    spec = json.load(open(BYTES, encoding="utf-8"))
+    first = spec["added_tokens"][0]
+    for n, content in enumerate(("<|end", "<|end|>")):
+        spec["added_tokens"].append({**first, "id": packing.tokenizer(BYTES).size + n, "content": content})
+    path = tmp_path / "two.json"
+    path.write_text(json.dumps(spec), encoding="utf-8")
+    ours, theirs = packing.Tokenizer(str(path)), Tokenizer.from_file(str(path))
+    for text in ("a<|end|>b", f"<|end{first['content']} x <|end|>", "<|end|><|end", "none <| here", first["content"] * 2):
+        assert ours.encode(text).tolist() == theirs.encode(text, add_special_tokens=False).ids
+
+
+def test_window_edges_are_cuts_or_ends():
+    c = byte_bpe.codec(RANKS)
+    rng = random.Random(4)
+    for _ in range(200):
+        text = "".join(rng.choice("ab  \n.1") for _ in range(rng.randrange(2, 120)))
+        mid = rng.randrange(1, len(text))
+        a, b = c.window(text, 0, mid, len(text))
+        cuts = [i for i in range(1, len(text)) if text[i].isspace() and not text[i - 1].isspace()]
+        assert a == max([x for x in cuts if x < mid], default=0) and b == min([x for x in cuts if x > mid], default=len(text))
+
+
 _cache: list = []
 
 
@@ -171,7 +197,7 @@ def test_a_seed_is_filled_with_like_documents():
     for k in range(40):  # two topics with ids of their own, in turns
         ids = rng.integers(1 + 1000 * (k % 2), 1000 + 1000 * (k % 2), 300).astype("<u2")
         terms, counts = np.unique(ids, return_counts=True)
-        packer.pool.append([k, 300, 0, ids, terms, counts.astype(np.uint8)])
+        packer.pool.append([k, 300, 0, ids, terms, counts.astype(np.uint32)])
     packer.fill(0)
     packer.finish()
     by = defaultdict(set)
@@ -184,7 +210,7 @@ def test_bm25_scores_equal_the_formula():
     rng = np.random.default_rng(4)
     docs = [np.unique(rng.integers(0, 50, 30), return_counts=True) for _ in range(12)]
     lengths, idf = np.array([c.sum() for _, c in docs]), rng.random(50).astype(np.float32)
-    shard = packing.Shard([t.astype("<u2") for t, _ in docs], [c.astype(np.uint8) for _, c in docs], lengths, idf, 30.0)
+    shard = packing.Shard([t.astype("<u2") for t, _ in docs], [c.astype(np.uint32) for _, c in docs], lengths, idf, 30.0)
     query = docs[3][0].astype(np.uint32)
     want = [sum(idf[t] * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * n / 30)) for t, c in zip(*d) if t in query) for d, n in zip(docs, lengths)]
     assert np.allclose(shard.scores(query), want, rtol=1e-5)
@@ -214,7 +240,7 @@ def test_search_equals_brute_force():
     rng = np.random.default_rng(7)
     docs = [np.unique(rng.integers(0, 3000, 120) ** 2 // 3000, return_counts=True) for _ in range(700)]
     docs[300:340] = docs[:1] * 40  # equal ones
-    terms, counts, lengths = [t.astype("<u2") for t, _ in docs], [c.astype(np.uint8) for _, c in docs], np.full(700, 120)
+    terms, counts, lengths = [t.astype("<u2") for t, _ in docs], [c.astype(np.uint32) for _, c in docs], np.full(700, 120)
     df = np.bincount(np.concatenate(terms), minlength=3000)
     idf, column = np.log1p((700.5 - df) / (df + 0.5)).astype(np.float32), np.full(3000, -1)
     column[np.argsort(-df, kind="stable")[: packing.COMMON]] = np.arange(packing.COMMON)
