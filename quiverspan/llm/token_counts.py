@@ -17,7 +17,7 @@ from .common import arrow_map, table
 
 #: Compiled states, pairs of tokens, and code points of stored runs at most; beyond, they are thrown away and grow anew
 #: (results stay). Longer runs than MAX_RUN aren't stored.
-MAX_STATES, MAX_PAIRS, MAX_HELD, MAX_RUN = 150_000, 1_000_000, 4 << 20, 64
+MAX_STATES, MAX_PAIRS, MAX_HELD, MAX_RUN = 300_000, 1_000_000, 4 << 20, 64
 #: Code points of a chunk whose state map is made alone; code points before it that may tell the state it is entered in.
 CHUNK, LOOK_BACK = 4096, 64
 
@@ -62,6 +62,9 @@ class Merges:
         model = spec["model"]
         pairs = (m if isinstance(m, list) else m.split(" ", 1) for m in model["merges"])
         self.rank = {(a, b): i for i, (a, b) in enumerate(pairs)}
+        self.made: dict[str, tuple[int, str, str]] = {}  # the merge that makes a token
+        for (a, b), i in self.rank.items():
+            self.made.setdefault(a + b, (i, a, b))
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.next: list[dict[str, int]] = [{}]  # trie over symbols; a final symbol has END
         self.token_at: dict[int, str] = {}
@@ -79,28 +82,31 @@ class Merges:
     def symbols(token: str) -> list[str]:
         return [*token[: -len(END) - 1], token[-len(END) - 1 :]] if token.endswith(END) and len(token) > len(END) else list(token)
 
-    def merged(self, symbols: list[str]) -> list[str]:
-        while len(symbols) > 1:
-            rank, i = min((self.rank.get(p, 1 << 60), i) for i, p in enumerate(zip(symbols, symbols[1:])))
-            if rank == 1 << 60:
-                break
-            a, b, out, i = symbols[i], symbols[i + 1], [], 0
-            while i < len(symbols):
-                if i + 1 < len(symbols) and symbols[i] == a and symbols[i + 1] == b:
-                    out.append(a + b)
-                    i += 2
-                else:
-                    out.append(symbols[i])
-                    i += 1
-            symbols = out
-        return symbols
+    def unmerged(self, one: str, two: str) -> bool:
+        """Whether two tokens stay as they are when they are encoded as one string.
+
+        Of their inner merges the latest is undone, on the side of the boundary, again and again. A merge across the
+        boundary that comes before those undone so far would have been taken first (one that is equal to a merge of the
+        right token, too: the leftmost comes first)."""
+        limit = len(self.rank)
+        while True:
+            if self.rank.get((one, two), limit) < limit:
+                return False
+            a, b = self.made.get(one), self.made.get(two)
+            if a is None and b is None:
+                return True
+            if b is None or a is not None and a[0] > b[0]:
+                limit, one = a[0], a[2]
+            else:
+                limit, two = b[0] + 1, b[1]
 
     def _follows(self, last: str | None, token: str) -> bool:
+        if last is None:
+            return True
         if (ok := self.pair_ok.get((last, token))) is None:
             if len(self.pair_ok) >= MAX_PAIRS:
                 self.pair_ok.clear()
-            whole = [token] if last is None else [last, token]
-            ok = self.pair_ok[last, token] = self.merged([s for t in whole for s in self.symbols(t)]) == whole
+            ok = self.pair_ok[last, token] = self.unmerged(last, token)
         return ok
 
     def _reach(self, state: Within, symbol: str) -> tuple[list[tuple[int, str | None, int]], str, int]:
