@@ -25,8 +25,8 @@ WEAK_SECRET = rb"(?:password|passwd|pwd|secret|token|api_?key|passphrase|credent
 ENDPOINT = rb"(?:https?|postgres(?:ql)?|mysql|mongodb|redis|amqp|ftp)://[^\s\"'<>]{4,}|(?:host|endpoint|server)[\"']?\x20*[:=]\x20*[\"']?[a-z0-9_.:-]{4,}"
 TOKEN = rb"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{32,}={0,2}"
 
-#: A scope is a paragraph: blank lines end it. Within a scope, parts are linked over at most so many bytes.
-SCOPE, MAX_GAP = rb"\n[\x20\t\r]*\n", 240
+#: A scope is a paragraph: blank lines end it. Parts are linked anywhere in their scope, unless a gap in bytes is given.
+SCOPE, MAX_GAP = rb"\n[\x20\t\r]*\n", None
 SPANS = "array<struct<kind:string,start:long,end:long>>"
 
 _assign, _access, _hex, _weak_id, _weak_secret, _endpoint, _token, _scope = map(re.compile, (ASSIGN, ACCESS, HEX, WEAK_ID, WEAK_SECRET, ENDPOINT, TOKEN, SCOPE))
@@ -63,8 +63,8 @@ class Near:
         return last >= 0 and ends[last] >= start - gap
 
 
-def linked_spans(raw: bytes, low: bytes, base: list[Span], max_gap: int = MAX_GAP) -> list[Span]:
-    """The weak parts with a complement within max_gap in their scope: an identifier beside a secret, a secret beside
+def linked_spans(raw: bytes, low: bytes, base: list[Span], max_gap: int | None = MAX_GAP) -> list[Span]:
+    """The weak parts with a complement in their scope (and within max_gap, if given): an identifier beside a secret, a secret beside
     an identifier or an endpoint, an endpoint beside a secret. Base spans are complements too."""
     ids = [(*m.span(), "weak_id") for m in _weak_id.finditer(low)] if b"=" in low or b":" in low else []
     secrets = [(*m.span(), "weak_secret") for m in _weak_secret.finditer(low)] if b"=" in low or b":" in low else []
@@ -73,6 +73,7 @@ def linked_spans(raw: bytes, low: bytes, base: list[Span], max_gap: int = MAX_GA
     if not ids and not secrets and not ends:
         return []
     breaks = [m.end() for m in _scope.finditer(raw)]
+    gap = len(raw) if max_gap is None else max_gap
     placed = lambda spans: [(bisect_right(breaks, s), s, e) for s, e, _ in spans]
     taken = Near([(0, s, e) for s, e, _ in base])
     free = lambda spans: [x for x in spans if not taken.touches(0, x[0] + 1, x[1] - 1, 0)]
@@ -80,12 +81,12 @@ def linked_spans(raw: bytes, low: bytes, base: list[Span], max_gap: int = MAX_GA
     ids, secrets, ends = free(ids), free(secrets), free(ends)
     near_secret = Near(placed([*secrets, *(x for x in base if x[2] != "access")]))
     near_end = Near(placed(ends))
-    at = lambda x: (bisect_right(breaks, x[0]), x[0], x[1], max_gap)
+    at = lambda x: (bisect_right(breaks, x[0]), x[0], x[1], gap)
     found = [x for x in ids if near_secret.touches(*at(x))] + [x for x in secrets if near_id.touches(*at(x)) or near_end.touches(*at(x))]
     return found + [x for x in ends if near_secret.touches(*at(x))]
 
 
-def spans_of(text: str | None, max_gap: int = MAX_GAP) -> list[tuple[str, int, int]]:
+def spans_of(text: str | None, max_gap: int | None = MAX_GAP) -> list[tuple[str, int, int]]:
     """(kind, start, end) by start, then kind; code points, end exclusive. Null or empty text: none."""
     if not text:
         return []
@@ -106,7 +107,7 @@ def spans_of(text: str | None, max_gap: int = MAX_GAP) -> list[tuple[str, int, i
     return sorted(out, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_gap: int = MAX_GAP) -> DataFrame:
+def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_gap: int | None = MAX_GAP) -> DataFrame:
     """doc_id and spans (kind, start, end) of every row; other columns are ignored, repeated rows scanned each for itself.
 
     One pass without a shuffle: all parts of a credential lie in one text, so the interval join runs inside the row by

@@ -35,7 +35,8 @@ def test_weak_parts_need_their_complement():
     assert kinds("user=alice password=hunter22") == ["weak_id", "weak_secret"]
     assert kinds("password=hunter22 at https://example.com/page") == ["weak_secret", "endpoint"]
     assert kinds("user=alice\n\npassword=hunter22") == []  # another scope
-    assert kinds("user=alice " + "x " * 300 + "password=hunter22") == []  # too far
+    assert kinds("user=alice " + "x " * 300 + "password=hunter22") == ["weak_id", "weak_secret"]  # as far as the scope goes
+    assert [x[0] for x in secrets.spans_of("user=alice " + "x " * 300 + "password=hunter22", 240)] == []  # too far for a gap
     assert kinds("user=alice " + "deadbeef" * 4) == ["weak_id", "hex"]
 
 
@@ -45,6 +46,53 @@ def test_an_identifier_that_a_base_span_covers_is_a_complement():
     assert secrets.redact(text) == "client_id=[HEX] [WEAK_SECRET]"
 
 
+def slow_spans(text):
+    """All spans, weak parts linked by comparing each with each."""
+    raw = (text or "").encode()
+    low = raw.lower()
+    base_ = [(s, e, k) for k, s, e in ((k, len(text[:s].encode()), len(text[:e].encode())) for k, s, e in base(text or ""))]
+    breaks = [m.end() for m in re.finditer(rb"\n[ \t\r]*\n", raw)]
+    scope = lambda s: sum(b <= s for b in breaks)
+    find = lambda pattern, x: [m.span() for m in re.finditer(pattern, x)]
+    ids, ends = find(secrets.WEAK_ID, low), find(secrets.ENDPOINT, low)
+    some = find(secrets.WEAK_SECRET, low) + [m.span() for m in re.finditer(secrets.TOKEN, raw) if re.search(rb"[A-Z]", m[0]) and re.search(rb"[a-z]", m[0]) and re.search(rb"[0-9]", m[0])]
+    free = lambda spans: [x for x in spans if not any(s < x[1] and e > x[0] for s, e, _ in base_)]
+    beside = lambda x, others: any(scope(x[0]) == scope(y[0]) for y in others)
+    all_ids = ids + [(s, e) for s, e, k in base_ if k == "access"]
+    ids, some, ends = free(ids), free(some), free(ends)
+    all_secrets = some + [(s, e) for s, e, k in base_ if k != "access"]
+    out = [(*x, "weak_id") for x in ids if beside(x, all_secrets)] + [(*x, "weak_secret") for x in some if beside(x, all_ids) or beside(x, ends)] + [(*x, "endpoint") for x in ends if beside(x, all_secrets)]
+    points = lambda n: len(raw[:n].decode())
+    return sorted(((k, points(s), points(e)) for s, e, k in {*base_, *out}), key=lambda x: (x[1], secrets.KINDS.index(x[0]), x[2]))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(PARTS), max_size=25).map("".join))
+def test_links_equal_all_comparisons(text):
+    assert secrets.spans_of(text) == slow_spans(text)
+
+
+def test_the_query_equals_brute_force(spark, tmp_path):
+    rng = __import__("random").Random(12)
+    rows = [(i, None if i == 0 else "".join(rng.choice(PARTS) for _ in range(rng.randrange(30)))) for i in range(80)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = secrets.op2_secret_scan(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        want = slow_spans(dict(rows)[r["doc_id"]] or "")
+        first = [x for x in want if x[0] in ("assign", "access", "hex")]
+        joined = lambda spans: ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
+        assert [r[f"n_{k}"] for k in ("assign", "access", "hex")] == [sum(x[0] == k for x in first) for k in ("assign", "access", "hex")]
+        assert r["base_sha256"] == hashlib.sha256(joined(first).encode()).hexdigest() and r["spans"] == joined(want)
+
+
+def test_redaction_of_secrets_nulls_and_no_rows(spark):
+    df = spark.createDataFrame([(1, "user=alice password=hunter22", 28, "x"), (2, None, None, "y"), (3, "", 0, None), (1, "user=alice password=hunter22", 28, "x")], "doc_id long, text string, n_chars long, spans string")
+    got = sorted(secrets.redact_secrets(df).collect(), key=lambda r: r["doc_id"])
+    assert [r["text"] for r in got] == ["[WEAK_ID] [WEAK_SECRET]"] * 2 + [None, ""] and [r["n_chars"] for r in got] == [23, 23, None, 0]
+    assert secrets.redact_secrets(df.limit(0)).count() == 0
+
+
 def test_find_and_redact(docs, rows, empty):
     got = secrets.find_secrets(docs).collect()
     assert len(got) == len(rows) and secrets.find_secrets(empty).count() == 0
