@@ -1,7 +1,10 @@
+import math
 import zlib
+from itertools import combinations
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from quiverspan.llm import language_id, quality, toxicity
@@ -100,3 +103,120 @@ def test_drop_toxic_without_labels_keeps_all(spark, docs, rows):
     for labels in (none, null):
         kept = toxicity.drop_toxic(docs, labels)
         assert kept.columns == docs.columns and kept.count() == len(rows)
+
+
+def test_toxicity_with_odd_rows(spark, docs, empty):
+    """Nulls, repeated rows and clashing names: defined fates, columns as they were."""
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(30)] + [(None, 1), (4, None), (5, 1), (5, 0)], "doc_id long, toxic int").withColumn("text", F.lit("clash"))
+    kept = toxicity.drop_toxic(docs, labels)
+    assert kept.columns == docs.columns and toxicity.drop_toxic(empty, labels).count() == 0
+    dense = toxicity.fit(docs, labels)
+    want = sorted(r["doc_id"] for r in docs.collect() if toxicity.score(r["text"], dense.dense(), dense.bias) < 0.5)
+    assert sorted(r["doc_id"] for r in kept.collect()) == want
+
+
+# --- plain slow versions --------------------------------------------------------------------------
+
+
+def slow_grams(text):
+    """Distinct hashes of unigrams, bigrams, trigrams and pairs with one or two words between, with Python's integers."""
+    words = [w for w in toxicity._word.findall((text or "").lower())]
+    h, size = [xxhash.xxh3_64_intdigest(w) for w in words], 1 << 64
+    a, b = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+    out = set(h)
+    for k in (1, 2, 3):
+        out |= {((h[i] * a % size) ^ (h[i + k] + k) % size) * b % size for i in range(len(h) - k)}
+    out |= {(((h[i] * a % size) ^ h[i + 1]) * b % size ^ h[i + 2]) * a % size for i in range(len(h) - 2)}
+    return {x >> (64 - toxicity.BITS) for x in out}
+
+
+def slow_ftrl(rows, epochs, alpha, beta, l1, one_weight):
+    """Coordinate by coordinate."""
+    z, n = {}, {}
+    zb = nb = 0.0
+    sign = lambda x: (x > 0) - (x < 0)
+    weight = lambda i: 0.0 if abs(z.get(i, 0.0)) <= l1 else -(z[i] - sign(z[i]) * l1) / ((beta + math.sqrt(n[i])) / alpha)
+    for _ in range(epochs):
+        for x, y in rows:
+            w = {i: weight(i) for i in x}
+            bias = -zb / ((beta + math.sqrt(nb)) / alpha)
+            g = (1 / (1 + math.exp(-max(-30, min(30, bias + sum(w.values()))))) - y) * (one_weight if y else 1)
+            for i in x:
+                z[i] = z.get(i, 0.0) + g - (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / alpha * w[i]
+                n[i] = n.get(i, 0.0) + g * g
+            zb += g - (math.sqrt(nb + g * g) - math.sqrt(nb)) / alpha * bias
+            nb += g * g
+    return {i: weight(i) for i in z if weight(i)}, -zb / ((beta + math.sqrt(nb)) / alpha)
+
+
+def test_toxicity_query_equals_the_slow_version(spark, tmp_path):
+    """The whole query, from hashing to scores, against coordinate-wise learning in the same order."""
+    rng = np.random.default_rng(21)
+    texts = [" ".join(rng.choice(["good", "day", "fine", "sun", "walk"], 6)) + (" vile scum" if i % 4 == 0 else "") for i in range(120)] + ["", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(120)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    order = {r["doc_id"]: r["o"] for r in spark.range(122).select(F.col("id").alias("doc_id"), F.xxhash64(F.col("id"), F.lit(11)).alias("o")).collect()}
+    rows = [(slow_grams(texts[i]), int(i % 4 == 0)) for i in sorted((i for i in range(120) if not out(i)), key=order.get)]
+    w, bias = slow_ftrl(rows, toxicity.EPOCHS, toxicity.ALPHA, toxicity.BETA, toxicity.L1, toxicity.TOXIC_WEIGHT)
+    assert w
+    for r in toxicity.op6_toxicity(spark, str(tmp_path)).collect():
+        margin = bias + sum(w.get(i, 0.0) for i in slow_grams(texts[r["doc_id"]]))
+        assert abs(r["score"] - 1 / (1 + math.exp(-margin))) < 1e-3 and r["held_out"] == out(r["doc_id"])
+
+
+def test_risk_equals_plain_sums_and_its_gradient():
+    rng = np.random.default_rng(4)
+    p, u = (np.hstack([rng.normal(m, 1, (n, 3)), np.ones((n, 1))]) for m, n in ((0.5, 9), (-0.2, 14)))
+    loss = lambda f: math.log1p(math.exp(-f))
+    for w in rng.normal(size=(20, 4)):
+        f = lambda x: sum(a * b for a, b in zip(x, w))
+        rest = sum(loss(-f(x)) for x in u) / len(u) - 0.4 * sum(loss(-f(x)) for x in p) / len(p)
+        value, g = quality.risk(w, p, u, 0.4)
+        assert math.isclose(value, 0.4 * sum(loss(f(x)) for x in p) / len(p) + max(0.0, rest), rel_tol=1e-9)
+        own = (lambda v: quality.risk(v, p, u, 0.4)[0]) if rest >= 0 else (lambda v: -(np.logaddexp(0, u @ v).mean() - 0.4 * np.logaddexp(0, p @ v).mean()))
+        slope = [(own(w + d) - own(w - d)) / 2e-5 for d in np.eye(4) * 1e-5]
+        assert np.allclose(slope, g, atol=1e-5)
+
+
+def test_prior_is_estimated():
+    rng = np.random.default_rng(6)
+    draw = lambda centre, n: np.clip(rng.normal(centre, 0.05, (n, quality.SIZE)), 0, 1)
+    for prior in (0.3, 0.7):
+        n = int(2000 * prior)
+        unlabelled = np.concatenate([draw(0.3, n), draw(0.6, 2000 - n)])
+        assert abs(quality.estimate_prior(draw(0.3, 800), rng.permutation(unlabelled)) - prior) < 0.08
+
+
+def test_quality_query_equals_plain_scores(spark, truth):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    m = quality.fit(docs, labels)
+    text = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in quality.op3_quality(spark, SF).collect()[:200]:
+        x = quality.expand(quality.shape(text[r["doc_id"]]))
+        margin = m.bias + sum(w * max(-6.0, min(6.0, (v - a) / b)) for w, v, a, b in zip(m.weight, x, m.mean, m.scale))
+        assert math.isclose(r["score"], 1 / (1 + math.exp(-max(-30, min(30, margin)))), rel_tol=1e-4, abs_tol=1e-9)
+
+
+def test_language_query_equals_plain_votes(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    m = language_id.fit(docs)
+    text = {r["doc_id"]: r["text"] for r in docs.collect()}
+    product = lambda w, x: float(sum(w[i] * x[i] for i in np.flatnonzero(x)) + w[-1])
+    for r in language_id.op10_language_id(spark, SF).collect()[:60]:
+        x = language_id.features(text[r["doc_id"]])
+        if x is None:
+            assert r["lang_pred"] == "und"
+            continue
+        family = max(m.families, key=lambda f: product(m.of_family[m.families.index(f)], x))
+        votes = dict.fromkeys(m.langs[family], 0)
+        for a, b in combinations(m.langs[family], 2):
+            votes[a if product(m.of_pair[a, b], x) > 0 else b] += 1
+        assert votes[r["lang_pred"]] == max(votes.values())
+
+
+def test_dirty_tags_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "MAX_LANGS", 2)
+    rows = [(i, "the quick brown fox " * 3, "en") for i in range(40)] + [(100 + i, "der schnelle braune fuchs " * 3, "de-AT") for i in range(30)] + [(200 + i, "noise text here", f"tag{i}") for i in range(20)]
+    m = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert m.langs == {"germanic": ["de-AT", "en"]}
+    assert "fil" not in language_id.FAMILY_OF and language_id.fit_vectors({"fil": np.ones((2, language_id.DIM), np.float32), "fi": np.ones((2, language_id.DIM), np.float32)}).langs == {"uralic": ["fi"], "fil": ["fil"]}
