@@ -13,7 +13,7 @@ def test_query_equals_sql(name, spark, sf_dir, duck):
 
 @pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLES)))
 def test_query_without_sql_runs(name, spark, sf_dir):
-    assert catalogue.QUERIES[name](spark, sf_dir).count() >= (name != "rebalance_plan")
+    assert catalogue.QUERIES[name](spark, sf_dir).count() > 0
 
 
 def test_entry(spark):

@@ -131,12 +131,26 @@ def test_progressive_ends_with_the_exact_answer(spark):
     assert [i for i, _ in last] == ["0", "1", "2"]
 
 
+def test_progressive_search_ends_early(spark):
+    p = frame(spark, [(f"{i}", [float(i), 1.0]) for i in range(30)])
+    shards = [p.where(F.col("id").cast("int").between(3 * k, 3 * k + 2)) for k in range(10)]
+    assert len(list(S.progressive_search(shards, [0.0, 1.0], 3, "euclidean"))) == 4  # three shards that change nothing
+    assert len(list(S.progressive_search(shards[::-1], [0.0, 1.0], 3, "euclidean"))) == 10
+
+
 def test_merge_keeps_the_least_score(spark):
     a = spark.createDataFrame([(1, "x", 0.5), (1, "y", 0.2), (1, "", 0.0)], "qid int, id string, score double")
     b = spark.createDataFrame([(1, "x", 0.1)], "qid int, id string, score double")
     assert [(r["id"], r["score"]) for r in S.merge_hits(a, b, k=5).orderBy("rank").collect()] == [("x", 0.1), ("y", 0.2)]
 
 
+def test_limits_as_columns(spark):
+    grid = [(k, d, q) for k in (1, 3, 40, 99, 150) for d in (64, 512, 800, 2000) for q in ("", "ab", "long")]
+    df = spark.createDataFrame(grid, "k int, d int, q string")
+    for r in df.select("*", S.effective_ef_of(F.col("k"), F.col("d")).alias("ef"), S.candidate_limit_of(F.col("k"), F.col("q")).alias("n")).collect():
+        assert (r["ef"], r["n"]) == (S.effective_ef(r["k"], r["d"]), S.candidate_limit(r["k"], r["q"]))
+
+
 def test_limits():
     assert [S.candidate_limit(10), S.candidate_limit(10, rerank=False), S.candidate_limit(10, "ab")] == [20, 10, 15]
     assert S.effective_ef(10, 64) >= 10 and S.effective_ef(10, 1024) <= S.effective_ef(10, 64)
