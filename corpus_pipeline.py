@@ -1,7 +1,11 @@
 """Documents in, packed training sequences out.
 
 STAGES lists (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame, which run() writes as
-Parquet in the shared scratch folder and reads again for the next. All but the last keep the columns of documents."""
+Parquet in the shared scratch folder and reads again for the next. All but the last keep the columns of documents.
+
+Null texts count as empty for the decisions and stay null; repeated rows are deduplicated exactly; documents with null ids
+are judged by their texts alone and near_dedup keeps them; columns beyond those of documents come through; empty tables, of documents
+or of labels, give empty results or let all documents through."""
 
 from __future__ import annotations
 
