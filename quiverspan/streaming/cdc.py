@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.cluster import EWMA_NEW, EWMA_OLD
 from ..operators.dml import keep_last, replay
 from ..sources.scratch import delete
 
@@ -96,6 +97,25 @@ def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "2 hou
     return marked.groupBy(F.window("ts", width).alias("w"), key).agg(F.count(F.lit(1)).alias("events"), F.sum("value").alias("total")).select(F.col("w.start").alias("window_start"), key, "events", "total")
 
 
+def ewma_stream(samples: DataFrame, key: str, value: str, order: str = "ts") -> DataFrame:
+    """key, ewma, samples of a stream: after each micro-batch, the moving averages of the keys that it has, each batch's
+    samples in order. A key's state is two numbers."""
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    kind = samples.schema[key].dataType.simpleString()
+    out = f"{key} {kind}, ewma double, samples long"
+
+    def update(k: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        now, n = state.get if state.exists else (0.0, 0)
+        for x in pd.concat(list(parts)).sort_values("order", kind="stable")["value"]:
+            now, n = (x if n == 0 else EWMA_OLD * now + EWMA_NEW * x), n + 1
+        state.update((float(now), int(n)))
+        yield pd.DataFrame({key: [k[0]], "ewma": [now], "samples": [n]})
+
+    own = samples.select(key, F.col(order).alias("order"), F.col(value).cast("double").alias("value")).where(F.col(key).isNotNull() & F.col("value").isNotNull())
+    return own.groupBy(key).applyInPandasWithState(update, out, "now double, n long", "update", GroupStateTimeout.NoTimeout)
+
+
 def rate_limit(requests: DataFrame, user: str | list[str], limit: int, count_rejected: bool = True) -> DataFrame:
     """user (and endpoint, for two columns), us, seq, allowed: at most limit calls in a second that starts with the first call
     after the last such second. count_rejected: whether rejected calls use up the second, too; as none is allowed once it

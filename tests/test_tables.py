@@ -1,4 +1,5 @@
 import random
+import time
 from datetime import datetime, timedelta
 
 import pytest
@@ -102,6 +103,19 @@ def test_ewma_of_a_hot_key_over_many_partitions(spark):
     assert len(got) == 2
 
 
+def test_streamed_ewma_ends_like_the_table(spark, tmp_path):
+    rows = [(k, t, float((t * 7 + len(k)) % 11)) for t in range(40) for k in ("a", "bb") if (t + len(k)) % 3]
+    df = spark.createDataFrame(rows, "k string, t int, x double")
+    for n in range(4):
+        df.where(F.col("t").between(10 * n, 10 * n + 9)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(1.1)  # files are read by age
+    stream = cdc.ewma_stream(cdc.read_changes(spark, str(tmp_path / "in"), df.schema, 1), "k", "x", "t")
+    q = stream.writeStream.format("memory").queryName("averages").outputMode("update").trigger(availableNow=True).start()
+    q.awaitTermination()
+    last = {r["k"]: (r["e"], r["samples"]) for r in spark.table("averages").groupBy("k").agg(F.max_by("ewma", "samples").alias("e"), F.max("samples").alias("samples")).collect()}
+    assert last == {r["k"]: (pytest.approx(r["ewma"]), r["samples"]) for r in C.ewma(df, "k", "x", ["t"]).collect()}
+
+
 def test_percentiles_of_a_hot_key(spark):
     rng = random.Random(4)
     values = [round(rng.expovariate(1), 3) for _ in range(5000)] + [7.0] * 2000 + [1e12]
