@@ -62,9 +62,10 @@ class Scratch:
         self.paths: set[str] = set()
         atexit.register(self.close)
 
-    def write(self, df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
+    def write(self, df: DataFrame, name: str, compression: str = "zstd", by: list[str] = []) -> DataFrame:
+        """by: columns, of few values, whose filters then prune files."""
         path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
-        df.write.option("compression", compression).parquet(path)
+        df.write.partitionBy(*by).option("compression", compression).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         self.paths.add(path)
