@@ -19,6 +19,8 @@ BITS, MAX_ROWS = 22, 12_000
 #: FTRL's rates and penalties; passes; how much a toxic row's gradient counts against another's. The L1 penalty alone
 #: decides which features get a weight, at every number of rows.
 ALPHA, BETA, L1, L2, EPOCHS, TOXIC_WEIGHT = 2.0, 1.0, 7.0, 0.0, 4, 3.0
+#: The bias of a fitted model at most: whatever share of the labels is toxic, a text without a learnt feature isn't.
+MOST_BIAS = -0.1
 
 _word = re.compile(r"[^\W_]+")
 
@@ -110,6 +112,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     model = ftrl(one_pass() for _ in range(EPOCHS))
     scratch.close()
+    if len(model.at) or model.bias:
+        model.bias = min(model.bias, MOST_BIAS)
     return model
 
 

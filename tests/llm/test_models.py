@@ -115,6 +115,14 @@ def test_toxicity_with_odd_rows(spark, docs, empty):
     assert sorted(r["doc_id"] for r in kept.collect()) == want
 
 
+def test_a_text_without_a_learnt_feature_is_kept(spark):
+    """Even where nearly all labels are toxic."""
+    rows = [(i, f"vile scum {i}" if i % 10 else "fine day") for i in range(60)] + [(100, "words that no label has"), (101, None), (None, "")]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, int(i % 10 > 0)) for i in range(60)], "doc_id long, toxic int")
+    kept = {r["doc_id"] for r in toxicity.drop_toxic(docs, labels).collect()}
+    assert {100, 101, None, 0, 10, 20} <= kept and not kept & {1, 2, 3, 55}
+
+
 # --- plain slow versions --------------------------------------------------------------------------
 
 
@@ -146,7 +154,7 @@ def slow_ftrl(rows, epochs, alpha, beta, l1, one_weight):
                 n[i] = n.get(i, 0.0) + g * g
             zb += g - (math.sqrt(nb + g * g) - math.sqrt(nb)) / alpha * bias
             nb += g * g
-    return {i: weight(i) for i in z if weight(i)}, -zb / ((beta + math.sqrt(nb)) / alpha)
+    return {i: weight(i) for i in z if weight(i)}, min(toxicity.MOST_BIAS, -zb / ((beta + math.sqrt(nb)) / alpha))
 
 
 def test_toxicity_query_equals_the_slow_version(spark, tmp_path):
