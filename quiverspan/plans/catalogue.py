@@ -260,7 +260,7 @@ def entry_count(spark, d):
     return K.entry_count(read(spark, d, "customer"), "c_name", "Customer#0000001")
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE c_name < (SELECT min(c_name) FROM customer WHERE c_acctbal < -900)")
+@query("SELECT c_custkey, c_name FROM customer, (SELECT min(c_name) AS first FROM customer WHERE c_acctbal < -900) WHERE first IS NULL OR c_name < first")
 def iterate_until(spark, d):
     return K.rows_until(read(spark, d, "customer"), "c_name", F.col("c_acctbal") < -900).select("c_custkey", "c_name")
 
