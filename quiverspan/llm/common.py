@@ -16,6 +16,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Rows of an Arrow batch that are Python objects at a time; Spark bounds the bytes of a batch.
 BATCH_ROWS = 256
+#: Arrow batches between the JVM and Python while a table of our own is written.
+SMALL_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS), "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,9 +65,17 @@ class Scratch:
         atexit.register(self.close)
 
     def write(self, df: DataFrame, name: str, compression: str = "zstd", by: list[str] = []) -> DataFrame:
-        """by: columns, of few values, whose filters then prune files."""
+        """by: columns, of few values, whose filters then prune files. Arrow batches are small while it is written."""
         path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
-        df.write.partitionBy(*by).option("compression", compression).parquet(path)
+        conf = self.spark.conf
+        before = {k: conf.get(k) for k in SMALL_BATCHES}
+        try:
+            for k, v in SMALL_BATCHES.items():
+                conf.set(k, v)
+            df.write.partitionBy(*by).option("compression", compression).parquet(path)
+        finally:
+            for k, v in before.items():
+                conf.set(k, v)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         self.paths.add(path)
