@@ -21,8 +21,14 @@ from .token_counts import byte_alphabet
 
 #: Tokens of a window; documents of an index shard; neighbours that are tried whole before one is cut.
 WINDOW, SHARD, TRIED = 1024, 1024, 16
-#: Seeds of a search over all shards, and how many neighbours each gets; commonest terms whose scores are a matrix product.
-SEEDS, FOUND, COMMON = 8192, 32, 1024
+#: Seeds of a search over all shards at most, and how many neighbours each gets; commonest terms whose scores are a matrix product.
+SEEDS, FOUND, COMMON = 16384, 32, 1536
+#: Cells of the index, documents on which they are fitted, documents whose expected scores the driver keeps, and those
+#: that are scored together. So many unused documents, or fewer, are asked whole.
+CELLS, FITTED, KEPT, BLOCK, WHOLE = 64, 6144, 32768, 4096, 8192
+#: Share of the true TOP neighbours that lies within the depth of the search, and the seeds that are asked whole to find
+#: it; seeds with fewer distinct ids than LIGHT have a depth of their own.
+RECALL, TOP, ASKED, LIGHT = 0.95, 10, 512, 80
 #: BM25's saturation and length normalisation.
 K1, B = 1.2, 0.75
 END_ID = 0
@@ -134,13 +140,14 @@ class Search:
     A key orders a seed's documents: the bits of the score, then how far the document is behind the seed, so that the
     seeds of many equal documents don't all ask for the same ones."""
 
-    def __init__(self, seeds: np.ndarray, terms: list[np.ndarray], found: int, total: int, idf: np.ndarray, mean_length: float, column: np.ndarray):
+    def __init__(self, seeds: np.ndarray, terms: list[np.ndarray], found: int, total: int, idf: np.ndarray, mean_length: float, column: np.ndarray, groups: np.ndarray | None = None):
+        """groups: the seeds' groups, ascending; without them every seed is asked of every document."""
         self.seeds, self.found, self.total = seeds.astype(np.int64), found, total
         self.idf, self.mean_length, self.column = idf, mean_length, column
+        self.groups = np.zeros(len(seeds), np.int64) if groups is None else groups
         every, seed = np.concatenate(terms), np.repeat(np.arange(len(terms)), [len(t) for t in terms])
         common = column[every] >= 0
-        self.dense = np.zeros((len(seeds), COMMON), np.float32)
-        self.dense[seed[common], column[every[common]]] = 1
+        self.dense = seed[common], column[every[common]]
         by = np.argsort(every[~common], kind="stable")
         self.seed, self.at = seed[~common][by], np.searchsorted(every[~common][by], np.arange(len(idf) + 1))
         self.best = np.full((len(seeds), found), -1, np.int64)
@@ -148,28 +155,51 @@ class Search:
     def keys(self, scores: np.ndarray, seed: np.ndarray, doc: np.ndarray) -> np.ndarray:
         return (scores.view(np.int32).astype(np.int64) << 31) + (self.total - 1 - (doc - self.seeds[seed]) % self.total)
 
-    def add(self, ids: np.ndarray, terms: list[np.ndarray], counts: list[np.ndarray], lengths: np.ndarray) -> None:
+    def add(self, ids: np.ndarray, terms: list[np.ndarray], counts: list[np.ndarray], lengths: np.ndarray, asked: np.ndarray | None = None) -> None:
+        """asked: for each document (row) and group whether the group's seeds ask for it; all do without it."""
         every, doc, weight = postings(terms, counts, lengths, self.idf, self.mean_length)
         column, weight = self.column[every], weight.astype(np.float32)
         common = column >= 0
         dense = np.zeros((len(ids), COMMON), np.float32)
         dense[doc[common], column[common]] = weight[common]
-        scores = self.dense @ dense.T
         every, doc, weight = every[~common].astype(np.int64), doc[~common], weight[~common]
         start, n = self.at[every], self.at[every + 1] - self.at[every]
         seed = self.seed[np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())]
-        np.add.at(scores.reshape(-1), seed * len(ids) + np.repeat(doc, n), np.repeat(weight, n))
-        _, seed, own = np.intersect1d(self.seeds, ids, assume_unique=True, return_indices=True)
-        scores[seed, own] = -1
-        self._merge(scores, ids.astype(np.int64))
-
-    def _merge(self, scores: np.ndarray, ids: np.ndarray) -> None:
-        worst = self.best.min(axis=1)
+        doc, weight = np.repeat(doc, n), np.repeat(weight, n)
+        if asked is not None:
+            meet = asked[doc, self.groups[seed]]
+            seed, doc, weight = seed[meet], doc[meet], weight[meet]
+        by = np.argsort(seed.astype(np.uint16) if len(self.seeds) <= 1 << 16 else seed, kind="stable")  # short numbers: radix sort
+        seed, doc, weight = seed[by], doc[by], weight[by]
+        _, seeds, own = np.intersect1d(self.seeds, ids, assume_unique=True, return_indices=True)
+        place = np.zeros(len(ids), np.int64)
+        for group in np.unique(self.groups).tolist():
+            low, high = np.searchsorted(self.groups, [group, group + 1]).tolist()
+            docs = np.arange(len(ids)) if asked is None else np.flatnonzero(asked[:, group])
+            place[docs] = np.arange(len(docs))
+            for at in range(low, high if len(docs) else low, 1024):  # bounded memory, however many seeds a group has
+                end = min(at + 1024, high)
+                a, b = np.searchsorted(self.dense[0], [at, end])
+                used = np.bincount(self.dense[1][a:b], minlength=COMMON) > 0
+                columns = np.flatnonzero(used)
+                queries = np.zeros((end - at, len(columns)), np.float32)
+                queries[self.dense[0][a:b] - at, (np.cumsum(used) - 1)[self.dense[1][a:b]]] = 1
+                scores = queries @ dense.take(docs, axis=0).take(columns, axis=1).T
+                a, b = np.searchsorted(seed, [at, end])
+                np.add.at(scores.reshape(-1), (seed[a:b] - at) * len(docs) + place[doc[a:b]], weight[a:b])
+                here = (seeds >= at) & (seeds < end) & (True if asked is None else asked[own, group])
+                scores[seeds[here] - at, place[own[here]]] = -1
+                self._merge(scores, ids[docs].astype(np.int64), at)
+
+    def _merge(self, scores: np.ndarray, ids: np.ndarray, first: int) -> None:
+        """scores of the seeds from first on."""
+        worst = self.best[first : first + len(scores)].min(axis=1)
         least = np.where(worst < 0, 0, worst >> 31).astype(np.int32).view(np.float32)
         step = max(1, (1 << 21) // len(ids))
         for at in range(0, len(scores), step):  # bounded memory, even where all documents pass
-            block, rows = scores[at : at + step], np.arange(at, min(at + step, len(scores)))
-            seed, doc = np.nonzero(block >= least[rows, None])
+            block = scores[at : at + step]
+            rows = np.arange(first + at, first + at + len(block))
+            seed, doc = np.divmod(np.flatnonzero(block >= least[at : at + step, None]), len(ids))
             if len(seed) > 4 * self.found * len(rows):
                 keys = self.keys(block, rows[:, None], ids[None, :])
                 every = np.concatenate([self.best[rows], keys], axis=1)
@@ -178,8 +208,8 @@ class Search:
                 row = np.concatenate([np.repeat(np.arange(len(rows)), self.found), seed])
                 every = np.concatenate([self.best[rows].ravel(), self.keys(block[seed, doc], rows[seed], ids[doc])])
                 by = np.lexsort((-every, row))
-                first = np.searchsorted(row[by], np.arange(len(rows)))
-                self.best[rows] = every[by[first[:, None] + np.arange(self.found)]]
+                start = np.searchsorted(row[by], np.arange(len(rows)))
+                self.best[rows] = every[by[start[:, None] + np.arange(self.found)]]
 
 
 class Windows:
@@ -187,7 +217,7 @@ class Windows:
 
     def __init__(self, left: np.ndarray):
         self.left, self.total, self.sequences = left, int(left.sum()), 0
-        self.pieces: list[tuple[int, int, int, int, int]] = []  # document, left before, length, sequence, offset
+        self.pieces = array("q")  # document, left before, length, sequence, offset, one piece after the other
 
     def fill(self, seed: int, ranked: list[int], complete: bool) -> bool:
         """A window from a seed and its unused neighbours, best first; nothing is done (False) where the list ends before
@@ -208,7 +238,7 @@ class Windows:
         offset = 0
         for d in taken + skipped[:1] if room else taken:  # the best neighbour that is too long is cut
             n = min(int(left[d]), WINDOW - offset)
-            self.pieces.append((d, int(left[d]), n, self.sequences, offset))
+            self.pieces.extend((d, int(left[d]), n, self.sequences, offset))
             left[d] -= n
             offset += n
         self.total -= WINDOW
@@ -302,89 +332,213 @@ def number(n: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return starts[n >> 33] + (n & ((1 << 33) - 1))
 
 
-def seed_terms(tokens: DataFrame, seeds: np.ndarray, starts: np.ndarray, kind: str) -> list[np.ndarray]:
-    wanted = tokens.sparkSession.sparkContext.broadcast((seeds, starts))
-
-    def rows(batches: Iterator[dict]) -> Iterator[dict]:
-        for b in batches:
-            at = number(np.array(b["n"], np.int64), wanted.value[1])
-            keep = np.flatnonzero(np.isin(at, wanted.value[0])).tolist()
-            yield {"at": at[keep], "terms": [b["terms"][k] for k in keep]}
-
-    part = np.searchsorted(starts, [seeds[0], seeds[-1]], "right") - 1
-    low, high = (int((p << 33) + s - starts[p]) for p, s in zip(part.tolist(), (seeds[0], seeds[-1])))
-    found = {r["at"]: r["terms"] for r in arrow_map(tokens.where(F.col("n").between(low, high)).select("n", "terms"), rows, "at long, terms binary").collect()}
-    wanted.destroy()
-    return [np.frombuffer(found[s], kind) for s in seeds.tolist()]
-
-
-def neighbours(tokens: DataFrame, seeds: np.ndarray, found: int, left: np.ndarray, starts: np.ndarray, shared, kind: str) -> np.ndarray:
-    """For each seed (ascending) the best unused documents of all shards, best first; -1 where there are no more."""
-    spark = tokens.sparkSession
-    terms = seed_terms(tokens, seeds, starts, kind)
-    sent = spark.sparkContext.broadcast((seeds, terms, left, starts))
-
-    def rows(batches: Iterator[dict]) -> Iterator[dict]:
-        seeds, terms, left, starts = sent.value
-        search, shard = Search(seeds, terms, found, len(left), *shared.value), []
-
-        def ask() -> None:
-            search.add(np.array([x[0] for x in shard]), [x[1] for x in shard], [x[2] for x in shard], np.array([x[3] for x in shard]))
-            shard.clear()
-
-        for b in batches:
-            at = number(np.array(b["n"], np.int64), starts)
-            for k in np.flatnonzero(left[at]).tolist():
-                shard.append((at[k], np.frombuffer(b["terms"][k], kind), np.frombuffer(b["counts"][k], "<u4"), b["doc_tokens"][k]))
-                if len(shard) == SHARD:
-                    ask()
-        if shard:
-            ask()
-        for at in range(0, len(seeds), 1024):
-            yield {"seed": list(range(at, min(at + 1024, len(seeds)))), "keys": [k.tobytes() for k in search.best[at : at + 1024]]}
-
-    def best(batches: Iterator[dict]) -> Iterator[dict]:
-        for b in batches:
-            yield {"seed": b["seed"], "keys": [np.sort(np.frombuffer(b"".join(k), np.int64))[: -found - 1 : -1].tobytes() for k in b["keys"]]}
-
-    index = tokens.select("n", "doc_tokens", "terms", "counts").coalesce(spark.sparkContext.defaultParallelism)
-    lists = arrow_map(index, rows, "seed int, keys binary").groupBy("seed").agg(F.collect_list("keys").alias("keys"))
-    keys = np.full((len(seeds), found), -1, np.int64)
-    for r in arrow_map(lists, best, "seed int, keys binary").collect():
-        keys[r["seed"]] = np.frombuffer(r["keys"], np.int64)
-    sent.destroy()
-    behind = len(left) - 1 - (keys & ((1 << 31) - 1))
-    return np.where(keys < 0, -1, (seeds[:, None] + behind) % len(left))
-
+class Cells:
+    """What the index is sorted by: cells of like documents, and the share of a cell's documents in which each common term
+    occurs. So a document has an expected score for a seed of each cell, and a seed's neighbours are mostly among those
+    whose expected score for its cell is high."""
+
+    def __init__(self, terms: list[np.ndarray], column: np.ndarray, idf: np.ndarray):
+        """Spherical k-means of the documents' sets of common terms, weighted by idf."""
+        doc, at = self.common(terms, column)
+        has = np.zeros((len(terms), COMMON), np.float32)
+        has[doc, at] = 1
+        weight = np.zeros(COMMON, np.float32)
+        weight[column[column >= 0]] = np.sqrt(idf[column >= 0])
+        norm = 1 / np.maximum(np.sqrt(has @ weight**2), 1e-6)
+        count = max(1, min(CELLS, len(terms) // 64))
+        self.centres = has[:: max(1, len(terms) // count)][:count] * weight**2
+        for _ in range(12):
+            self.centres /= np.maximum(np.linalg.norm(self.centres / np.maximum(weight, 1e-6), axis=1, keepdims=True), 1e-6)
+            member = np.zeros((count, len(terms)), np.float32)
+            member[np.argmax(has @ self.centres.T, axis=1), np.arange(len(terms))] = norm
+            sums = member @ has
+            self.centres = np.where(member.any(axis=1)[:, None], sums * weight**2, self.centres)
+        self.centres /= np.maximum(np.linalg.norm(self.centres / np.maximum(weight, 1e-6), axis=1, keepdims=True), 1e-6)
+        member = np.zeros((count, len(terms)), np.float32)
+        member[np.argmax(has @ self.centres.T, axis=1), np.arange(len(terms))] = 1
+        self.share = member @ has / np.maximum(member.sum(axis=1, keepdims=True), 1)
+        self.size = count
+
+    @staticmethod
+    def common(terms: list[np.ndarray], column: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        doc, at = np.repeat(np.arange(len(terms)), [len(t) for t in terms]), column[np.concatenate(terms)]
+        return doc[at >= 0], at[at >= 0]
+
+    def judge(self, n: np.ndarray, terms: list[np.ndarray], counts: list[np.ndarray], lengths: np.ndarray, idf: np.ndarray, mean_length: float, column: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each document's cell, and its expected score for every cell; by a hash of n up to 2 % more, so that of many equal
+        documents a depth takes some."""
+        every, doc, weight = postings(terms, counts, lengths, idf, mean_length)
+        at = column[every]
+        dense = np.zeros((len(terms), COMMON), np.float32)
+        dense[doc[at >= 0], at[at >= 0]] = weight[at >= 0]
+        more = 1 + 0.02 * ((n.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.float32) / (1 << 24)
+        expected = np.minimum(dense @ self.share.T * more[:, None], 60000).astype(np.float16)
+        return np.argmax((dense > 0).astype(np.float32) @ self.centres.T, axis=1), expected
+
+
+class Index:
+    """All documents' terms, with their cells and expected scores; and what the driver keeps: a sample of expected scores,
+    from which it knows how deep a share of the unused documents reaches in each cell."""
+
+    def __init__(self, tokens: DataFrame, total: int, starts: np.ndarray, shared, scratch: Scratch, kind: str):
+        self.starts, self.shared, self.kind = starts, shared, kind
+        self.cells, self.share, self.calibrated = None, np.ones(2), np.inf
+        self.table = tokens.select("n", "doc_tokens", "terms", "counts")
+        if total <= WHOLE:
+            self.table = self.table.select("*", F.lit(0).alias("cell"), F.lit(b"").alias("expected"))
+            return
+        drawn = lambda df, rows: df.where(F.pmod(F.xxhash64("n"), F.lit(1 << 30)) < F.lit(int(min(1.0, rows / total) * (1 << 30))))
+        idf, _, column = shared.value
+        terms = [np.frombuffer(r["terms"], kind) for r in drawn(self.table, FITTED).select("terms").collect()]
+        self.cells = Cells(terms, column, idf)
+        sent = tokens.sparkSession.sparkContext.broadcast(self.cells)
+
+        def judged(batches: Iterator[dict]) -> Iterator[dict]:
+            for b in batches:
+                if b["n"]:
+                    terms, counts = [np.frombuffer(t, kind) for t in b["terms"]], [np.frombuffer(c, "<u4") for c in b["counts"]]
+                    cell, expected = sent.value.judge(np.array(b["n"], np.int64), terms, counts, np.array(b["doc_tokens"]), *shared.value)
+                    yield b | {"cell": cell.astype(np.int32), "expected": [x.tobytes() for x in expected]}
+
+        self.table = scratch.write(arrow_map(self.table, judged, "n long, doc_tokens long, terms binary, counts binary, cell int, expected binary"), "index")
+        self.at, self.expected = self._expected(drawn(self.table, KEPT))
+
+    def _expected(self, rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        def joined(batches: Iterator[dict]) -> Iterator[dict]:
+            for b in batches:
+                yield {"n": [np.array(b["n"], np.int64).tobytes()], "expected": [b"".join(b["expected"])]}
+
+        found = arrow_map(rows.select("n", "expected"), joined, "n binary, expected binary").collect()
+        at = number(np.frombuffer(b"".join(r["n"] for r in found), np.int64), self.starts)
+        return at, np.frombuffer(b"".join(r["expected"] for r in found), np.float16).reshape(len(at), self.cells.size)
+
+    def seeds(self, seeds: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        """Terms of seeds (ascending), and their groups: twice the cell, and one more for a light seed."""
+        starts, kind, wanted = self.starts, self.kind, self.table.sparkSession.sparkContext.broadcast(seeds)
+
+        def rows(batches: Iterator[dict]) -> Iterator[dict]:
+            for b in batches:
+                at = number(np.array(b["n"], np.int64), starts)
+                keep = np.flatnonzero(np.isin(at, wanted.value)).tolist()
+                yield {"at": at[keep], "cell": [b["cell"][k] for k in keep], "terms": [b["terms"][k] for k in keep]}
+
+        part = np.searchsorted(starts, [seeds[0], seeds[-1]], "right") - 1
+        low, high = (int((p << 33) + s - starts[p]) for p, s in zip(part.tolist(), (seeds[0], seeds[-1])))
+        wide = self.table.where(F.col("n").between(low, high)).select("n", "cell", "terms")
+        found = {r["at"]: (r["terms"], r["cell"]) for r in arrow_map(wide, rows, "at long, cell int, terms binary").collect()}
+        wanted.destroy()
+        terms = [np.frombuffer(found[s][0], kind) for s in seeds.tolist()]
+        return terms, np.array([2 * found[s][1] + (len(t) < LIGHT) for s, t in zip(seeds.tolist(), terms)])
+
+    def depth(self, left: np.ndarray, unused: int, found: int, groups: np.ndarray) -> np.ndarray | None:
+        """The expected score from which on documents are asked, by group: so many are above it that RECALL of the true
+        neighbours is among them, and that the seeds can fill their windows. None: all documents are asked."""
+        kept = self.expected[left[self.at] > 0]
+        seeds = np.bincount(groups, minlength=2 * self.cells.size)
+        share = np.maximum(np.tile(self.share, self.cells.size), np.maximum(16 * found, 4 * seeds) / unused)
+        if share.min() >= 1:
+            return None
+        out = np.full(2 * self.cells.size, np.inf, np.float32)
+        for g in np.flatnonzero(seeds).tolist():
+            k = int(np.ceil(share[g] * len(kept)))
+            out[g] = np.partition(kept[:, g // 2], len(kept) - k)[len(kept) - k] if 0 < k < len(kept) else -np.inf
+        return out
 
-def fill_windows(tokens: DataFrame, left: np.ndarray, starts: np.ndarray, shared, scratch: Scratch, kind: str) -> list[DataFrame]:
-    """Windows until one shard can hold all unused documents; left is brought up to date. Tables of pieces."""
-    windows, tables = Windows(left), []
+    def calibrate(self, left: np.ndarray, unused: np.ndarray) -> None:
+        """Asks some seeds of all unused documents, and notes which share of these is expected to score as high as the
+        true neighbours' last but a few."""
+        seeds = np.sort(np.random.default_rng(0).choice(unused, ASKED, replace=False))
+        top = self.neighbours(seeds, TOP, left, True)[0]
+        docs = np.unique(top)
+        part = np.searchsorted(self.starts, docs, "right") - 1
+        at, expected = self._expected(self.table.where(F.col("n").isin(((part << 33) + docs - self.starts[part]).tolist())))
+        order = np.argsort(at)
+        groups = self.seeds(seeds)[1]
+        own = expected[order[np.searchsorted(at[order], top)], groups[:, None] // 2]
+        kept = np.sort(self.expected[left[self.at] > 0], axis=0)
+        above = np.stack([1 - np.searchsorted(kept[:, g // 2], x) / len(kept) for g, x in zip(groups.tolist(), own)])
+        light = groups % 2 > 0
+        self.share = np.array([np.quantile(above[x], RECALL) if x.sum() >= 8 else np.quantile(above, RECALL) for x in (~light, light)])
+        self.calibrated = unused.size
+
+    def neighbours(self, seeds: np.ndarray, found: int, left: np.ndarray, whole: bool = False) -> tuple[np.ndarray, bool]:
+        """For each seed (ascending) the best unused documents of all shards, best first, -1 where there are no more; and
+        whether all of them were asked, not only those to the depth that the recall needs."""
+        spark, starts, shared, kind = self.table.sparkSession, self.starts, self.shared, self.kind
+        terms, groups = self.seeds(seeds)
+        least = None if whole or self.cells is None else self.depth(left, int(np.count_nonzero(left)), found, groups)
+        by = np.arange(len(seeds)) if least is None else np.argsort(groups, kind="stable")
+        sent = spark.sparkContext.broadcast((seeds[by], [terms[k] for k in by.tolist()], None if least is None else groups[by], least, left, starts))
+
+        def rows(batches: Iterator[dict]) -> Iterator[dict]:
+            seeds, terms, groups, least, left, starts = sent.value
+            search, shard = Search(seeds, terms, found, len(left), *shared.value, groups), []
+
+            def ask() -> None:
+                search.add(np.array([x[0] for x in shard]), [x[1] for x in shard], [x[2] for x in shard], np.array([x[3] for x in shard]), None if least is None else np.array([x[4] for x in shard]))
+                shard.clear()
+
+            for b in batches:
+                at = number(np.array(b["n"], np.int64), starts)
+                keep, asked = left[at] > 0, None
+                if least is not None:
+                    asked = np.frombuffer(b"".join(b["expected"]), np.float16).reshape(len(at), len(least) // 2).repeat(2, axis=1) >= least
+                    keep &= asked.any(axis=1)
+                for k in np.flatnonzero(keep).tolist():
+                    shard.append((at[k], np.frombuffer(b["terms"][k], kind), np.frombuffer(b["counts"][k], "<u4"), b["doc_tokens"][k], None if asked is None else asked[k]))
+                    if len(shard) == BLOCK:
+                        ask()
+            if shard:
+                ask()
+            for at in range(0, len(seeds), 1024):
+                yield {"seed": list(range(at, min(at + 1024, len(seeds)))), "keys": [k.tobytes() for k in search.best[at : at + 1024]]}
+
+        def best(batches: Iterator[dict]) -> Iterator[dict]:
+            for b in batches:
+                yield {"seed": b["seed"], "keys": [np.sort(np.frombuffer(b"".join(k), np.int64))[: -found - 1 : -1].tobytes() for k in b["keys"]]}
+
+        index = self.table.select("n", "doc_tokens", "terms", "counts", *["expected"] * (least is not None)).coalesce(spark.sparkContext.defaultParallelism)
+        lists = arrow_map(index, rows, "seed int, keys binary").groupBy("seed").agg(F.collect_list("keys").alias("keys"))
+        keys = np.full((len(seeds), found), -1, np.int64)
+        for r in arrow_map(lists, best, "seed int, keys binary").collect():
+            keys[by[r["seed"]]] = np.frombuffer(r["keys"], np.int64)
+        sent.destroy()
+        behind = len(left) - 1 - (keys & ((1 << 31) - 1))
+        return np.where(keys < 0, -1, (seeds[:, None] + behind) % len(left)), least is None
+
+
+def fill_windows(index: Index, left: np.ndarray, scratch: Scratch) -> DataFrame | None:
+    """Windows until one shard can hold all unused documents; left is brought up to date. The table of pieces."""
+    windows, tables, starts, spark = Windows(left), [], index.starts, index.table.sparkSession
 
     def keep() -> None:
-        at, before, length, sequence, offset = np.array(windows.pieces, np.int64).T
+        at, before, length, sequence, offset = np.array(windows.pieces).reshape(-1, 5).T
         part = np.searchsorted(starts, at, "right") - 1
         columns = {"n": (part << 33) + at - starts[part], "before": before, "length": length, "sequence_id": 2 * sequence, "offset": offset}
-        tables.append(scratch.write(tokens.sparkSession.createDataFrame(pa.table(columns)), "pieces"))
-        windows.pieces = []
+        tables.append(scratch.write(spark.createDataFrame(pa.table(columns)), "pieces"))
+        windows.pieces = array("q")
 
-    size, found = SEEDS, FOUND
+    most = size = max(1024, min(SEEDS, len(left) // 16))
+    found = FOUND
     while windows.total >= WINDOW and (unused := np.flatnonzero(left)).size > SHARD:
+        if index.cells and unused.size > WHOLE and unused.size < 0.7 * index.calibrated:
+            index.calibrate(left, unused)
         seeds = unused[:size]
         done = asked = 0
-        for seed, ranked in zip(seeds.tolist(), neighbours(tokens, seeds, found, left, starts, shared, kind).tolist()):
+        lists, whole = index.neighbours(seeds, found, left, unused.size <= WHOLE)
+        for seed, ranked in zip(seeds.tolist(), lists.tolist()):
             if left[seed] and windows.total >= WINDOW:
                 asked += 1
-                done += windows.fill(seed, [d for d in ranked if d >= 0], ranked[-1] < 0 or found >= unused.size - 1)
-        if 2 * done < asked and size > 64:  # many want the same documents: fewer seeds, longer lists
-            size, found = size // 4, found * 4
-        elif 10 * done > 9 * asked and size < SEEDS:
-            size, found = size * 4, found // 4
-        if len(windows.pieces) > 1 << 20:
+                done += windows.fill(seed, [d for d in ranked if d >= 0], whole and (ranked[-1] < 0 or found >= unused.size - 1))
+        if 2 * done < asked and (size > 64 or not done):  # many want the same documents: fewer seeds, longer lists
+            size, found = max(16, size // 4), found * 4
+        elif 10 * done > 9 * asked and size < most:
+            size, found = size * 4, max(FOUND, found // 4)
+        if len(windows.pieces) > 5 << 18:
             keep()
     if windows.pieces:
         keep()
-    return tables
+    return spark.read.schema(tables[0].schema).parquet(*(t._scratch_path for t in tables)) if tables else None
 
 
 def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -411,7 +565,8 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     column[np.argsort(-df, kind="stable")[:COMMON]] = np.arange(min(COMMON, len(df)))
     idf, mean_length = np.log1p((total - df + 0.5) / (df + 0.5)).astype(np.float32), float(mean_length or 1)
     starts, left = tail_lengths(tokens, kind)
-    pieces = fill_windows(tokens, left, starts, spark.sparkContext.broadcast((idf, mean_length, column)), scratch, kind)
+    index = Index(tokens, total, starts, spark.sparkContext.broadcast((idf, mean_length, column)), scratch, kind)
+    pieces = fill_windows(index, left, scratch)
     shared = spark.sparkContext.broadcast((idf, mean_length, left, starts))
 
     def unused(batches: Iterator[dict]) -> Iterator[dict]:
@@ -443,8 +598,8 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     schema = f"doc_id {id_kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     rest = arrow_map(tokens.select("n", "doc_id", "doc_tokens", "tail", "terms", "counts"), unused, f"doc_id {id_kind}, doc_tokens long, tail binary, terms binary, counts binary")
     tails = arrow_map(rest.repartition(1), rows, schema)  # less than a window, or at most a shard
-    for table_ in pieces:
-        tails = tails.unionByName(arrow_map(tokens.select("n", "doc_id", "doc_tokens", "tail").join(table_, "n").drop("n"), cut, schema))
+    if pieces is not None:
+        tails = tails.unionByName(arrow_map(tokens.select("n", "doc_id", "doc_tokens", "tail").join(pieces, "n").drop("n"), cut, schema))
     full = tokens.select("doc_id", "doc_tokens", F.posexplode("crcs").alias("k", "crc"))
     window = F.lit(WINDOW).cast("long")
     full = full.select("doc_id", (F.col("k") * window).alias("start"), window.alias("length"), F.col("crc").alias("ids_crc32"), "doc_tokens", (2 * F.monotonically_increasing_id() + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
