@@ -526,10 +526,10 @@ def fill_windows(index: Index, left: np.ndarray, scratch: Scratch) -> DataFrame
         seeds = unused[:size]
         done = asked = 0
         lists, whole = index.neighbours(seeds, found, left, unused.size <= WHOLE)
-        for seed, ranked in zip(seeds.tolist(), lists.tolist()):
+        for seed, ranked in zip(seeds.tolist(), lists):
             if left[seed] and windows.total >= WINDOW:
                 asked += 1
-                done += windows.fill(seed, [d for d in ranked if d >= 0], whole and (ranked[-1] < 0 or found >= unused.size - 1))
+                done += windows.fill(seed, ranked[ranked >= 0].tolist(), bool(whole and (ranked[-1] < 0 or found >= unused.size - 1)))
         if 2 * done < asked and (size > 64 or not done):  # many want the same documents: fewer seeds, longer lists
             size, found = max(16, size // 4), found * 4
         elif 10 * done > 9 * asked and size < most:
@@ -550,8 +550,10 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     and takes them in that order, whole where they fit; the last one is cut, and its rest stays unused.
 
     A block of seeds is broadcast to all shards; the driver fills windows from the merged lists, and a seed whose list is
-    used up asks again. So each seed is scored against every unused document: CPU time grows with the square of the
-    documents. The driver holds two bytes a document. Document frequencies and the mean length cover all documents; the
+    used up asks again. A seed is scored against the unused documents whose expected score for its cell is high: a share
+    of them that is calibrated, by brute force for some seeds, to hold RECALL of the TOP true neighbours; all of them
+    where WHOLE or fewer are unused, or where longer lists are needed. That share is nearly the same at every size, so CPU
+    time still grows with the square of the documents in the end. The driver holds two bytes a document. Document frequencies and the mean length cover all documents; the
     broadcast idf is as long as the vocabulary. Null text is empty: the end id alone. Every row is packed, repeated
     ones too; empty table: no rows.
     """

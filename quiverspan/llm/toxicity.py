@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import re
+import struct
+import tempfile
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
@@ -80,15 +83,33 @@ def ftrl(passes: Iterable[Iterable[tuple[np.ndarray, int]]], alpha: float = ALPH
             n[x] = nx + g * g
             zb += g - ((nb + g * g) ** 0.5 - nb**0.5) / alpha * bias
             nb += g * g
-    w = weight(z, n)
-    at = np.flatnonzero(w)
-    return Weights(at.astype(np.uint32), w[at].astype(np.float32), -zb / ((beta + nb**0.5) / alpha))
+    step = 1 << 16  # only what is learnt, a slice at a time: the driver holds z and n, no other vector of their length
+    at = np.concatenate([low + np.flatnonzero(np.abs(z[low : low + step]) > l1) for low in range(0, len(z), step)])
+    return Weights(at.astype(np.uint32), weight(z[at], n[at]).astype(np.float32), -zb / ((beta + nb**0.5) / alpha))
+
+
+def replayed(rows: Iterable[tuple[bytes, int]], passes: int, kept: BinaryIO) -> Iterator[Iterator[tuple[np.ndarray, int]]]:
+    """Passes over rows that are asked for once: the first pass writes them to a file, the others read it."""
+
+    def first() -> Iterator[tuple[np.ndarray, int]]:
+        for x, y in rows:
+            kept.write(struct.pack("<qq", len(x), y) + x)
+            yield np.frombuffer(x, np.uint32), y
+
+    def again() -> Iterator[tuple[np.ndarray, int]]:
+        kept.seek(0)
+        while head := kept.read(16):
+            size, y = struct.unpack("<qq", head)
+            yield np.frombuffer(kept.read(size), np.uint32), y
+
+    return (again() if k else first() for k in range(passes))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_ROWS) -> Weights:
     """Learns from labelled rows that aren't held out, all or a random share, about max_rows, of them by hash of id. Rows
     with a null id, label or other label than 0 and 1 teach nothing; no rows: every score is 0.5. The driver streams the
-    hashed rows in that order, a sixteenth at a time; it holds two numbers a hash."""
+    hashed rows in that order, a sixteenth at a time, into a file of its own, which the later passes read; it holds two
+    numbers a hash."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where(F.col("id").isNotNull() & F.col("y").isin(0, 1) & ~held_out("id"))
     total = known.count()
     order = F.xxhash64(F.col("id"), F.lit(11))
@@ -104,13 +125,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     hashed = arrow_map(drawn.select(order.alias("ord"), "y", "text"), hashes, "ord long, y int, x binary")
     hashed = scratch.write(hashed.withColumn("part", F.shiftright("ord", 60).cast("int")), "hashed", by=["part"])
 
-    def one_pass() -> Iterator[tuple[np.ndarray, int]]:
+    def rows() -> Iterator[tuple[bytes, int]]:
         for part in range(-8, 8):  # the highest four bits of a signed number
-            rows = hashed.where(F.col("part") == part).select("ord", "y", "x").collect()
-            for r in sorted(rows, key=lambda r: (r["ord"], r["y"], bytes(r["x"]))):
-                yield np.frombuffer(r["x"], np.uint32), r["y"]
+            found = hashed.where(F.col("part") == part).select("ord", "y", "x").toArrow()
+            yield from ((x, y) for _, y, x in sorted(zip(*(c.to_pylist() for c in found.columns))))
 
-    model = ftrl(one_pass() for _ in range(EPOCHS))
+    with tempfile.TemporaryFile() as kept:
+        model = ftrl(replayed(rows(), EPOCHS, kept))
     scratch.close()
     if len(model.at) or model.bias:
         model.bias = min(model.bias, MOST_BIAS)

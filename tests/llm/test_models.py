@@ -228,3 +228,26 @@ def test_dirty_tags_are_bounded(spark, monkeypatch):
     m = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert m.langs == {"germanic": ["de-AT", "en"]}
     assert "fil" not in language_id.FAMILY_OF and language_id.fit_vectors({"fil": np.ones((2, language_id.DIM), np.float32), "fi": np.ones((2, language_id.DIM), np.float32)}).langs == {"uralic": ["fi"], "fil": ["fil"]}
+
+
+def test_ftrl_holds_two_vectors():
+    """The driver's memory: z and n, and no other vector of their length, while the weights are read off at the end."""
+    import tracemalloc
+
+    rng = np.random.default_rng(2)
+    rows = [(np.unique(rng.integers(0, 1 << toxicity.BITS, 300).astype(np.uint32)), k % 2) for k in range(20)]
+    tracemalloc.start()
+    model = toxicity.ftrl([rows] * 4)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(model.at) and peak < 2.5 * 4 * (1 << toxicity.BITS)
+
+
+def test_the_driver_asks_for_the_hashed_rows_once(spark, sf_dir, monkeypatch):
+    """Not again for each pass; every pass has the same rows in the same order."""
+    passes, queries, plain = [], [], type(spark.range(1)).toArrow
+    monkeypatch.setattr(type(spark.range(1)), "toArrow", lambda df: queries.append(1) or plain(df))
+    monkeypatch.setattr(toxicity, "ftrl", lambda found: passes.extend([(x.tobytes(), y) for x, y in rows] for rows in found) or toxicity.Weights(np.zeros(0, np.uint32), np.zeros(0, np.float32), 0.0))
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    toxicity.fit(docs, labels)
+    assert len(passes) == toxicity.EPOCHS and passes[0] and all(p == passes[0] for p in passes) and len(queries) == 16
