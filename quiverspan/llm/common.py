@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,6 +39,19 @@ def held_out(column: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(column).cast("string")) % 5 == 0, F.lit(False))
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    conf = spark.conf
+    before = {k: conf.get(k) for k in SMALL_BATCHES}
+    try:
+        for k, v in SMALL_BATCHES.items():
+            conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            conf.set(k, v)
+
+
 # --- scratch tables in the folder that driver and executors share ---------------------------------
 
 
@@ -67,15 +81,8 @@ class Scratch:
     def write(self, df: DataFrame, name: str, compression: str = "zstd", by: list[str] = []) -> DataFrame:
         """by: columns, of few values, whose filters then prune files. Arrow batches are small while it is written."""
         path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
-        conf = self.spark.conf
-        before = {k: conf.get(k) for k in SMALL_BATCHES}
-        try:
-            for k, v in SMALL_BATCHES.items():
-                conf.set(k, v)
+        with small_batches(self.spark):
             df.write.partitionBy(*by).option("compression", compression).parquet(path)
-        finally:
-            for k, v in before.items():
-                conf.set(k, v)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         self.paths.add(path)

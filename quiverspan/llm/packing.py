@@ -6,7 +6,7 @@ import json
 import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -16,16 +16,18 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_map, table
+from .common import Scratch, arrow_map, small_batches, table
 from .token_counts import byte_alphabet
 
 #: Tokens of a window; documents of an index shard; neighbours that are tried whole before one is cut.
 WINDOW, SHARD, TRIED = 1024, 1024, 16
-#: Seeds of a search over all shards at most, and how many neighbours each gets; commonest terms whose scores are a matrix product.
-SEEDS, FOUND, COMMON = 16384, 32, 1536
+#: Seeds of a search over all shards at most, and how many neighbours each gets; commonest terms, and the share of a group's
+#: seeds from which on the scores for such a term are a matrix product.
+SEEDS, FOUND, COMMON, DENSE = 16384, 64, 1536, 0.02
 #: Cells of the index, documents on which they are fitted, documents whose expected scores the driver keeps, and those
-#: that are scored together. So many unused documents, or fewer, are asked whole.
-CELLS, FITTED, KEPT, BLOCK, WHOLE = 64, 6144, 32768, 4096, 8192
+#: that are scored together. So many unused documents, or fewer, are asked whole. Documents of a row of the index;
+#: the cosine of cells that search together.
+CELLS, FITTED, KEPT, BLOCK, WHOLE, ROW, LIKE = 64, 6144, 32768, 4096, 8192, 512, 0.9
 #: Share of the true TOP neighbours that lies within the depth of the search, and the seeds that are asked whole to find
 #: it; seeds with fewer distinct ids than LIGHT have a depth of their own.
 RECALL, TOP, ASKED, LIGHT = 0.95, 10, 512, 80
@@ -34,6 +36,17 @@ K1, B = 1.2, 0.75
 END_ID = 0
 
 
+#: What the pattern looks ahead for: a run of white space leaves its last character to what follows. That is slow.
+LOOKAHEAD = r"\s+(?!\S)|"
+WIDE_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]").search
+
+
+def has_runs(text: str) -> bool:
+    """Whether the text may have white space beside white space; without it the pattern finds the same without looking ahead."""
+    low = np.frombuffer(text.encode(), np.uint8) <= 32
+    return bool((low[1:] & low[:-1]).any()) or not text.isascii() and bool(WIDE_SPACE(text))
+
+
 class Tokenizer:
     """Ids as the tokenizers library gives them for a byte-level BPE file, through tiktoken's engine. A special
     token's string in a text is that token, as the library has it."""
@@ -44,11 +57,12 @@ class Tokenizer:
         byte_of = {c: b for b, c in enumerate(byte_alphabet())}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         ranks = {bytes(byte_of[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in self.special}
-        plain = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        patterns = public_tokenizers.PATTERN, public_tokenizers.PATTERN.replace(LOOKAHEAD, "")
+        whole, plain = (tiktoken.Encoding("ranks", pat_str=x, mergeable_ranks=ranks, special_tokens={}).encode_ordinary for x in patterns)
         self.size = 1 + max([*ranks.values(), *self.special.values()])
         self.kind = "<u2" if self.size <= 1 << 16 else "<u4"
         code = "H" if self.kind == "<u2" else "I"
-        self.plain = lambda text: array(code, plain(text)).tobytes()
+        self.plain = lambda text: array(code, (whole if has_runs(text) else plain)(text)).tobytes()
         specials = sorted(self.special, key=len, reverse=True)
         self.parts = re.compile(f"({'|'.join(map(re.escape, specials))})").split if specials else None
 
@@ -145,51 +159,71 @@ class Search:
         self.seeds, self.found, self.total = seeds.astype(np.int64), found, total
         self.idf, self.mean_length, self.column = idf, mean_length, column
         self.groups = np.zeros(len(seeds), np.int64) if groups is None else groups
-        every, seed = np.concatenate(terms), np.repeat(np.arange(len(terms)), [len(t) for t in terms])
-        common = column[every] >= 0
-        self.dense = seed[common], column[every[common]]
-        by = np.argsort(every[~common], kind="stable")
-        self.seed, self.at = seed[~common][by], np.searchsorted(every[~common][by], np.arange(len(idf) + 1))
         self.best = np.full((len(seeds), found), -1, np.int64)
+        self.parts = []  # group, its dense columns, those of its other common terms, and blocks of its seeds
+        for group in np.unique(self.groups).tolist():
+            low, high = np.searchsorted(self.groups, [group, group + 1]).tolist()
+            shared = np.bincount(np.concatenate(terms[low:high]), minlength=len(idf))
+            used = np.flatnonzero((shared > 0) & (column >= 0))
+            often = shared[used] >= (DENSE * (high - low) if high - low >= 256 else 1)
+            place, blocks = np.full(len(idf), -1, np.int32), []
+            place[used[often]] = np.arange(np.count_nonzero(often))
+            for at in range(low, high, 1024):  # bounded memory, however many seeds a group has
+                own = terms[at : min(at + 1024, high)]
+                every, seed = np.concatenate(own), np.repeat(np.arange(len(own)), [len(t) for t in own])
+                common = place[every] >= 0
+                queries = np.zeros((len(own), np.count_nonzero(often)), bool)
+                queries[seed[common], place[every[common]]] = True
+                every, seed = every[~common], seed[~common]
+                starts = np.concatenate([[0], np.cumsum(np.bincount(every, minlength=len(idf)))]).astype(np.int32)
+                blocks.append((at, queries, starts, seed[np.argsort(every, kind="stable")]))
+            self.parts.append((group, column[used[often]], used[~often], blocks))
 
     def keys(self, scores: np.ndarray, seed: np.ndarray, doc: np.ndarray) -> np.ndarray:
         return (scores.view(np.int32).astype(np.int64) << 31) + (self.total - 1 - (doc - self.seeds[seed]) % self.total)
 
-    def add(self, ids: np.ndarray, terms: list[np.ndarray], counts: list[np.ndarray], lengths: np.ndarray, asked: np.ndarray | None = None) -> None:
-        """asked: for each document (row) and group whether the group's seeds ask for it; all do without it."""
-        every, doc, weight = postings(terms, counts, lengths, self.idf, self.mean_length)
-        column, weight = self.column[every], weight.astype(np.float32)
-        common = column >= 0
+    def add(self, ids: np.ndarray, terms: list[np.ndarray], counts: list[np.ndarray], lengths: np.ndarray) -> None:
+        self.add_flat(ids, np.concatenate(terms), np.concatenate(counts), np.array([len(t) for t in terms]), lengths)
+
+    def add_flat(self, ids: np.ndarray, terms: np.ndarray, counts: np.ndarray, sizes: np.ndarray, lengths: np.ndarray, asked: Callable[[int], np.ndarray] | None = None) -> None:
+        """Terms and counts of all documents, one document after the other. asked: the documents that a group's seeds ask
+        for; all do without it."""
+        tf = counts.astype(np.float32)
+        norm = (K1 * (1 - B + B * lengths / self.mean_length)).astype(np.float32)
+        weight = self.idf[terms] * tf * np.float32(K1 + 1) / (tf + np.repeat(norm, sizes))
+        doc, place = np.repeat(np.arange(len(ids)), sizes), self.column[terms]
+        common, rare = np.flatnonzero(place >= 0), np.flatnonzero(place < 0)
         dense = np.zeros((len(ids), COMMON), np.float32)
-        dense[doc[common], column[common]] = weight[common]
-        every, doc, weight = every[~common].astype(np.int64), doc[~common], weight[~common]
-        start, n = self.at[every], self.at[every + 1] - self.at[every]
-        seed = self.seed[np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())]
-        doc, weight = np.repeat(doc, n), np.repeat(weight, n)
-        if asked is not None:
-            meet = asked[doc, self.groups[seed]]
-            seed, doc, weight = seed[meet], doc[meet], weight[meet]
-        by = np.argsort(seed.astype(np.uint16) if len(self.seeds) <= 1 << 16 else seed, kind="stable")  # short numbers: radix sort
-        seed, doc, weight = seed[by], doc[by], weight[by]
+        dense.reshape(-1)[doc[common] * COMMON + place[common]] = weight[common]
+        ends = np.searchsorted(doc[rare], np.arange(len(ids) + 1))
+        terms, weight = terms[rare].astype(np.int64), weight[rare]
         _, seeds, own = np.intersect1d(self.seeds, ids, assume_unique=True, return_indices=True)
-        place = np.zeros(len(ids), np.int64)
-        for group in np.unique(self.groups).tolist():
-            low, high = np.searchsorted(self.groups, [group, group + 1]).tolist()
-            docs = np.arange(len(ids)) if asked is None else np.flatnonzero(asked[:, group])
-            place[docs] = np.arange(len(docs))
-            for at in range(low, high if len(docs) else low, 1024):  # bounded memory, however many seeds a group has
-                end = min(at + 1024, high)
-                a, b = np.searchsorted(self.dense[0], [at, end])
-                used = np.bincount(self.dense[1][a:b], minlength=COMMON) > 0
-                columns = np.flatnonzero(used)
-                queries = np.zeros((end - at, len(columns)), np.float32)
-                queries[self.dense[0][a:b] - at, (np.cumsum(used) - 1)[self.dense[1][a:b]]] = 1
-                scores = queries @ dense.take(docs, axis=0).take(columns, axis=1).T
-                a, b = np.searchsorted(seed, [at, end])
-                np.add.at(scores.reshape(-1), (seed[a:b] - at) * len(docs) + place[doc[a:b]], weight[a:b])
-                here = (seeds >= at) & (seeds < end) & (True if asked is None else asked[own, group])
-                scores[seeds[here] - at, place[own[here]]] = -1
-                self._merge(scores, ids[docs].astype(np.int64), at)
+        for group, columns, others, blocks in self.parts:
+            docs = np.arange(len(ids)) if asked is None else np.flatnonzero(asked(group))
+            for at in range(0, len(docs), 2048):  # bounded memory, however many documents a group asks for
+                some = docs[at : at + 2048]
+                wide = dense.take(some, axis=0)
+                n = ends[some + 1] - ends[some]
+                postings = np.repeat(ends[some + 1] - np.cumsum(n), n) + np.arange(n.sum())
+                every, doc, heavy = terms[postings], np.repeat(np.arange(len(some)), n), weight[postings]
+                if len(others):
+                    few = wide.take(self.column[others], axis=1)
+                    nonzero = np.flatnonzero(few)
+                    every, doc, heavy = (np.concatenate(x) for x in ((every, others[nonzero % len(others)]), (doc, nonzero // len(others)), (heavy, few.reshape(-1)[nonzero])))
+                wide = wide.take(columns, axis=1).T
+                for first, queries, starts, seed in blocks:
+                    scores = queries.astype(np.float32) @ wide
+                    start = starts[every]
+                    n = starts[every + 1] - start
+                    met = np.flatnonzero(n)
+                    start, n = start[met], n[met]
+                    hit = seed[np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())]
+                    np.add.at(scores.reshape(-1), hit * len(some) + np.repeat(doc[met], n), np.repeat(heavy[met], n))
+                    here = np.flatnonzero((seeds >= first) & (seeds < first + len(queries)))
+                    spot = np.searchsorted(some, own[here])
+                    found = some[np.minimum(spot, len(some) - 1)] == own[here]
+                    scores[seeds[here[found]] - first, spot[found]] = -1
+                    self._merge(scores, ids[some].astype(np.int64), first)
 
     def _merge(self, scores: np.ndarray, ids: np.ndarray, first: int) -> None:
         """scores of the seeds from first on."""
@@ -198,18 +232,20 @@ class Search:
         step = max(1, (1 << 21) // len(ids))
         for at in range(0, len(scores), step):  # bounded memory, even where all documents pass
             block = scores[at : at + step]
-            rows = np.arange(first + at, first + at + len(block))
             seed, doc = np.divmod(np.flatnonzero(block >= least[at : at + step, None]), len(ids))
-            if len(seed) > 4 * self.found * len(rows):
-                keys = self.keys(block, rows[:, None], ids[None, :])
-                every = np.concatenate([self.best[rows], keys], axis=1)
-                self.best[rows] = np.partition(every, -self.found, axis=1)[:, -self.found :]
-            elif len(seed):
-                row = np.concatenate([np.repeat(np.arange(len(rows)), self.found), seed])
-                every = np.concatenate([self.best[rows].ravel(), self.keys(block[seed, doc], rows[seed], ids[doc])])
-                by = np.lexsort((-every, row))
-                start = np.searchsorted(row[by], np.arange(len(rows)))
-                self.best[rows] = every[by[start[:, None] + np.arange(self.found)]]
+            if not len(seed):
+                continue
+            passed = np.bincount(seed, minlength=len(block))
+            rows = np.flatnonzero(passed)
+            most = int(passed.max())
+            if most < len(ids):
+                keys = np.full((len(rows), most), -1, np.int64)
+                ahead = np.cumsum(passed) - passed
+                keys[(np.cumsum(passed > 0) - 1)[seed], np.arange(len(seed)) - ahead[seed]] = self.keys(block[seed, doc], first + at + seed, ids[doc])
+            else:
+                keys = self.keys(block[rows], first + at + rows[:, None], ids[None, :])
+            every = np.concatenate([self.best[first + at + rows], keys], axis=1)
+            self.best[first + at + rows] = np.partition(every, -self.found, axis=1)[:, -self.found :]
 
 
 class Windows:
@@ -358,6 +394,11 @@ class Cells:
         member[np.argmax(has @ self.centres.T, axis=1), np.arange(len(terms))] = 1
         self.share = member @ has / np.maximum(member.sum(axis=1, keepdims=True), 1)
         self.size = count
+        self.family = np.full(count, -1)  # of like cells, whose seeds search together: they ask for nearly the same documents
+        unit = self.share / np.maximum(np.linalg.norm(self.share, axis=1, keepdims=True), 1e-6)
+        for c in np.argsort(-member.sum(axis=1), kind="stable").tolist():
+            if self.family[c] < 0:
+                self.family[(self.family < 0) & ((unit @ unit[c] > LIKE) | (np.arange(count) == c))] = c
 
     @staticmethod
     def common(terms: list[np.ndarray], column: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -376,39 +417,129 @@ class Cells:
         return np.argmax((dense > 0).astype(np.float32) @ self.centres.T, axis=1), expected
 
 
+class Part:
+    """Documents of the index, as arrays: n, tokens, how many terms, cell and expected scores of each; and all terms and
+    their counts, one document after the other."""
+
+    NAMES = ("n", "lengths", "sizes", "cell", "expected", "terms", "counts")
+    SCHEMA = "low long, high long, " + ", ".join(f"{x} binary" for x in NAMES)
+
+    def __init__(self, *arrays: np.ndarray):
+        self.n, self.lengths, self.sizes, self.cell, self.expected, self.terms, self.counts = self.arrays = arrays
+
+    @classmethod
+    def read(cls, batches: Iterator[dict], kind: str) -> Iterator[Part]:
+        kinds = (np.int64, np.int64, np.int32, np.int32, np.float16, kind)
+        for b in batches:
+            for *row, counts in zip(*(b[x] for x in cls.NAMES)):
+                arrays = [np.frombuffer(x, k) for x, k in zip(row, kinds)]
+                arrays[4] = arrays[4].reshape(len(arrays[0]), -1)
+                yield cls(*arrays, np.frombuffer(counts, f"<u{len(counts) // len(arrays[5])}").astype(np.uint32))
+
+    @classmethod
+    def join(cls, parts: list[Part]) -> Part:
+        return cls(*(np.concatenate(x) for x in zip(*(p.arrays for p in parts)))) if len(parts) > 1 else parts[0]
+
+    def take(self, keep: np.ndarray) -> Part:
+        """keep: a mask."""
+        if keep.all():
+            return self
+        wide = np.repeat(keep, self.sizes)
+        return Part(*(x[keep] for x in self.arrays[:5]), *(x[wide] for x in self.arrays[5:]))
+
+    def rows(self) -> dict[str, list]:
+        """The documents in rows of ROW."""
+        cuts = list(range(0, len(self.n), ROW))
+        ends = np.concatenate([[0], np.cumsum(self.sizes)])
+        out = {x: [a[k : k + ROW].tobytes() for k in cuts] for x, a in zip(self.NAMES[:5], self.arrays)}
+        of = [slice(ends[k], ends[min(k + ROW, len(self.n))]) for k in cuts]
+        out |= {"terms": [self.terms[x].tobytes() for x in of], "counts": [self.counts[x].astype(np.min_scalar_type(self.counts[x].max())).tobytes() for x in of]}
+        return out | {"low": [int(self.n[k : k + ROW].min()) for k in cuts], "high": [int(self.n[k : k + ROW].max()) for k in cuts]}
+
+
+def gathered(parts: Iterator[Part], least: int) -> Iterator[Part]:
+    """Joined until there are as many documents as least, or 1,024 times as many terms."""
+    some: list[Part] = []
+    for p in parts:
+        some.append(p)
+        if sum(len(x.n) for x in some) >= least or sum(len(x.terms) for x in some) >= least << 10:
+            yield Part.join(some)
+            some = []
+    if some:
+        yield Part.join(some)
+
+
+def collected(df: DataFrame) -> list:
+    with small_batches(df.sparkSession):
+        return df.collect()
+
+
+def mixed(n: np.ndarray) -> np.ndarray:
+    """A hash from 0 to below 1."""
+    x = n.astype(np.uint64)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return (x >> np.uint64(32)).astype(np.float64) / (1 << 32)
+
+
 class Index:
-    """All documents' terms, with their cells and expected scores; and what the driver keeps: a sample of expected scores,
-    from which it knows how deep a share of the unused documents reaches in each cell."""
+    """All unused documents' terms, with their cells and expected scores; and what the driver keeps: a sample of expected
+    scores, from which it knows how deep a share of the unused documents reaches in each cell."""
 
     def __init__(self, tokens: DataFrame, total: int, starts: np.ndarray, shared, scratch: Scratch, kind: str):
-        self.starts, self.shared, self.kind = starts, shared, kind
+        self.starts, self.shared, self.kind, self.scratch, self.size = starts, shared, kind, scratch, total
         self.cells, self.share, self.calibrated = None, np.ones(2), np.inf
-        self.table = tokens.select("n", "doc_tokens", "terms", "counts")
-        if total <= WHOLE:
-            self.table = self.table.select("*", F.lit(0).alias("cell"), F.lit(b"").alias("expected"))
-            return
-        drawn = lambda df, rows: df.where(F.pmod(F.xxhash64("n"), F.lit(1 << 30)) < F.lit(int(min(1.0, rows / total) * (1 << 30))))
-        idf, _, column = shared.value
-        terms = [np.frombuffer(r["terms"], kind) for r in drawn(self.table, FITTED).select("terms").collect()]
-        self.cells = Cells(terms, column, idf)
+        if total > WHOLE:
+            drawn = F.pmod(F.xxhash64("n"), F.lit(1 << 30)) < F.lit(int(min(1.0, FITTED / total) * (1 << 30)))
+            terms = [np.frombuffer(r["terms"], kind) for r in tokens.where(drawn).select("terms").collect()]
+            self.cells = Cells(terms, shared.value[2], shared.value[0])
         sent = tokens.sparkSession.sparkContext.broadcast(self.cells)
 
-        def judged(batches: Iterator[dict]) -> Iterator[dict]:
+        def judged(batches: Iterator[dict]) -> Iterator[Part]:
             for b in batches:
                 if b["n"]:
+                    n, lengths = np.array(b["n"], np.int64), np.array(b["doc_tokens"], np.int64)
                     terms, counts = [np.frombuffer(t, kind) for t in b["terms"]], [np.frombuffer(c, "<u4") for c in b["counts"]]
-                    cell, expected = sent.value.judge(np.array(b["n"], np.int64), terms, counts, np.array(b["doc_tokens"]), *shared.value)
-                    yield b | {"cell": cell.astype(np.int32), "expected": [x.tobytes() for x in expected]}
+                    cell, expected = np.zeros(len(n), np.int32), np.zeros((len(n), 0), np.float16)
+                    if sent.value:
+                        cell, expected = sent.value.judge(n, terms, counts, lengths, *shared.value)
+                    yield Part(n, lengths, np.array([len(t) for t in terms], np.int32), cell.astype(np.int32), expected, np.concatenate(terms), np.concatenate(counts))
 
-        self.table = scratch.write(arrow_map(self.table, judged, "n long, doc_tokens long, terms binary, counts binary, cell int, expected binary"), "index")
-        self.at, self.expected = self._expected(drawn(self.table, KEPT))
+        def rows(batches: Iterator[dict]) -> Iterator[dict]:
+            for p in gathered(judged(batches), ROW):
+                yield p.rows()
+
+        self.table = scratch.write(arrow_map(tokens.select("n", "doc_tokens", "terms", "counts"), rows, Part.SCHEMA), "index")
+        if self.cells:
+            self.at, self.expected = self._expected(lambda n: mixed(n) < KEPT / total)
+
+    def compact(self, left: np.ndarray, unused: int) -> None:
+        """Writes the index again once few of its documents are unused."""
+        if unused > 0.6 * self.size:
+            return
+        kind, starts, sent = self.kind, self.starts, self.table.sparkSession.sparkContext.broadcast(left)
+
+        def rows(batches: Iterator[dict]) -> Iterator[dict]:
+            for p in gathered((p.take(sent.value[number(p.n, starts)] > 0) for p in Part.read(batches, kind)), ROW):
+                if len(p.n):
+                    yield p.rows()
+
+        before = self.table
+        self.table, self.size = self.scratch.write(arrow_map(before, rows, Part.SCHEMA), "index"), unused
+        self.scratch.drop(before)
+        sent.destroy()
+
+    def _expected(self, wanted: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """wanted: a mask of n."""
 
-    def _expected(self, rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         def joined(batches: Iterator[dict]) -> Iterator[dict]:
             for b in batches:
-                yield {"n": [np.array(b["n"], np.int64).tobytes()], "expected": [b"".join(b["expected"])]}
+                for n, expected in zip(b["n"], b["expected"]):
+                    n = np.frombuffer(n, np.int64)
+                    keep = wanted(n)
+                    yield {"n": [n[keep].tobytes()], "expected": [np.frombuffer(expected, np.float16).reshape(len(n), -1)[keep].tobytes()]}
 
-        found = arrow_map(rows.select("n", "expected"), joined, "n binary, expected binary").collect()
+        found = collected(arrow_map(self.table.select("n", "expected"), joined, "n binary, expected binary"))
         at = number(np.frombuffer(b"".join(r["n"] for r in found), np.int64), self.starts)
         return at, np.frombuffer(b"".join(r["expected"] for r in found), np.float16).reshape(len(at), self.cells.size)
 
@@ -417,18 +548,21 @@ class Index:
         starts, kind, wanted = self.starts, self.kind, self.table.sparkSession.sparkContext.broadcast(seeds)
 
         def rows(batches: Iterator[dict]) -> Iterator[dict]:
-            for b in batches:
-                at = number(np.array(b["n"], np.int64), starts)
-                keep = np.flatnonzero(np.isin(at, wanted.value)).tolist()
-                yield {"at": at[keep], "cell": [b["cell"][k] for k in keep], "terms": [b["terms"][k] for k in keep]}
+            for p in Part.read(batches, kind):
+                at = number(p.n, starts)
+                keep = np.isin(at, wanted.value)
+                p = p.take(keep)
+                yield {"at": [at[keep].tobytes()], "cell": [p.cell.tobytes()], "sizes": [p.sizes.tobytes()], "terms": [p.terms.tobytes()]}
 
         part = np.searchsorted(starts, [seeds[0], seeds[-1]], "right") - 1
         low, high = (int((p << 33) + s - starts[p]) for p, s in zip(part.tolist(), (seeds[0], seeds[-1])))
-        wide = self.table.where(F.col("n").between(low, high)).select("n", "cell", "terms")
-        found = {r["at"]: (r["terms"], r["cell"]) for r in arrow_map(wide, rows, "at long, cell int, terms binary").collect()}
+        wide = self.table.where((F.col("high") >= low) & (F.col("low") <= high))
+        found = collected(arrow_map(wide, rows, "at binary, cell binary, sizes binary, terms binary"))
         wanted.destroy()
-        terms = [np.frombuffer(found[s][0], kind) for s in seeds.tolist()]
-        return terms, np.array([2 * found[s][1] + (len(t) < LIGHT) for s, t in zip(seeds.tolist(), terms)])
+        at, cell, sizes, terms = (np.frombuffer(b"".join(r[x] for r in found), k) for x, k in (("at", np.int64), ("cell", np.int32), ("sizes", np.int32), ("terms", kind)))
+        by = np.argsort(at)
+        ends = np.cumsum(sizes)
+        return [terms[ends[k] - sizes[k] : ends[k]] for k in by.tolist()], 2 * cell[by].astype(np.int64) + (sizes[by] < LIGHT)
 
     def depth(self, left: np.ndarray, unused: int, found: int, groups: np.ndarray) -> np.ndarray | None:
         """The expected score from which on documents are asked, by group: so many are above it that RECALL of the true
@@ -451,7 +585,8 @@ class Index:
         top = self.neighbours(seeds, TOP, left, True)[0]
         docs = np.unique(top)
         part = np.searchsorted(self.starts, docs, "right") - 1
-        at, expected = self._expected(self.table.where(F.col("n").isin(((part << 33) + docs - self.starts[part]).tolist())))
+        wanted = (part << 33) + docs - self.starts[part]
+        at, expected = self._expected(lambda n: np.isin(n, wanted))
         order = np.argsort(at)
         groups = self.seeds(seeds)[1]
         own = expected[order[np.searchsorted(at[order], top)], groups[:, None] // 2]
@@ -463,48 +598,59 @@ class Index:
 
     def neighbours(self, seeds: np.ndarray, found: int, left: np.ndarray, whole: bool = False) -> tuple[np.ndarray, bool]:
         """For each seed (ascending) the best unused documents of all shards, best first, -1 where there are no more; and
-        whether all of them were asked, not only those to the depth that the recall needs."""
-        spark, starts, shared, kind = self.table.sparkSession, self.starts, self.shared, self.kind
+        whether all of them were asked, not only those to the depth that the recall needs.
+
+        Of a list each task sends about twice its share. So it is known down to the last document of any task that may have
+        more; what is below that is left out."""
+        spark, shared, kind = self.table.sparkSession, self.shared, self.kind
         terms, groups = self.seeds(seeds)
         least = None if whole or self.cells is None else self.depth(left, int(np.count_nonzero(left)), found, groups)
-        by = np.arange(len(seeds)) if least is None else np.argsort(groups, kind="stable")
-        sent = spark.sparkContext.broadcast((seeds[by], [terms[k] for k in by.tolist()], None if least is None else groups[by], least, left, starts))
+        together, by, deep = None, np.arange(len(seeds)), None
+        if self.cells and (least is not None or len(seeds) > ASKED):  # families, and in each the light seeds apart
+            together = 2 * self.cells.family[groups // 2] + groups % 2
+            by = np.argsort(together, kind="stable")
+            together = together[by]
+        if least is not None:  # expected scores aren't negative: their bits are in their order
+            bits = np.maximum(least, 0).astype(np.float16).view(np.uint16)
+            active = np.unique(groups)
+            members = 2 * self.cells.family[active // 2] + active % 2
+            deep = {g: (active[members == g] // 2, bits[active[members == g]]) for g in np.unique(members).tolist()}
+        sent = spark.sparkContext.broadcast((seeds[by], [terms[k] for k in by.tolist()], together, deep, left, self.starts))
 
         def rows(batches: Iterator[dict]) -> Iterator[dict]:
-            seeds, terms, groups, least, left, starts = sent.value
-            search, shard = Search(seeds, terms, found, len(left), *shared.value, groups), []
-
-            def ask() -> None:
-                search.add(np.array([x[0] for x in shard]), [x[1] for x in shard], [x[2] for x in shard], np.array([x[3] for x in shard]), None if least is None else np.array([x[4] for x in shard]))
-                shard.clear()
-
-            for b in batches:
-                at = number(np.array(b["n"], np.int64), starts)
-                keep, asked = left[at] > 0, None
-                if least is not None:
-                    asked = np.frombuffer(b"".join(b["expected"]), np.float16).reshape(len(at), len(least) // 2).repeat(2, axis=1) >= least
-                    keep &= asked.any(axis=1)
-                for k in np.flatnonzero(keep).tolist():
-                    shard.append((at[k], np.frombuffer(b["terms"][k], kind), np.frombuffer(b["counts"][k], "<u4"), b["doc_tokens"][k], None if asked is None else asked[k]))
-                    if len(shard) == BLOCK:
-                        ask()
-            if shard:
-                ask()
+            seeds, terms, groups, deep, left, starts = sent.value
+            search = Search(seeds, terms, sent_each, len(left), *shared.value, groups)
+            for p in gathered((p.take(left[number(p.n, starts)] > 0) for p in Part.read(batches, kind)), BLOCK):
+                if len(p.n):
+                    expected = np.ascontiguousarray(p.expected).view(np.uint16)
+                    asked = None if deep is None else lambda g: (expected[:, deep[g][0]] >= deep[g][1]).any(axis=1)  # noqa: B023
+                    search.add_flat(number(p.n, starts), p.terms, p.counts, p.sizes.astype(np.int64), p.lengths, asked)
             for at in range(0, len(seeds), 1024):
-                yield {"seed": list(range(at, min(at + 1024, len(seeds)))), "keys": [k.tobytes() for k in search.best[at : at + 1024]]}
+                yield {"first": [at], "keys": [search.best[at : at + 1024].tobytes()]}
 
         def best(batches: Iterator[dict]) -> Iterator[dict]:
+            seeds, total = sent.value[0], len(sent.value[4])
             for b in batches:
-                yield {"seed": b["seed"], "keys": [np.sort(np.frombuffer(b"".join(k), np.int64))[: -found - 1 : -1].tobytes() for k in b["keys"]]}
-
-        index = self.table.select("n", "doc_tokens", "terms", "counts", *["expected"] * (least is not None)).coalesce(spark.sparkContext.defaultParallelism)
-        lists = arrow_map(index, rows, "seed int, keys binary").groupBy("seed").agg(F.collect_list("keys").alias("keys"))
-        keys = np.full((len(seeds), found), -1, np.int64)
-        for r in arrow_map(lists, best, "seed int, keys binary").collect():
-            keys[by[r["seed"]]] = np.frombuffer(r["keys"], np.int64)
+                for at, lists in zip(b["first"], b["keys"]):
+                    keys = np.stack([np.frombuffer(k, np.int64).reshape(-1, sent_each) for k in lists], axis=1)
+                    known = keys.min(axis=2).max(axis=1) if sent_each < found else -1  # a task that has no more sends -1
+                    keys = np.sort(keys.reshape(len(keys), -1), axis=1)[:, : -found - 1 : -1]
+                    keys = np.where(keys < np.reshape(known, (-1, 1)), -1, keys)
+                    docs = np.full((len(keys), found), -1, np.int32)
+                    behind = total - 1 - (keys & ((1 << 31) - 1))
+                    docs[:, : keys.shape[1]] = np.where(keys < 0, -1, (seeds[at : at + len(keys), None] + behind) % total)
+                    yield {"first": [at], "docs": [docs.tobytes()]}
+
+        tasks = spark.sparkContext.defaultParallelism
+        sent_each = found if least is None else min(found, 16 + 2 * -(-found // tasks))
+        index = self.table.coalesce(tasks)
+        lists = arrow_map(index, rows, "first int, keys binary").groupBy("first").agg(F.collect_list("keys").alias("keys"))
+        out = np.full((len(seeds), found), -1, np.int32)
+        for r in collected(arrow_map(lists, best, "first int, docs binary")):
+            some = np.frombuffer(r["docs"], np.int32).reshape(-1, found)
+            out[by[r["first"] : r["first"] + len(some)]] = some
         sent.destroy()
-        behind = len(left) - 1 - (keys & ((1 << 31) - 1))
-        return np.where(keys < 0, -1, (seeds[:, None] + behind) % len(left)), least is None
+        return out, least is None
 
 
 def fill_windows(index: Index, left: np.ndarray, scratch: Scratch) -> DataFrame | None:
@@ -518,11 +664,12 @@ def fill_windows(index: Index, left: np.ndarray, scratch: Scratch) -> DataFrame
         tables.append(scratch.write(spark.createDataFrame(pa.table(columns)), "pieces"))
         windows.pieces = array("q")
 
-    most = size = max(1024, min(SEEDS, len(left) // 16))
+    most = size = max(1024, min(SEEDS, len(left) // 8))
     found = FOUND
     while windows.total >= WINDOW and (unused := np.flatnonzero(left)).size > SHARD:
         if index.cells and unused.size > WHOLE and unused.size < 0.7 * index.calibrated:
             index.calibrate(left, unused)
+        index.compact(left, unused.size)
         seeds = unused[:size]
         done = asked = 0
         lists, whole = index.neighbours(seeds, found, left, unused.size <= WHOLE)

@@ -276,3 +276,46 @@ def test_the_index_finds_the_neighbours_without_asking_all(spark, sf_dir, monkey
     monkeypatch.setattr(packing, "fill_windows", look)
     packing.pack(docs, BYTES)
     assert len(found) == 2 and all(recall >= 0.9 and asked < 0.4 and not whole for recall, asked, whole in found), found
+
+
+def test_most_seeds_that_are_asked_fill_a_window(spark, sf_dir, monkeypatch):
+    """A seed whose list is used up before its window is full is asked again, of all shards: few are. A pass reads a few wide
+    rows of documents, most of them unused. And what tasks send of their lists is enough to know the best neighbours."""
+    docs, asked, done, shared, read = spark.read.parquet(f"{sf_dir}/../sf0.1/documents.parquet"), [], [], [], []
+    neighbours, fill, depth = packing.Index.neighbours, packing.Windows.fill, packing.Index.depth
+
+    def ask(index, seeds, found, left, whole=False):
+        out = neighbours(index, seeds, found, left, whole)
+        if not whole:
+            asked.append(len(seeds))
+            read.append((index.table.count(), sum(len(r["n"]) // 8 for r in index.table.select("n").collect()), np.count_nonzero(left)))
+        if not whole and not shared:
+            some = np.arange(0, len(left), 50)
+            with monkeypatch.context() as m:  # every document is asked, as if by depth
+                m.setattr(packing.Index, "depth", lambda *a: np.zeros_like(depth(*a)))
+                part = neighbours(index, some, 128, left)[0]
+            for a, b in zip(part.tolist(), neighbours(index, some, 128, left, True)[0].tolist()):
+                known = [d for d in a if d >= 0]
+                shared.append((len(known), len(set(known) & set(b[: len(known)])) / len(known)))
+        return out
+
+    def count(windows, seed, ranked, complete):
+        filled = fill(windows, seed, ranked, complete)
+        if len(asked) and not complete:
+            done.append(filled)
+        return filled
+
+    monkeypatch.setattr(packing, "WHOLE", 4000)
+    monkeypatch.setattr(packing.Index, "neighbours", ask)
+    monkeypatch.setattr(packing.Windows, "fill", count)
+    packing.pack(docs, BYTES)
+    assert sum(asked) < 1.5 * sum(done), (asked, sum(done))
+    assert all(rows <= 100 and unused > 0.59 * held for rows, held, unused in read), read
+    assert min(n for n, _ in shared) >= 16 and np.mean([x for _, x in shared]) > 0.99
+
+
+def test_white_space_beside_white_space():
+    """The pattern without its look-ahead is used only where it finds the same."""
+    for text in ("a b\nc ", " a  b", "a \n b", "a b", "a  b", "é  x", "a\x85 b", "a\x1c b", "\t\tx", "x \t", "é　 1", " "):
+        assert packing.tokenizer(BYTES).encode(text).tolist() == library().encode(text, add_special_tokens=False).ids
+    assert packing.has_runs("a  b") and packing.has_runs("é x") and not packing.has_runs("a b\nç d ")
