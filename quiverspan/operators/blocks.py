@@ -13,8 +13,8 @@ from pyspark.sql.types import StructType
 
 from ..functions import vector as V
 
-#: Queries of one block, and points that a task multiplies with a block at a time (32 MB of scores).
-BLOCK_QUERIES, CHUNK_POINTS = 2048, 2048
+#: Queries of one block, and points that a task gathers for it; scores of them that are held at a time (8 MB).
+BLOCK_QUERIES, CHUNK_POINTS, PAIRS = 2048, 2048, 1 << 20
 #: Bytes of queries that are broadcast; more are dealt out in blocks instead. Bytes of points beside one such block.
 BROADCAST_BYTES, GROUP_BYTES = 64 << 20, 128 << 20
 
@@ -105,17 +105,18 @@ class Block:
         self.at = {int(d): np.flatnonzero(dims == d) for d in set(dims.tolist())}
         self.q = {d: np.array([vectors[i] for i in at], np.float64) for d, at in self.at.items()}
         self.best = {d: Best(len(at), task.k) for d, at in self.at.items()}
-        self.member: dict[int, np.ndarray] = {}  # whether a query probes a cell
-        for d, at in self.at.items() if task.cells else ():
-            own = [cells[i] for i in at]
-            self.member[d] = np.zeros((len(at), 1 + max(map(max, own))), bool)
-            for row, c in enumerate(own):
-                self.member[d][row, c] = True
+        self.probed = {d: np.frombuffer(b"".join(cells[i] for i in at), np.uint8).reshape(len(at), -1) for d, at in self.at.items()} if task.cells else {}
 
     def add(self, ids: list, x: np.ndarray, cell: np.ndarray | None) -> None:
-        d, task = x.shape[1], self.task
-        if d not in self.at:
+        if x.shape[1] not in self.at:
             return
+        step = max(16, PAIRS // len(self.q[x.shape[1]]) // 16 * 16)
+        for at in range(0, len(ids), step):
+            part = slice(at, at + step)
+            self._add(ids[part], x[part], None if cell is None else cell[part])
+
+    def _add(self, ids: list, x: np.ndarray, cell: np.ndarray | None) -> None:
+        d, task = x.shape[1], self.task
         q, best, score = self.q[d], self.best[d], SCORES[task.metric]
         if not task.cells:
             found = score(q, x)
@@ -126,14 +127,18 @@ class Block:
                         found[n, at[self.qids[i]]] = np.inf
             best.add(slice(None), ids, found, SCORES[task.exact](q, x) if task.exact else None)
             return
-        asked = self.member[d]
-        known = cell < asked.shape[1]
+        bits = self.probed[d]
+        known = cell < 8 * bits.shape[1]
         ids, x, cell = [i for i, ok in zip(ids, known) if ok], x[known], cell[known]
-        if 4 * asked[:, cell].sum() > len(q) * len(x):  # most pairs have a common cell
-            best.add(slice(None), ids, np.where(asked[:, cell], score(q, x), np.inf))
+        cells, own, sizes = np.unique(cell, return_inverse=True, return_counts=True)
+        asked = (bits[:, cells >> 3] >> (7 - (cells & 7)).astype(np.uint8) & 1).astype(bool)  # whether a query probes a cell
+        if 4 * (asked.sum(axis=0) @ sizes) > len(q) * len(x):  # most pairs have a common cell
+            found = score(q, x)
+            found[~asked[:, own]] = np.inf
+            best.add(slice(None), ids, found)
             return
-        for c in np.unique(cell):
-            rows, cols = np.flatnonzero(asked[:, c]), np.flatnonzero(cell == c)
+        for n in range(len(cells)):
+            rows, cols = np.flatnonzero(asked[:, n]), np.flatnonzero(own == n)
             if len(rows):
                 best.add(rows, [ids[i] for i in cols], score(q[rows], x[cols]))
 
@@ -173,7 +178,7 @@ def chunks(batches: Iterator[pa.RecordBatch], cells: bool = False) -> Iterator[t
 def best_of_blocks(points: DataFrame, queries: DataFrame, task: Task) -> DataFrame:
     """qid, id, score, exact: for each query and task the k points of the lowest (score, id).
 
-    points: id, vector (and cell); queries: qid, qvector (and cells, an array). Rows with a null or empty vector, and
+    points: id, vector (and cell); queries: qid, qvector (and cells, a bit for each, the first the highest of its byte). Rows with a null or empty vector, and
     pairs of different dimensions, aren't compared; points with a null component come last and go. Queries are counted
     and measured first. Up to BROADCAST_BYTES they are broadcast in blocks and points stay where they are. Beyond that,
     blocks of queries and groups of points, both of bounded size, meet in a grid of tasks."""
@@ -185,7 +190,7 @@ def best_of_blocks(points: DataFrame, queries: DataFrame, task: Task) -> DataFra
     kinds = {"qid": queries.schema["qid"].dataType.simpleString(), "id": points.schema["id"].dataType.simpleString(), "score": "double", "exact": "double"}
     schema = StructType.fromDDL(", ".join(f"{n} {t}" for n, t in kinds.items()))
     fields = to_arrow_schema(schema)
-    n, size = queries.agg(F.count(F.lit(1)), F.sum(8 * F.size("qvector"))).first()
+    n, size = queries.agg(F.count(F.lit(1)), F.sum(8 * F.size("qvector") + (F.octet_length("cells") if cells else 0))).first()
     if not n:
         return spark.createDataFrame([], schema)
 

@@ -3,6 +3,7 @@ that a query probes. How many it probes is calibrated for a recall."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -10,13 +11,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import Task, best_of_blocks, cosine
+from .blocks import Task, best_of_blocks, cosine, vectors_of
 from .search import top
 
 #: Vectors that a fit reads at most; of them, those that calibrate the probes; points of a cell that cells are made for.
 SAMPLE, TRIALS, PER_CELL = 20_000, 200, 64
 #: Cells of an index: at least, at most.
 LEAST_CELLS, MOST_CELLS = 16, 4096
+#: Products of vectors and centroids that are held at a time (8 MB).
+PRODUCTS = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -26,8 +29,18 @@ class Cells:
     centers: np.ndarray
     probes: int
 
-    def nearest(self, x: np.ndarray, n: int) -> np.ndarray:
-        return np.argsort(-(x @ self.centers.T), axis=1, kind="stable")[:, :n]
+    def own(self, x: np.ndarray) -> list[int]:
+        """The cell of each vector."""
+        return own(x, self.centers).tolist()
+
+    def probed(self, x: np.ndarray, n: int) -> list[bytes]:
+        """The n nearest cells of each vector, as a bit for each cell."""
+        found: list[bytes] = []
+        for near in products(x, self.centers):
+            bits = np.zeros(near.shape, bool)
+            np.put_along_axis(bits, np.argsort(-near, axis=1, kind="stable")[:, :n], True, 1)
+            found += map(bytes, np.packbits(bits, axis=1))
+        return found
 
     def save(self, spark: SparkSession, path: str) -> None:
         rows = [(i, self.probes, c.tolist()) for i, c in enumerate(self.centers)]
@@ -57,9 +70,8 @@ def fit(points: DataFrame, cells: int | None = None, sample: int = SAMPLE, round
     rng = np.random.default_rng(seed)
     centers = x[rng.choice(len(x), count, replace=False)]
     for _ in range(rounds):
-        own = (x @ centers.T).argmax(axis=1)
         sums = np.zeros_like(centers)
-        np.add.at(sums, own, x)
+        np.add.at(sums, own(x, centers), x)
         lengths = np.linalg.norm(sums, axis=1, keepdims=True)
         centers = np.where(lengths > 0, sums / np.maximum(lengths, 1e-12), centers)
     return Cells(centers, calibrated(x, centers, x[rng.choice(len(x), min(TRIALS, len(x)), replace=False)], k, recall))
@@ -69,35 +81,51 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
+def products(x: np.ndarray, centers: np.ndarray) -> Iterator[np.ndarray]:
+    """x times centers, PRODUCTS of them at a time."""
+    rows = max(1, PRODUCTS // max(1, len(centers)))
+    for at in range(0, len(x), rows):
+        yield x[at : at + rows] @ centers.T
+
+
+def own(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    """The nearest centroid of each vector, the first of those that tie."""
+    return np.concatenate([np.zeros(0, np.int64), *(near.argmax(axis=1) for near in products(x, centers))])
+
+
 def calibrated(x: np.ndarray, centers: np.ndarray, trials: np.ndarray, k: int, recall: float) -> int:
     """The fewest probes by which trials find that share of their k nearest in x."""
-    own = (x @ centers.T).argmax(axis=1)
+    cell = own(x, centers)
     k = min(k, len(x))
     near = np.argpartition(cosine(trials, x), k - 1, axis=1)[:, :k]
     place = np.argsort(np.argsort(-(trials @ centers.T), axis=1, kind="stable"), axis=1)  # when a trial reaches each cell
-    reached = np.sort(np.take_along_axis(place, own[near], 1).ravel())
+    reached = np.sort(np.take_along_axis(place, cell[near], 1).ravel())
     return int(reached[min(len(reached) - 1, int(np.ceil(recall * len(reached))) - 1)]) + 1
 
 
-def _nearest(vectors: DataFrame, column: str, cells: Cells, n: int, name: str) -> DataFrame:
-    shared, dim = vectors.sparkSession.sparkContext.broadcast(cells), cells.centers.shape[1]
+def _with_cells(vectors: DataFrame, column: str, cells: Cells, name: str, kind: str, of: Callable[[Cells, np.ndarray], list]) -> DataFrame:
+    """A column of what the cells say of vectors; null for those that are null, have a null, or are of another dimension."""
+    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import DataType
+
+    shared, dim, arrow = vectors.sparkSession.sparkContext.broadcast(cells), cells.centers.shape[1], to_arrow_type(DataType.fromDDL(kind))
 
-    def nearest(batch: pa.Array) -> pa.Array:
-        rows = batch.to_pylist()
-        ok = [i for i, v in enumerate(rows) if v and len(v) == dim and None not in v]
-        out: list = [None] * len(rows)
-        if ok:
-            for i, own in zip(ok, shared.value.nearest(np.array([rows[i] for i in ok], np.float64), n).tolist()):
-                out[i] = own
-        return pa.array(out, pa.list_(pa.int32()))
+    def add(batch: pa.Array) -> pa.Array:
+        at = np.flatnonzero(batch.value_lengths().fill_null(0).to_numpy(zero_copy_only=False) == dim) if dim else np.zeros(0, int)
+        flat = batch.take(pa.array(at)).flatten()
+        ok = ~flat.is_null().to_numpy(zero_copy_only=False).reshape(len(at), -1).any(axis=1) if len(at) else np.zeros(0, bool)
+        out: list = [None] * len(batch)
+        for i, found in zip(at[ok], of(shared.value, vectors_of(batch.take(pa.array(at[ok]))).reshape(-1, dim)) if ok.any() else ()):
+            out[i] = found
+        return pa.array(out, arrow)
 
-    return vectors.withColumn(name, F.arrow_udf(nearest, "array<int>")(F.col(column)))
+    return vectors.withColumn(name, F.arrow_udf(add, kind)(F.col(column)))
 
 
 def index(points: DataFrame, cells: Cells) -> DataFrame:
     """Points with the cell of their nearest centroid; save() sorts it by cell. A point without a
     vector, or of another dimension, has a null cell and is found by no query."""
-    return _nearest(points, "vector", cells, 1, "own").withColumn("cell", F.col("own")[0]).drop("own")
+    return _with_cells(points, "vector", cells, "cell", "int", Cells.own)
 
 
 def save(indexed: DataFrame, cells: Cells, path: str) -> None:
@@ -114,13 +142,13 @@ def search(indexed: DataFrame, queries: DataFrame, cells: Cells, k: int = 10, pr
     """qid, rank, id, score (cosine distance) from the nearest cells; all cells: exact.
 
     probes: by default those that the fit calibrated, and as many as hold ef points on average. Points don't move: each
-    task multiplies its points with the queries that probe their cells."""
+    task multiplies its points with the queries that probe their cells, which a query carries as a bit for each cell."""
     n = len(cells.centers)
     if probes is None:
         probes = cells.probes
         if ef > k and n:
             per_cell = max(1, indexed.count() // n)
             probes = max(probes, -(-ef // per_cell))
-    q = _nearest(queries.select("qid", "qvector"), "qvector", cells, max(1, min(probes, n)), "cells").where("cells IS NOT NULL")
+    q = _with_cells(queries.select("qid", "qvector"), "qvector", cells, "cells", "binary", lambda c, x: c.probed(x, max(1, min(probes, n)))).where("cells IS NOT NULL")
     placed = indexed.where("cell IS NOT NULL").sortWithinPartitions("cell")
     return top(best_of_blocks(placed, q, Task(k, "cosine", cells=True)), k).select("qid", "rank", "id", "score")

@@ -1,3 +1,5 @@
+import pickle
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -124,6 +126,39 @@ def test_registered_ivf_search_has_the_recall(spark, sf_dir):
     assert len(keys("ivf_search") & exact) / len(exact) >= 0.9
 
 
+@pytest.mark.parametrize("probes", [4096])
+def test_probed_cells_take_a_bit_each(spark, monkeypatch, probes):
+    """What is sent to each task, and what the limit of a broadcast counts, is 512 bytes a query besides its vector."""
+    sent, real = [], blocks.lists
+    monkeypatch.setattr(blocks, "lists", lambda *a: sent.append(real(*a)) or sent[-1])
+    rng = np.random.default_rng(4)
+    cells = ivf.Cells(ivf.unit(rng.normal(size=(4096, 4))), probes)
+    p = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(400)], "id long, vector array<float>")
+    q = p.where("id < 100").select(F.col("id").alias("qid"), F.col("vector").alias("qvector"))
+    indexed = ivf.index(p, cells)
+    rows = lambda df: {(r["qid"], r["rank"], r["id"]) for r in df.collect()}
+    got = rows(ivf.search(indexed, q, cells, 5))
+    assert len(pickle.dumps(sent)) < 100 * (512 + 400)
+    near = lambda v: np.argsort(-(cells.centers @ np.array(v)), kind="stable")
+    at = {r["id"]: (r["vector"], r["cell"]) for r in indexed.collect()}
+    assert all(c == near(v)[0] for v, c in at.values())
+    want = set()
+    for i in range(100):
+        seen = set(near(at[i][0])[:probes].tolist())
+        x = {j: 1 - np.dot(v, at[i][0]) / np.linalg.norm(v) / np.linalg.norm(at[i][0]) for j, (v, c) in at.items() if c in seen}
+        want |= {(i, n + 1, j) for n, j in enumerate(sorted(x, key=lambda j: (round(x[j], 12), j))[:5])}
+    assert got == want
+    monkeypatch.setattr(blocks, "BROADCAST_BYTES", 100 * 32 + 100)  # the vectors alone would be less
+    assert rows(ivf.search(indexed, q, cells, 5)) == want
+    assert "CoGroup" in str(ivf.search(indexed, q, cells, 5)._jdf.queryExecution())
+
+
+def test_cells_of_odd_vectors(spark):
+    cells = ivf.Cells(np.eye(2), 1)
+    p = frame(spark, [("a", [0.1, 2.0]), ("b", None), ("c", []), ("d", [1.0, 2.0, 3.0]), ("e", [None, 1.0]), ("f", [1.0, 0.5]), ("g", [float("nan"), 1.0])])
+    assert {r["id"]: r["cell"] for r in ivf.index(p, cells).collect()} == {"a": 1, "b": None, "c": None, "d": None, "e": None, "f": 0, "g": 0}
+
+
 def test_progressive_ends_with_the_exact_answer(spark):
     p = frame(spark, [(f"{i}", [float(i), 1.0]) for i in range(8)])
     shards = [p.where(F.col("id").cast("int") % 2 == k) for k in (0, 1)]
