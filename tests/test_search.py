@@ -1,4 +1,5 @@
 import pickle
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -153,6 +154,33 @@ def test_probed_cells_take_a_bit_each(spark, monkeypatch, probes):
     assert "CoGroup" in str(ivf.search(indexed, q, cells, 5)._jdf.queryExecution())
 
 
+def peak(run):
+    tracemalloc.start()
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+@pytest.mark.parametrize("share", [None, 1.0, 0.5, 0.02])
+def test_a_block_holds_few_scores_at_a_time(share):
+    """A full block and nearly two chunks of points: 64 MB of scores, of which a few are held at once."""
+    rng = np.random.default_rng(6)
+    q, x, cell = rng.normal(size=(2048, 8)), rng.normal(size=(4095, 8)), np.sort(rng.integers(0, 64, 4095)).astype(np.int32)
+    probed = None if share is None else rng.random((2048, 64)) < share
+    own = None if share is None else [bytes(b) for b in np.packbits(probed, axis=1)]
+    block = blocks.Block(blocks.Task(10, "cosine", cells=share is not None), list(range(2048)), list(q), own)
+    assert peak(lambda: block.add(list(range(4095)), x, cell)) < 100 << 20
+    score = blocks.cosine(q[:50], x)
+    if share is not None:
+        score[~probed[:50][:, cell]] = np.inf
+    best = block.best[8]
+    for i in range(50):
+        want = sorted(np.flatnonzero(np.isfinite(score[i])).tolist(), key=lambda j: score[i, j])[:10]
+        assert {best.ids[j] for j in best.which[i][np.isfinite(best.score[i])]} == set(want)
+
+
 def test_cells_of_odd_vectors(spark):
     cells = ivf.Cells(np.eye(2), 1)
     p = frame(spark, [("a", [0.1, 2.0]), ("b", None), ("c", []), ("d", [1.0, 2.0, 3.0]), ("e", [None, 1.0]), ("f", [1.0, 0.5]), ("g", [float("nan"), 1.0])])
