@@ -127,7 +127,7 @@ def test_registered_ivf_search_has_the_recall(spark, sf_dir):
     assert len(keys("ivf_search") & exact) / len(exact) >= 0.9
 
 
-@pytest.mark.parametrize("probes", [4096])
+@pytest.mark.parametrize("probes", [4096, 3000])
 def test_probed_cells_take_a_bit_each(spark, monkeypatch, probes):
     """What is sent to each task, and what the limit of a broadcast counts, is 512 bytes a query besides its vector."""
     sent, real = [], blocks.lists
