@@ -181,6 +181,14 @@ def test_a_block_holds_few_scores_at_a_time(share):
         assert {best.ids[j] for j in best.which[i][np.isfinite(best.score[i])]} == set(want)
 
 
+def test_vectors_meet_centroids_a_few_at_a_time():
+    """As many vectors as an Arrow batch has, and the most cells: 328 MB of products."""
+    rng = np.random.default_rng(8)
+    x, cells = ivf.unit(rng.normal(size=(10_000, 8))), ivf.Cells(ivf.unit(rng.normal(size=(4096, 8))), 1)
+    assert peak(lambda: cells.own(x)) < 40 << 20 and peak(lambda: cells.probed(x[:5000], 3000)) < 60 << 20
+    assert cells.own(x[:500]) == (x[:500] @ cells.centers.T).argmax(axis=1).tolist()
+
+
 def test_cells_of_odd_vectors(spark):
     cells = ivf.Cells(np.eye(2), 1)
     p = frame(spark, [("a", [0.1, 2.0]), ("b", None), ("c", []), ("d", [1.0, 2.0, 3.0]), ("e", [None, 1.0]), ("f", [1.0, 0.5]), ("g", [float("nan"), 1.0])])
